@@ -1,3 +1,4 @@
 """Importing this module registers every job."""
 
 from . import q_panel  # noqa: F401
+from . import q_backtest  # noqa: F401,E402

@@ -2,7 +2,8 @@
 
 An output spec such as ``"seller_id:i day:d wape:f"`` fixes column names,
 order and types on both sides: ``i`` BIGINT, ``f`` DOUBLE rounded to 6
-decimals (so last-bit float noise cannot break a value hash), ``s`` string,
+decimals with one binary formula on both sides (half away from zero on
+``|x| * 1e6``), so last-bit float noise cannot break a value hash, ``s`` string,
 ``d`` DATE, ``t`` TIMESTAMP.
 """
 
@@ -30,7 +31,10 @@ def finalize(df: DataFrame, spec: str) -> DataFrame:
         if kind == "i":
             c = c.cast("bigint")
         elif kind == "f":
-            c = F.round(c.cast("double"), DIGITS) + F.lit(0.0)
+            x = c.cast("double")
+            r = (F.signum(x) * F.floor(F.abs(x) * F.lit(10.0 ** DIGITS) + F.lit(0.5)).cast("double")
+                 / F.lit(10.0 ** DIGITS))
+            c = F.when(F.abs(x) < F.lit(1e9), r).otherwise(x) + F.lit(0.0)
         elif kind == "s":
             c = c.cast("string")
         elif kind == "d":
@@ -48,7 +52,9 @@ def wrap_sql(spec: str, sql: str) -> str:
         if kind == "i":
             e = f"CAST({q} AS BIGINT)"
         elif kind == "f":
-            e = f"round(CAST({q} AS DOUBLE), {DIGITS}) + 0.0"
+            x = f"CAST({q} AS DOUBLE)"
+            e = (f"CASE WHEN abs({x}) < 1e9 THEN sign({x}) * floor(abs({x}) * {10.0 ** DIGITS} + 0.5)"
+                 f" / {10.0 ** DIGITS} ELSE {x} END + 0.0")
         elif kind == "s":
             e = f"CAST({q} AS VARCHAR)"
         elif kind == "d":
