@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import forecast as FC
 from ..operators import panel as P
+from ..session import materialize
 from .domain import KEY, LINES_SQL, ORIGIN, order_lines
 from .q_panel import ACT_SQL, DENSE_SQL, GRID_SQL
 from .registry import cte, query
@@ -16,13 +17,15 @@ LOOKBACK = 182
 
 def demand(t, origin=ORIGIN):
     """Dense daily demand panel with lag_7 (for the MASE scale)."""
-    act = P.daily_activity(order_lines(t), origin, KEY, "purchase_ts", "price", "freight")
-    return P.add_lags(P.densify(act, origin, KEY, carry=()), KEY, "day", "n_items", (7,))
+    def build():
+        act = P.daily_activity(order_lines(t), origin, KEY, "purchase_ts", "price", "freight")
+        return P.add_lags(P.densify(act, origin, KEY, carry=()), KEY, "day", "n_items", (7,))
+    return t.memo(f"demand_{origin}", build)
 
 
 def bt_panel(t):
     """F5 applied: demand panel without the dead zone."""
-    return P.truncate_dead_zone(demand(t))
+    return t.memo("bt_panel", lambda: materialize(P.truncate_dead_zone(demand(t)), "bt_panel"))
 
 
 def bt_folds(panel):
@@ -30,8 +33,11 @@ def bt_folds(panel):
 
 
 def predictions(t):
-    p = bt_panel(t)
-    return FC.backtest_predictions(p, bt_folds(p), KEY, lookback=LOOKBACK)
+    def build():
+        p = bt_panel(t)
+        return materialize(FC.backtest_predictions(p, bt_folds(p), KEY, lookback=LOOKBACK),
+                           "predictions")
+    return t.memo("predictions", build)
 
 
 # ---------------------------------------------------------------- SQL pieces

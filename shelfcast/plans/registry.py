@@ -87,6 +87,14 @@ class Tables(dict):
         super().__init__()
         self.spark, self.sf_dir = spark, sf_dir
 
+    def memo(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Build a derived frame once per job so every consumer shares the
+        same logical subtree (identical exchanges are then reused)."""
+        key = "__" + name
+        if key not in self:
+            dict.__setitem__(self, key, build())
+        return dict.__getitem__(self, key)
+
     def __missing__(self, name):
         df = load_tables(self.spark, self.sf_dir, (name,))[name]
         self[name] = df
