@@ -3,3 +3,4 @@
 from . import q_panel  # noqa: F401
 from . import q_backtest  # noqa: F401,E402
 from . import q_plan  # noqa: F401,E402
+from . import q_policy  # noqa: F401,E402
