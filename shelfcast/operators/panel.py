@@ -69,19 +69,21 @@ def lead_time_stats(lines: DataFrame, origin, key: str, status: str, delivered_v
                  F.count(F.lit(1)).alias("lt_n")))
 
 
-def densify(activity: DataFrame, origin, key: str, day: str = "day", y: str = "n_items",
-            carry=("avg_price", "avg_freight")) -> DataFrame:
+def densify(activity: DataFrame, origin, key, day: str = "day", y: str = "n_items",
+            carry=("avg_price", "avg_freight"), step_days: int = 1) -> DataFrame:
     """Dense series x day grid from each series' own first day through
     the origin, zero-filled. Each activity row generates itself plus the empty
     days up to the next activity row (``lead`` in one window), so no calendar
     cross join and no join back to the activity: one shuffle by ``key``."""
-    w = Window.partitionBy(key).orderBy(day)
+    keys = [key] if isinstance(key, str) else list(key)
+    w = Window.partitionBy(*keys).orderBy(day)
     nxt = F.lead(day).over(w)
-    gap_end = F.coalesce(F.date_sub(nxt, 1), _d(origin))
+    gap_end = F.coalesce(F.date_sub(nxt, step_days), _d(origin))
+    step = F.expr(f"INTERVAL {step_days} DAYS")
     g = (activity.select("*", gap_end.alias("_end"))
-         .select("*", F.explode(F.sequence(F.col(day), F.col("_end"))).alias("_d")))
+         .select("*", F.explode(F.sequence(F.col(day), F.col("_end"), step)).alias("_d")))
     active = F.col("_d") == F.col(day)
-    out = [F.col(key), F.col("_d").alias(day),
+    out = [*[F.col(k) for k in keys], F.col("_d").alias(day),
            F.when(active, F.col(y)).otherwise(F.lit(0.0)).alias(y)]
     out += [F.when(active, F.col(c)).alias(c) for c in carry]
     return g.select(*out)

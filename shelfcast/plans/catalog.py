@@ -5,3 +5,4 @@ from . import q_backtest  # noqa: F401,E402
 from . import q_plan  # noqa: F401,E402
 from . import q_policy  # noqa: F401,E402
 from . import q_quality  # noqa: F401,E402
+from . import q_parts  # noqa: F401,E402
