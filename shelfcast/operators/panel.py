@@ -98,24 +98,65 @@ def add_lags(panel: DataFrame, key: str, day: str, y: str, lags=(1, 7, 14, 28),
 
 def add_rolling(panel: DataFrame, key: str, day: str, y: str, windows=(7, 28),
                 min_mean: int | None = None, min_std: int | None = None,
-                fill_std=None, exclude_current: bool = True) -> DataFrame:
+                fill_std=None, exclude_current: bool = True, method: str = "prefix") -> DataFrame:
     """Rolling mean and sample std over the previous ``k`` rows
     (current row excluded). ``min_mean``/``min_std`` default to ``k`` (a full
     window is required, the daily track); the weekly track uses 1/2 and
-    ``fill_std=0``. All frames share the lag window's partition and sort."""
+    ``fill_std=0``. Requires a dense panel (one row per period, non-null y).
+
+    ``method='prefix'`` (default) differences two running sums (y and y^2)
+    taken with ``lag``: O(1) work per row instead of re-aggregating a sliding
+    frame of k rows, exact for integer-valued demand. ``method='frame'``
+    aggregates the sliding frame directly. Either way every expression shares
+    the lag window's partitioning and sort (one Window exchange)."""
     w = Window.partitionBy(key).orderBy(day)
+    if method == "frame":
+        cols = []
+        for k in windows:
+            fr = w.rowsBetween(-k, -1) if exclude_current else w.rowsBetween(-(k - 1), 0)
+            n = F.count(y).over(fr)
+            mm = k if min_mean is None else min_mean
+            ms = k if min_std is None else min_std
+            mean = F.when(n >= mm, F.avg(y).over(fr))
+            std = F.when(n >= ms, F.stddev_samp(y).over(fr))
+            if fill_std is not None:
+                std = F.coalesce(std, F.lit(float(fill_std)))
+            cols += [mean.alias(f"roll_mean_{k}"), std.alias(f"roll_std_{k}")]
+        return panel.select("*", *cols)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    yv = F.col(y).cast("double")
+    staged = panel.select("*", F.sum(yv).over(run).alias("_cs"), F.sum(yv * yv).over(run).alias("_cq"),
+                          F.count(yv).over(run).alias("_cn"))
+    shift = 1 if exclude_current else 0
+    lagged = []
+    for k in sorted(set(windows)):
+        lagged += [F.coalesce(F.lag("_cs", k + shift).over(w), F.lit(0.0)).alias(f"_cs{k}"),
+                   F.coalesce(F.lag("_cq", k + shift).over(w), F.lit(0.0)).alias(f"_cq{k}"),
+                   F.coalesce(F.lag("_cn", k + shift).over(w), F.lit(0)).alias(f"_cn{k}")]
+    if shift:
+        lagged += [F.coalesce(F.lag("_cs", 1).over(w), F.lit(0.0)).alias("_cs_end"),
+                   F.coalesce(F.lag("_cq", 1).over(w), F.lit(0.0)).alias("_cq_end"),
+                   F.coalesce(F.lag("_cn", 1).over(w), F.lit(0)).alias("_cn_end")]
+    else:
+        lagged += [F.col("_cs").alias("_cs_end"), F.col("_cq").alias("_cq_end"),
+                   F.col("_cn").alias("_cn_end")]
+    staged = staged.select("*", *lagged)
     cols = []
     for k in windows:
-        fr = w.rowsBetween(-k, -1) if exclude_current else w.rowsBetween(-(k - 1), 0)
-        n = F.count(y).over(fr)
+        n = (F.col("_cn_end") - F.col(f"_cn{k}")).cast("double")
+        sm = F.col("_cs_end") - F.col(f"_cs{k}")
+        sq = F.col("_cq_end") - F.col(f"_cq{k}")
         mm = k if min_mean is None else min_mean
         ms = k if min_std is None else min_std
-        mean = F.when(n >= mm, F.avg(y).over(fr))
-        std = F.when(n >= ms, F.stddev_samp(y).over(fr))
+        mean = F.when(n >= F.lit(max(mm, 1)), sm / n)
+        var = F.greatest(F.lit(0.0), F.try_divide(sq - sm * sm / n, n - F.lit(1.0)))
+        std = F.when(n >= F.lit(max(ms, 2)), F.sqrt(var))
         if fill_std is not None:
             std = F.coalesce(std, F.lit(float(fill_std)))
         cols += [mean.alias(f"roll_mean_{k}"), std.alias(f"roll_std_{k}")]
-    return panel.select("*", *cols)
+    drop = ["_cs", "_cq", "_cn", "_cs_end", "_cq_end", "_cn_end"] + [
+        f"_c{a}{k}" for k in windows for a in "sqn"]
+    return staged.select("*", *cols).drop(*drop)
 
 
 # Fixed-date national holidays of the source calendar (month, day).

@@ -34,17 +34,14 @@ def weekly_features(panel: DataFrame, key: str, week: str, y: str, lags=(1, 2, 4
     """W1/W3/W4/W7 on the weekly panel: lags, rolling mean (min 1) and std
     (min 2, NULL -> 0) of previous weeks, calendar, lagged domain columns.
     One partitioning by ``key`` serves every window."""
+    from .panel import add_rolling
     w = Window.partitionBy(key).orderBy(week)
     cols = [F.lag(y, k).over(w).alias(f"lag_{k}") for k in lags]
-    for k in windows:
-        fr = w.rowsBetween(-k, -1)
-        n = F.count(y).over(fr)
-        cols += [F.when(n >= 1, F.avg(y).over(fr)).alias(f"roll_mean_{k}"),
-                 F.coalesce(F.when(n >= 2, F.stddev_samp(y).over(fr)), F.lit(0.0)).alias(f"roll_std_{k}")]
     cols += [F.lag(c, 1).over(w).alias(f"{c}_lag1") for c in lag_domain]
     d = F.col(week)
     cols += [F.weekofyear(d).alias("week_of_year"), F.month(d).alias("month"), F.quarter(d).alias("quarter")]
-    return panel.select("*", *cols)
+    rolled = add_rolling(panel, key, week, y, windows, min_mean=1, min_std=2, fill_std=0.0)
+    return rolled.select("*", *cols)
 
 
 def extend_future(panel: DataFrame, key: str, week: str, y: str, steps=(7, 14),

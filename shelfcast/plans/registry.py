@@ -2,8 +2,9 @@
 
 An output spec such as ``"seller_id:i day:d wape:f"`` fixes column names,
 order and types on both sides: ``i`` BIGINT, ``f`` DOUBLE rounded to 6
-decimals with one binary formula on both sides (half away from zero on
-``|x| * 1e6``), so last-bit float noise cannot break a value hash, ``s`` string,
+decimals with one binary formula on both sides (half-even on the double
+``x * 1e6``: ``rint`` in Spark, ``round_even`` in DuckDB), so last-bit float
+noise cannot break a value hash and the rounding stays inside codegen, ``s`` string,
 ``d`` DATE, ``t`` TIMESTAMP.
 """
 
@@ -32,9 +33,7 @@ def finalize(df: DataFrame, spec: str) -> DataFrame:
             c = c.cast("bigint")
         elif kind == "f":
             x = c.cast("double")
-            r = (F.signum(x) * F.floor(F.abs(x) * F.lit(10.0 ** DIGITS) + F.lit(0.5)).cast("double")
-                 / F.lit(10.0 ** DIGITS))
-            c = F.when(F.abs(x) < F.lit(1e9), r).otherwise(x) + F.lit(0.0)
+            c = F.rint(x * F.lit(10.0 ** DIGITS)) / F.lit(10.0 ** DIGITS) + F.lit(0.0)
         elif kind == "s":
             c = c.cast("string")
         elif kind == "d":
@@ -53,8 +52,7 @@ def wrap_sql(spec: str, sql: str) -> str:
             e = f"CAST({q} AS BIGINT)"
         elif kind == "f":
             x = f"CAST({q} AS DOUBLE)"
-            e = (f"CASE WHEN abs({x}) < 1e9 THEN sign({x}) * floor(abs({x}) * {10.0 ** DIGITS} + 0.5)"
-                 f" / {10.0 ** DIGITS} ELSE {x} END + 0.0")
+            e = f"round_even({x} * {10.0 ** DIGITS}, 0) / {10.0 ** DIGITS} + 0.0"
         elif kind == "s":
             e = f"CAST({q} AS VARCHAR)"
         elif kind == "d":
