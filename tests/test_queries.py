@@ -15,7 +15,8 @@ def test_every_query_has_oracle_or_is_declared(spark):
     import __spark_entry__ as E
     q, o = E.queries(), E.oracle_sql()
     missing = set(q) - set(o)
-    assert missing <= {"D9_leakage_inertness", "F2_no_future_rows", "A10_forecast_lift"}
+    assert missing <= {"D9_leakage_inertness", "F2_no_future_rows", "A10_forecast_lift",
+                       "M4b_gbt_quantiles", "M7_feature_importance"}
 
 
 @pytest.mark.parametrize("name", ["E10_backtest_metrics", "V14_recommendations", "A7_A8_vendor_scorecard"])
