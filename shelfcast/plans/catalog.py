@@ -9,3 +9,4 @@ from . import q_parts  # noqa: F401,E402
 from . import q_reports  # noqa: F401,E402
 from . import q_stream  # noqa: F401,E402
 from . import q_extra  # noqa: F401,E402
+from . import q_io  # noqa: F401,E402

@@ -221,7 +221,7 @@ def q_snaive_mirrored(t):
 
 
 @query("M4_quantile_forecast", PRED_SPEC, cte(**bt_ctes(**PRED_CTES)) + "\nSELECT * FROM preds",
-       ops=("M4", "M5", "M6", "W10"))
+       ops=("M4", "M5", "M6", "W10", "J8"))
 def q_quantiles(t):
     return predictions(t)
 

@@ -83,6 +83,6 @@ FEATURE_CTES = dict(lines=LINES_SQL, act=ACT_SQL, grid=GRID_SQL, dense=DENSE_SQL
 @query("panel_features", FEATURE_SPEC,
        cte(**FEATURE_CTES) + "\nSELECT * FROM panel",
        ops=("C3", "J1", "F1", "A1", "P2", "J7", "W1", "W2", "W4", "W5", "W9", "A2", "F3", "F4",
-            "J3", "S1", "S2"))
+            "J3", "S1", "S2", "O2"))
 def q_panel_features(t):
     return features(t)

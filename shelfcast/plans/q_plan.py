@@ -253,6 +253,6 @@ REC_CTES = dict(rec1=REC1_SQL, rec2=REC2_SQL, rec3=REC3_SQL, recs=RECS_SQL)
 
 @query("V14_recommendations", REC_SPEC, cte(**plan_ctes(**REC_CTES)) + "\nSELECT * FROM recs",
        ops=("A3", "A4", "O1", "F12", "V1", "V2", "V3", "V4", "V5", "V6", "V7", "V10", "V11",
-            "V14", "W11", "S5", "S7", "S8", "S14", "J11"))
+            "V14", "W11", "S5", "S7", "S8", "S14", "J11", "J5"))
 def q_recommendations(t):
     return flat_recs(t)
