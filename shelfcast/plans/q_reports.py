@@ -194,7 +194,7 @@ PAGE, LIMIT = 2, 10
 
 @query("O4_paged_recommendations", "rec_id:s rank:i status:s total:i page:i",
        _recs_sql(f"""SELECT rec_id, rank, status, (SELECT count(*) FROM recs) AS total, {PAGE} AS page FROM recs
-ORDER BY rank NULLS LAST, rec_id LIMIT {LIMIT} OFFSET {(PAGE - 1) * LIMIT}"""), ops=("O4", "O3", "F7"))
+ORDER BY rank NULLS LAST, rec_id LIMIT {LIMIT} OFFSET {(PAGE - 1) * LIMIT}"""), ops=("O4", "O3", "F7", "C9", "J5"))
 def q_page(t):
     r = DC.status_filter(recs(t), "status", "all")
     tot = r.agg(F.count(F.lit(1)).alias("total"))
