@@ -15,10 +15,16 @@ from .registry import cte, query
 LOOKBACK = 182
 
 
+def activity(t, origin=ORIGIN):
+    """A1 at the origin, written once and shared by the panel and the plan."""
+    return t.memo(f"activity_{origin}", lambda: materialize(
+        P.daily_activity(order_lines(t), origin, KEY, "purchase_ts", "price", "freight"), "activity"))
+
+
 def demand(t, origin=ORIGIN):
     """Dense daily demand panel with lag_7 (for the MASE scale)."""
     def build():
-        act = P.daily_activity(order_lines(t), origin, KEY, "purchase_ts", "price", "freight")
+        act = activity(t, origin).select(KEY, "day", "n_items")
         return P.add_lags(P.densify(act, origin, KEY, carry=()), KEY, "day", "n_items", (7,))
     return t.memo(f"demand_{origin}", build)
 

@@ -15,6 +15,7 @@ from ..operators import panel as P
 from . import q_backtest as BT
 from .domain import KEY, LT_COLS, ORIGIN, order_lines
 from .registry import cte, query
+from ..session import materialize
 
 TOP_N = 50
 SERVICE_ALPHA = 0.9
@@ -34,7 +35,7 @@ def series_info(t) -> DataFrame:
     """A3 + F12: median active-day price (0/NULL -> 50) and the lead-time
     snapshot (NULL -> 7 / 2 days) per series."""
     lines = order_lines(t)
-    act = P.daily_activity(lines, ORIGIN, KEY, "purchase_ts", "price", "freight")
+    act = BT.activity(t)
     price = act.groupBy(KEY).agg(F.percentile("avg_price", F.lit(0.5)).alias("price"))
     lt = P.lead_time_stats(lines, ORIGIN, KEY, **LT_COLS)
     return (price.join(lt, KEY, "left")
@@ -62,7 +63,13 @@ def store_of(t) -> DataFrame:
 
 
 def plan_base(t, alpha=SERVICE_ALPHA):
-    """Per top series: forecast summaries, economics, protection interval."""
+    """Per top series: forecast summaries, economics, protection interval.
+    Bounded by TOP_N rows; written once per service level because the plan,
+    the replay and the sweep each read it several times."""
+    return t.memo(f"plan_base_{alpha}", lambda: materialize(_plan_base(t, alpha), f"plan_base_{alpha}"))
+
+
+def _plan_base(t, alpha):
     fc = holdout(t)
     top = top_series(fc)
     topb = F.broadcast(top)           # bounded by TOP_N
@@ -73,13 +80,11 @@ def plan_base(t, alpha=SERVICE_ALPHA):
                            F.avg("pred_p90").alias("mean_p90")))
     info = series_info(t).join(topb.select(KEY), KEY, "left_semi")
     lead = F.least(F.greatest(F.bround("lt_mean", 0), F.lit(1.0)), F.lit(float(MAX_LEAD_DAYS)))
-    base = (topb.join(f, KEY).join(info, KEY)
-            .withColumn("daily_p50", F.greatest(F.col("_med_p50"), F.lit(0.01)))
-            .withColumn("on_hand", F.bround(F.lit(7.0) * F.col("daily_p50"), 2))
-            .withColumn("protection_days",
-                        I.protection_interval_days(lead.cast("int"), REVIEW_DAYS))
-            .withColumn("unit_cost", I.unit_cost("price"))
-            .withColumn("unit_margin", I.unit_margin("price")))
+    daily = F.greatest(F.col("_med_p50"), F.lit(0.01))
+    base = topb.join(f, KEY).join(info, KEY).select(
+        "*", daily.alias("daily_p50"), F.bround(F.lit(7.0) * daily, 2).alias("on_hand"),
+        I.protection_interval_days(lead.cast("int"), REVIEW_DAYS).alias("protection_days"),
+        I.unit_cost("price").alias("unit_cost"), I.unit_margin("price").alias("unit_margin"))
     hist = BT.bt_panel(t).join(topb.select(KEY), KEY, "left_semi")
     hist = hist.join(F.broadcast(base.select(KEY, F.col("train_end").alias("_te"))), KEY)
     iq = INV.interval_quantiles(hist, base.select(KEY, "protection_days"), KEY, alpha=alpha,
@@ -92,30 +97,31 @@ def recommendations(t, alpha=SERVICE_ALPHA) -> DataFrame:
     b = plan_base(t, alpha)
     b = INV.order_quantity(b, I.order_up_to_level("p_alpha_lt"), "on_hand", moq=1.0, pack=1.0)
     x = F.col("on_hand") / F.col("protection_days")
-    r = (b.withColumn("recommended_qty", F.bround("final_qty", 0))
-         .withColumn("reorder_point", F.bround(I.reorder_point("p_alpha_lt"), 2))
-         .withColumn("safety_stock", F.bround(I.safety_stock("p_alpha_lt", "p50_lt"), 2))
-         .withColumn("stockout_risk_7d",
-                     F.bround(I.exceedance_prob(x, "mean_p10", "mean_p50", "mean_p90"), 3))
-         .withColumn("days_to_stockout", I.days_to_stockout("on_hand", "daily_p50"))
-         .withColumn("cost_if_ignored", F.bround(
-             I.stockout_cost(F.col("mean_lt") - F.col("on_hand"), "unit_margin"), 2))
-         .withColumn("cost_of_action", F.bround(
-             I.holding_cost("recommended_qty", "unit_cost") * F.col("protection_days"), 2))
-         .withColumn("net_benefit", F.bround(F.col("cost_if_ignored") - F.col("cost_of_action"), 2))
-         .withColumn("rec_id", F.format_string("REC-%s-%s", F.col("date").cast("string"),
-                                               F.left(F.col(KEY).cast("string"), F.lit(8))))
-         .withColumn("product_id", F.col(KEY).cast("string"))
-         .withColumn("service_level", F.lit(float(alpha)))
-         .withColumn("confidence", F.lit(CONFIDENCE))
-         .withColumn("has_evidence", F.lit(True))
-         .withColumn("evidence", F.struct(
-             F.bround("p50_lt", 2).alias("p50_lt"), F.bround("p_alpha_lt", 2).alias("p90_lt"),
-             F.bround("lt_mean", 1).alias("lead_time_mean"),
-             F.bround("lt_std", 1).alias("lead_time_std"), F.col("confidence"),
-             F.array(*[F.lit(d) for d in TOP_DRIVERS]).alias("top_drivers")))
-         .withColumnRenamed("qty_flags", "guardrail_flags")
-         .withColumn("status", F.lit("pending")))
+    qty = F.bround("final_qty", 0)
+    r = b.withColumns({
+        "recommended_qty": qty,
+        "reorder_point": F.bround(I.reorder_point("p_alpha_lt"), 2),
+        "safety_stock": F.bround(I.safety_stock("p_alpha_lt", "p50_lt"), 2),
+        "stockout_risk_7d": F.bround(I.exceedance_prob(x, "mean_p10", "mean_p50", "mean_p90"), 3),
+        "days_to_stockout": I.days_to_stockout("on_hand", "daily_p50"),
+        "cost_if_ignored": F.bround(I.stockout_cost(F.col("mean_lt") - F.col("on_hand"), "unit_margin"), 2),
+        "cost_of_action": F.bround(I.holding_cost(qty, "unit_cost") * F.col("protection_days"), 2),
+        "rec_id": F.format_string("REC-%s-%s", F.col("date").cast("string"),
+                                  F.left(F.col(KEY).cast("string"), F.lit(8))),
+        "product_id": F.col(KEY).cast("string"),
+        "service_level": F.lit(float(alpha)),
+        "confidence": F.lit(CONFIDENCE),
+        "has_evidence": F.lit(True),
+        "status": F.lit("pending"),
+    })
+    r = r.withColumns({
+        "net_benefit": F.bround(F.col("cost_if_ignored") - F.col("cost_of_action"), 2),
+        "evidence": F.struct(
+            F.bround("p50_lt", 2).alias("p50_lt"), F.bround("p_alpha_lt", 2).alias("p90_lt"),
+            F.bround("lt_mean", 1).alias("lead_time_mean"),
+            F.bround("lt_std", 1).alias("lead_time_std"), F.col("confidence"),
+            F.array(*[F.lit(d) for d in TOP_DRIVERS]).alias("top_drivers")),
+    }).withColumnRenamed("qty_flags", "guardrail_flags")
     r = r.join(F.broadcast(store_of(t).join(r.select(KEY), KEY, "left_semi")), KEY, "left")
     r = DC.guardrails(r, order_by=("rank",), partition_by=("date",))
     r = DC.decide(r)
