@@ -182,6 +182,22 @@ def active_series(panel: DataFrame, fold_df: DataFrame, key: str, day: str = "da
             .filter(F.col("train_mean") >= min_daily))
 
 
+def training_stats(panel: DataFrame, fold_df: DataFrame, key: str, day: str = "day", y: str = "n_items",
+                   y_lag: str = "lag_7", min_daily: float = 0.10):
+    """One pass over the training rows of every fold giving both the MASE
+    scale per fold (E2) and the active-series set (A6). The per-(fold,
+    series) group is satisfied by the panel's partitioning on ``series``."""
+    tr = panel.join(F.broadcast(fold_df), F.col(day) <= F.col("train_end"), "inner")
+    diff = F.abs(F.col(y) - F.col(y_lag))
+    per = tr.groupBy("fold", key, "train_end", "calendar_start").agg(
+        F.sum(y).alias("_s"), F.sum(diff).alias("_ad"), F.count(diff).alias("_an"))
+    scales = per.groupBy("fold").agg((F.sum("_ad") / F.sum("_an")).alias("mase_scale"))
+    n_days = F.datediff("train_end", "calendar_start") + 1
+    active = (per.select("fold", key, (F.col("_s") / n_days).alias("train_mean"))
+              .filter(F.col("train_mean") >= min_daily))
+    return scales, active
+
+
 MODELS = [("naive", "pred_naive"), ("snaive", "pred_snaive"), ("ma", "pred_ma"),
           ("q_p50", "pred_p50")]
 

@@ -94,10 +94,21 @@ def scorecard_with_quality(card: DataFrame, inc: DataFrame, keys=("part_id", "su
                                                               F.col("total_qty")), F.lit(0.0))))
 
 
-def latest_n(df: DataFrame, keys, order: Column, tie: Column, n: int) -> DataFrame:
-    """Newest ``n`` rows per key group for all groups at once."""
-    w = Window.partitionBy(*keys).orderBy(order, tie)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+def latest_n(df: DataFrame, keys, order: Column, tie: Column, n: int, salt_col: str,
+             salts: int = 16) -> DataFrame:
+    """Newest ``n`` rows per key group for all groups at once, exact and
+    skew-safe. Phase 1 ranks inside (group, salt) sub-groups, salt = hash of
+    ``salt_col`` (default: the tie column) mod ``salts``, keeping each
+    sub-group's top n; phase 2 ranks the at most n x salts survivors per
+    group. ``salt_col`` should be a row id (unique within the group). A group holding a third of all rows is thus sorted by ``salts``
+    tasks, never one."""
+    keys = list(keys)
+    salt = F.pmod(F.xxhash64(F.col(salt_col)), F.lit(salts))
+    w1 = Window.partitionBy(*keys, "_salt").orderBy(order, tie)
+    part = (df.withColumn("_salt", salt).withColumn("_rn", F.row_number().over(w1))
+            .filter(F.col("_rn") <= n).drop("_rn", "_salt"))
+    w2 = Window.partitionBy(*keys).orderBy(order, tie)
+    return part.withColumn("_rn", F.row_number().over(w2)).filter(F.col("_rn") <= n).drop("_rn")
 
 
 def planner(df: DataFrame, risk: str, p50: str, p90: str, on_hand: str | None = None,

@@ -245,6 +245,5 @@ def q_active(t):
        ops=("E1", "E2", "E3", "E4", "E5", "E6", "E7", "E8", "E9", "E10", "M6"))
 def q_metrics(t):
     p = bt_panel(t)
-    f = bt_folds(p)
-    preds = FC.backtest_predictions(p, f, KEY, lookback=LOOKBACK)
-    return FC.backtest_metrics(preds, FC.mase_scales(p, f), FC.active_series(p, f, KEY), KEY)
+    scales, active = FC.training_stats(p, bt_folds(p), KEY)
+    return FC.backtest_metrics(predictions(t), scales, active, KEY)

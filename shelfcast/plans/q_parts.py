@@ -205,7 +205,8 @@ SELECT po_id, part_id, supplier_id, order_date, receipt_date,
 FROM (SELECT *, row_number() OVER (PARTITION BY part_id, supplier_id ORDER BY order_date DESC, po_id) AS rn FROM po)
 WHERE rn <= 500""", ops=("O5", "S15"))
 def q_latest_orders(t):
-    po = PT.latest_n(purchase_orders(t), ["part_id", "supplier_id"], F.desc("order_date"), F.asc("po_id"), 500)
+    po = PT.latest_n(purchase_orders(t), ["part_id", "supplier_id"], F.desc("order_date"), F.asc("po_id"), 500,
+                     salt_col="po_id")
     return po.withColumn("is_late", (F.col("receipt_date") > F.col("promised_date")).cast("int"))
 
 

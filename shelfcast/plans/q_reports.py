@@ -45,8 +45,8 @@ def q_kpis(t):
 def q_lift(t):
     from . import q_backtest as BT
     p = BT.bt_panel(t)
-    f = BT.bt_folds(p)
-    m = FC.backtest_metrics(BT.predictions(t), FC.mase_scales(p, f), FC.active_series(p, f, KEY), KEY)
+    scales, active = FC.training_stats(p, BT.bt_folds(p), KEY)
+    m = FC.backtest_metrics(BT.predictions(t), scales, active, KEY)
     w = (m.filter(F.col("metric") == "wape").groupBy("fold")
          .agg(F.first(F.when(F.col("model") == "ma", F.col("value")), ignorenulls=True).alias("ma"),
               F.first(F.when(F.col("model") == "q_p50", F.col("value")), ignorenulls=True).alias("q")))
