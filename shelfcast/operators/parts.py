@@ -20,12 +20,14 @@ def series_key(*cols) -> Column:
 
 def category_codes(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Sorted distinct values -> 0..k-1, NULL -> -1. The dictionary has
-    one row per distinct value (bounded by the category's cardinality) and
-    is broadcast back."""
+    one row per distinct value; it is joined back without a hint so AQE
+    broadcasts it only when its measured size is small (sort-merge beyond).
+    The code assignment ranks the distinct values, i.e. one row per
+    category, not per input row."""
     out = out or f"{col}_code"
     d = df.select(col).distinct().filter(F.col(col).isNotNull())
     codes = d.select(col, (F.dense_rank().over(Window.orderBy(col)) - 1).alias(out))
-    return (df.join(F.broadcast(codes), col, "left")
+    return (df.join(codes, col, "left")
             .withColumn(out, F.coalesce(F.col(out), F.lit(-1))))
 
 
