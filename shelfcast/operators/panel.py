@@ -206,17 +206,16 @@ def attach_series_stats(panel: DataFrame, stats: DataFrame, key: str,
 def build_features(lines: DataFrame, origin, key: str, ts: str, price: str, freight: str,
                    lt_cols: dict, holidays: DataFrame | None = None,
                    lags=(1, 7, 14, 28), windows=(7, 28)) -> DataFrame:
-    """Whole daily feature panel at ``origin``: A1 -> P2 -> W1/W2 -> W4/W5 ->
-    W9 -> A2 + J3. Every input is truncated at the origin, so rows after it
-    cannot change any output (D9)."""
-    act = daily_activity(lines, origin, key, ts, price, freight)
+    """Whole daily feature panel at ``origin``: A1 + A2 (one pass over the
+    lines) -> P2 -> W1/W2 -> W4/W5 -> W9 -> J3. Every input is truncated at
+    the origin, so rows after it cannot change any output (D9)."""
+    act, hist = activity_and_lead_times(lines, origin, key, ts, price, freight, **lt_cols)
     panel = densify(act, origin, key)
     panel = add_lags(panel, key, "day", "n_items", lags)
     panel = add_rolling(panel, key, "day", "n_items", windows)
     panel = add_calendar(panel, "day", holidays)
     panel = add_ratio(panel, "avg_price", "avg_freight", "price_over_freight_ratio")
-    lt = lead_time_stats(lines, origin, key, **lt_cols)
-    return attach_series_stats(panel, lt, key)
+    return attach_series_stats(panel, lead_time_stats_from_hist(hist, key), key)
 
 
 def daily_totals(panel: DataFrame, day: str, y: str) -> DataFrame:
@@ -252,3 +251,59 @@ def truncate_dead_zone(panel: DataFrame, day: str = "day", y: str = "n_items",
 def future_rows(panel: DataFrame, day: str, origin) -> DataFrame:
     """F2 post-condition as a row: number of rows after the origin (must be 0)."""
     return panel.agg(F.count_if(F.col(day) > _d(origin)).alias("rows_after_origin"))
+
+
+def line_aggregates(lines: DataFrame, origin, key: str, ts: str, price: str, freight: str,
+                    status: str, delivered_value: str, purchase: str, approved: str,
+                    carrier: str, delivered: str, day: str = "day") -> DataFrame:
+    """A1 and A2 inputs from ONE pass over the joined lines: a grouping-sets
+    aggregate over (key, day) -- the daily activity -- and (key, lead-time
+    value) -- a lead-time histogram. Spark expands each row into both sets
+    and aggregates them in one shuffle, so the large line/order join runs
+    once instead of twice. Split with ``activity_from`` / ``histogram_from``."""
+    end = origin_end(origin)
+    known = F.col(ts) < end
+    lt_ok = ((F.col(status) == delivered_value) & (F.col(purchase) < end) & (F.col(delivered) < end)
+             & valid_sequence(purchase, approved, carrier, delivered))
+    src = lines.filter(known | lt_ok).select(
+        F.col(key), F.when(known, F.to_date(F.col(ts))).alias(day), known.alias("_known"),
+        F.col(price).alias("_price"), F.col(freight).alias("_freight"),
+        F.when(lt_ok, lead_time_days(purchase, delivered)).alias("lt_days"))
+    g = (src.groupingSets([[key, day], [key, "lt_days"]], key, day, "lt_days")
+         .agg(F.count_if("_known").alias("_n"),
+              F.avg(F.when(F.col("_known"), F.col("_price"))).alias("avg_price"),
+              F.avg(F.when(F.col("_known"), F.col("_freight"))).alias("avg_freight"),
+              F.count("lt_days").alias("lt_count"), F.grouping_id().alias("_gid")))
+    return g
+
+
+# grouping_id bits over (key, day, lt_days): 1 = lt_days rolled up, 2 = day rolled up
+def activity_from(g: DataFrame, key: str, day: str = "day") -> DataFrame:
+    return (g.filter((F.col("_gid") == 1) & F.col(day).isNotNull() & (F.col("_n") > 0))
+            .select(key, day, F.col("_n").cast("double").alias("n_items"), "avg_price", "avg_freight"))
+
+
+def histogram_from(g: DataFrame, key: str) -> DataFrame:
+    return (g.filter((F.col("_gid") == 2) & F.col("lt_days").isNotNull())
+            .select(key, "lt_days", "lt_count"))
+
+
+def activity_and_lead_times(lines: DataFrame, origin, key: str, ts: str, price: str, freight: str,
+                            day: str = "day", **lt_cols):
+    """``(activity, lead_time_histogram)`` from one line aggregate."""
+    g = line_aggregates(lines, origin, key, ts, price, freight, day=day, **lt_cols)
+    return activity_from(g, key, day), histogram_from(g, key)
+
+
+def lead_time_stats_from_hist(hist: DataFrame, key: str) -> DataFrame:
+    """A2 from a (key, value, count) histogram: frequency-weighted mean,
+    sample std, exact p50/p90 (``percentile`` with a frequency column) and n."""
+    c, v = F.col("lt_count"), F.col("lt_days")
+    n = F.sum(c)
+    s1 = F.sum(c * v)
+    s2 = F.sum(c * v * v)
+    var = F.greatest(F.lit(0.0), (s2 - s1 * s1 / n) / (n - 1))
+    return hist.groupBy(key).agg(
+        (s1 / n).alias("lt_mean"), F.when(n > 1, F.sqrt(var)).alias("lt_std"),
+        F.percentile(v, F.lit(0.5), c).alias("lt_p50"), F.percentile(v, F.lit(0.9), c).alias("lt_p90"),
+        n.alias("lt_n"))

@@ -34,10 +34,9 @@ def holdout(t) -> DataFrame:
 def series_info(t) -> DataFrame:
     """A3 + F12: median active-day price (0/NULL -> 50) and the lead-time
     snapshot (NULL -> 7 / 2 days) per series."""
-    lines = order_lines(t)
     act = BT.activity(t)
     price = act.groupBy(KEY).agg(F.percentile("avg_price", F.lit(0.5)).alias("price"))
-    lt = P.lead_time_stats(lines, ORIGIN, KEY, **LT_COLS)
+    lt = BT.lead_times(t)
     return (price.join(lt, KEY, "left")
             .select(KEY, F.when(F.coalesce(F.col("price"), F.lit(0.0)) == 0, F.lit(50.0))
                     .otherwise(F.col("price")).alias("price"),
