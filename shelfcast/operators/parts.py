@@ -14,8 +14,8 @@ def flag01(c) -> Column:
 
 
 def series_key(*cols) -> Column:
-    """``site_part`` series key."""
-    return F.concat_ws("_", *[F.col(c).cast("string") for c in cols])
+    """``site_part`` series key from column names or Columns."""
+    return F.concat_ws("_", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols])
 
 
 def category_codes(df: DataFrame, col: str, out: str | None = None) -> DataFrame:

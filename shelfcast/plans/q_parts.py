@@ -55,8 +55,7 @@ def weekly_extract(t):
          .agg(F.sum("l_quantity").alias("consumption_qty"), F.count(F.lit(1)).cast("double").alias("n_lines"),
               F.max(F.when(F.col("l_returnflag") == "R", F.lit("Yes")).otherwise(F.lit("No"))).alias("_ret")))
     return g.select(F.lit(SITE).alias("site_id"), "part_id",
-                    PT.series_key(F.lit(SITE).alias("s"), "part_id").alias("series_id")
-                    if False else F.concat_ws("_", F.lit(SITE), F.col("part_id").cast("string")).alias("series_id"),
+                    F.concat_ws("_", F.lit(SITE), F.col("part_id").cast("string")).alias("series_id"),
                     "week", "consumption_qty", "n_lines", PT.flag01("_ret").alias("had_return"))
 
 
