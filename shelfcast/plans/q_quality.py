@@ -254,7 +254,12 @@ def q_leakage(t):
             .join(b.exceptAll(a).agg(F.count(F.lit(1)).alias("right_only")), how="inner"))
 
 
-@query("F2_no_future_rows", "rows_after_origin:i", None, ops=("F2",))
+def _future_sql():
+    from .q_panel import FEATURE_CTES
+    return cte(**FEATURE_CTES) + f"\nSELECT count_if(day > DATE '{ORIGIN}') AS rows_after_origin FROM panel"
+
+
+@query("F2_no_future_rows", "rows_after_origin:i", _future_sql(), ops=("F2",))
 def q_future(t):
     from .q_panel import features
     return P.future_rows(features(t), "day", ORIGIN)

@@ -41,7 +41,15 @@ def q_kpis(t):
                  F.count_if(F.col("status") == "escalated").alias("n_escalated"))
 
 
-@query("A10_forecast_lift", "lift_pct:f", None, ops=("A10",))
+def _lift_sql():
+    from . import q_backtest as BT
+    ctes = BT.bt_ctes(**BT.PRED_CTES, active=BT.ACTIVE_SQL, scale=BT.SCALE_SQL, pm=BT.POINT_SQL)
+    return "WITH " + ",\n".join(f"{k} AS (\n{v}\n)" for k, v in ctes.items()) + """
+SELECT avg((m.wape - q.wape) / m.wape) * 100 AS lift_pct
+FROM pm m JOIN pm q ON q.fold = m.fold AND q.model = 'q_p50' WHERE m.model = 'ma'"""
+
+
+@query("A10_forecast_lift", "lift_pct:f", _lift_sql(), ops=("A10",))
 def q_lift(t):
     from . import q_backtest as BT
     p = BT.bt_panel(t)

@@ -15,7 +15,7 @@ def test_every_query_has_oracle_or_is_declared(spark):
     import __spark_entry__ as E
     q, o = E.queries(), E.oracle_sql()
     missing = set(q) - set(o)
-    assert missing <= {"D9_leakage_inertness", "F2_no_future_rows", "A10_forecast_lift", "D8_forbidden_feature_columns",
+    assert missing <= {"D9_leakage_inertness", "D8_forbidden_feature_columns",
                        "M4b_gbt_quantiles", "M7_feature_importance"}
 
 
