@@ -31,7 +31,7 @@ def daily_counts_stream(spark: SparkSession, src_dir: str, schema: T.StructType,
     if isinstance(schema[ts].dataType, T.TimestampNTZType):
         # watermarks need TIMESTAMP: read the wall clock as UTC instants so
         # windows align to UTC days whatever the session time zone is
-        s = s.withColumn(ts, F.to_utc_timestamp(F.col(ts).cast("timestamp"), tz))
+        s = s.withColumn(ts, F.from_utc_timestamp(F.col(ts).cast("timestamp"), tz))
     return (s.withWatermark(ts, late)
             .groupBy(F.window(ts, "1 day").alias("w"), F.col(key))
             .agg(F.count(F.lit(1)).alias("n_events"), F.sum(value).alias("total_value")))
@@ -52,11 +52,11 @@ def run_daily_counts(spark: SparkSession, src_dir: str, schema: T.StructType, ts
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
     res = spark.read.parquet(out)
-    tz = spark.conf.get("spark.sql.session.timeZone")
     w = Window.partitionBy("w", key).orderBy(F.desc("batch_id"))
+    # UTC calendar day of the window start, independent of the session zone
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
     return (res.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
-            .select(F.to_date(F.from_utc_timestamp(F.col("w.start"), tz)).alias("day"), key,
-                    "n_events", "total_value"))
+            .select(day.alias("day"), key, "n_events", "total_value"))
 
 
 def upsert_latest(spark: SparkSession, src_dir: str, schema: T.StructType, key: str, order: str,
