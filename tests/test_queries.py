@@ -35,3 +35,14 @@ def test_leakage_query_is_zero(spark):
     import __spark_entry__ as E
     r = E.queries()["D9_leakage_inertness"](spark, SF001).first()
     assert (r.left_only, r.right_only) == (0, 0)
+
+
+def test_stream_counts_independent_of_session_time_zone(spark):
+    import __spark_entry__ as E
+    q = E.queries()["T1_stream_daily_counts"]
+    out = []
+    for tz in ("UTC", "America/New_York", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", tz)
+        out.append(sorted(tuple(r) for r in q(spark, SF001).collect()))
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert out[0] == out[1] == out[2]
