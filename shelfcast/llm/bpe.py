@@ -27,15 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import per_process, replace_columns, texts_of
+from .common import bounded_runs, gather_ids, per_process, pieces_of, replace_columns
 from .transducer import Lexicon, build, image
 
 SHARE = 1 << 19
 #: Words that a worker remembers beside the lexicon before it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 #: The public pre-tokenizer rule of byte-level BPE (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_BEFORE_BLANK = re.compile(r"\s ")
+#: White space before a blank: such texts are cut by the slower, general rule.
+_BEFORE_BLANK = "[\t-\r \x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] "
+_MARKS = (".", ",", ";", ":", "!", "?")
 _CUTS = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 
 
@@ -87,6 +89,7 @@ class Tokenizer:
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") \
             if self.special else None
         self.pretokens = regex.compile(PATTERN).findall
+        self.byte_table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
         self.text_of = list(map(str, range(max(self.bytes_of) + 1)))
 
     def merge(self, word: bytes) -> tuple[int, ...]:
@@ -167,7 +170,7 @@ class Tokenizer:
 
     def decode(self, ids) -> bytes:
         """UTF-8 text of token ids (bytes that are no UTF-8 are replaced)."""
-        raw = b"".join(map(self.bytes_of.__getitem__, ids))
+        raw = b"".join(map(self.byte_table.__getitem__, ids))
         return raw.decode("utf-8", "replace").encode()
 
 
@@ -176,66 +179,77 @@ class Encoder:
 
     def __init__(self, tokenizer: Tokenizer, lexicon: Lexicon | None = None):
         self.t, self.lexicon = tokenizer, lexicon
-        # Token ids as little-endian 32-bit integers: of pre-tokens, and of what
-        # follows a blank (the blank left out).
-        self.words: dict[str, bytes] = {}
+        # Token ids as little-endian 32-bit integers of what follows a blank (the
+        # blank left out), and of marks.
         self.pieces: dict[str, bytes] = {}
+        self.marks = dict(zip(_MARKS, tokenizer.merge_all([m.encode() for m in _MARKS])))
 
     def _encode_all(self, parts: list[str]) -> list[bytes]:
         """Ids of parts that the pre-tokenizer keeps apart."""
         split = self.t.pretokens
         # A blank and letters only, the usual case, are one pre-token.
         cut = [(p,) if p[1:].isalpha() and p[0] == " " else split(p) for p in parts]
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        words = self.words
-        unseen = list(set(chain.from_iterable(cut)).difference(words))
-        if unseen:
-            raw = [w.encode() for w in unseen]
-            found = self.lexicon.numbers(raw).tolist() if self.lexicon else [-1] * len(raw)
-            rest = iter(self.t.merge_all([b for b, k in zip(raw, found) if k < 0]))
-            for w, k in zip(unseen, found):
-                words[w] = self.lexicon.ids_of(k) if k >= 0 else next(rest)
+        distinct = list(set(chain.from_iterable(cut)))
+        raw = [w.encode() for w in distinct]
+        found = self.lexicon.numbers(raw).tolist() if self.lexicon else [-1] * len(raw)
+        rest = iter(self.t.merge_all([b for b, k in zip(raw, found) if k < 0]))
+        words = {w: self.lexicon.ids_of(k) if k >= 0 else next(rest) for w, k in zip(distinct, found)}
         return [words[x[0]] if len(x) == 1 else b"".join(map(words.__getitem__, x)) for x in cut]
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; call with a bounded amount of text at a time."""
-        plan: list[list] = []                      # per text: ids, or (parts that stand alone, pieces after a blank)
-        alone: set[str] = set()
-        pieces: set[str] = set()
-        special = self.t.special
+    def _learn(self, pieces: set[str]) -> None:
+        """Ids of new pieces that follow a blank. A word with one mark after it
+        is the word and the mark, which the pre-tokenizer keeps apart."""
+        known, marked, todo = self.pieces, [], set()
+        for p in pieces:
+            if p[-1:] in _MARKS and p[:-1].isalpha():
+                marked.append(p)
+                if p[:-1] not in known:
+                    todo.add(p[:-1])
+            else:
+                todo.add(p)
+        new = list(todo)
+        known.update(zip(new, self._encode_all([" " + p for p in new])))
+        known.update([(p, known[p[:-1]] + self.marks[p[-1]]) for p in marked])
+
+    def encode_batch(self, texts) -> list[np.ndarray]:
+        """Ids of each text of an Arrow string array (null: none); call with a
+        bounded amount of text at a time."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        texts = pc.fill_null(texts, "").cast(pa.string())
+        odd = pc.match_substring_regex(texts, _BEFORE_BLANK)
+        for s in self.t.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
         if len(self.pieces) > REMEMBERED:
             self.pieces = {}
-        for text in texts:
-            mine = []
-            for s in self.t.cut_special.split(text) if special and any(x in text for x in special) else (text,):
-                if s in special:
-                    mine.append(np.array([special[s]], "<i4").tobytes())
-                elif _BEFORE_BLANK.search(s):
-                    mine.append((_CUTS.split(s), ()))
-                    alone.update(mine[-1][0])
-                else:
-                    first, *rest = s.split(" ")
-                    mine.append(((first,), rest))
-                    alone.add(first)
-                    pieces.update(rest)
-            plan.append(mine)
-        heads = list(alone)
-        head = dict(zip(heads, self._encode_all(heads))).__getitem__
-        todo = list(pieces.difference(self.pieces))
-        self.pieces.update(zip(todo, self._encode_all([" " + p for p in todo])))
-        get, out = self.pieces.__getitem__, []
-        for mine in plan:
-            raw = []
-            for x in mine:
-                if isinstance(x, bytes):
-                    raw.append(x)
-                else:
-                    raw.extend(map(head, x[0]))
-                    raw.extend(map(get, x[1]))
-            out.append(np.frombuffer(b"".join(raw), "<i4"))
+        out: list = [None] * len(texts)
+        plain = np.flatnonzero(~odd.to_numpy(zero_copy_only=False))
+        if len(plain):
+            distinct, which, offsets = pieces_of(pc.split_pattern(texts.take(pa.array(plain)), " "))
+            # What a text begins with follows no blank: those pieces come after the distinct ones.
+            begins = offsets[:-1]
+            heads, place = np.unique(which[begins], return_inverse=True)
+            which = which.astype(np.int64)
+            which[begins] = len(distinct) + place
+            self._learn({p for p in distinct if p not in self.pieces})
+            raw = list(map(self.pieces.__getitem__, distinct)) + self._encode_all([distinct[h] for h in heads.tolist()])
+            for i, ids in zip(plain.tolist(), gather_ids(raw, which, offsets)):
+                out[i] = ids
+        for i, ids in enumerate(out):
+            if ids is None:
+                out[i] = self._encode_odd(texts[i].as_py())
         return out
 
+    def _encode_odd(self, text: str) -> np.ndarray:
+        """A text with special tokens or blanks after white space."""
+        raw = []
+        for s in self.t.cut_special.split(text) if self.t.cut_special else (text,):
+            if s in self.t.special:
+                raw.append(np.array([self.t.special[s]], "<i4").tobytes())
+            else:
+                raw.extend(self._encode_all(_CUTS.split(s)))
+        return np.frombuffer(b"".join(raw), "<i4")
+
 
 def frequent_words(docs: DataFrame, share: int = SHARE) -> list[str]:
     """Words (cut at blanks) that make up more than one in ``share`` of all
@@ -258,22 +272,11 @@ def compile_lexicon(words: list[str], tokenizer: Tokenizer) -> bytes:
 
 
 def _encoder(key, spec: bytes, lexicon: bytes) -> Encoder:
+    import gc
+    gc.disable()                                        # the table of pieces is large and has no cycles
     return per_process(("bpe", key), lambda: Encoder(Tokenizer(spec), Lexicon(lexicon)))
 
 
-def _bounded(texts, size: int = 1 << 21):
-    """Runs of whole texts of about ``size`` bytes."""
-    some, total = [], 0
-    for t in texts:
-        some.append(t.decode())
-        total += len(t)
-        if total >= size:
-            yield some
-            some, total = [], 0
-    if some:
-        yield some
-
-
 def encode(docs: DataFrame, tokenizer_path: str, share: int = SHARE, digests: bool = False, ids: bool = True) -> DataFrame:
     """Every input column plus n_tokens and ``ids``; with ``digests`` also
     ids_sha256 and decoded_sha256, taken from the ids and from their decoding."""
@@ -294,7 +297,7 @@ def encode(docs: DataFrame, tokenizer_path: str, share: int = SHARE, digests: bo
         text_of = coder.t.text_of.__getitem__
         for batch in batches:
             counts, flat, id_hash, text_hash = [], [], [], []
-            for texts in _bounded(texts_of(batch.column(at))):
+            for texts in bounded_runs(batch.column(at)):
                 for got in coder.encode_batch(texts):
                     counts.append(len(got))
                     if ids:

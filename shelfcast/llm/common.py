@@ -46,3 +46,46 @@ def per_process(key, make):
     if key not in held:
         held[key] = make()
     return held[key]
+
+
+def pieces_of(split):
+    """Of an Arrow array of lists of strings: the distinct strings, the number
+    of each string in order, and where each list begins and ends."""
+    import numpy as np
+    import pyarrow as pa
+    if isinstance(split, pa.ChunkedArray):
+        split = split.combine_chunks()
+    coded = split.flatten().dictionary_encode()
+    offsets = split.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), offsets - offsets[0]
+
+
+def gather_ids(raw: list[bytes], which, offsets):
+    """Token ids of every text, whose pieces are ``which[a:b]`` by offsets;
+    ``raw``: each distinct piece's ids as little-endian 32-bit integers."""
+    import numpy as np
+    flat = np.frombuffer(b"".join(raw), "<i4")
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+    starts = np.cumsum(sizes) - sizes
+    n = sizes[which]
+    ends = np.cumsum(n)
+    at = np.repeat(starts[which] - (ends - n), n)
+    at += np.arange(len(at))
+    ids = flat[at]
+    bounds = np.concatenate([[0], ends])[offsets]
+    return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+
+def bounded_runs(column, size: int = 1 << 22):
+    """Slices of an Arrow string column of about ``size`` bytes of whole texts."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    lengths = pc.fill_null(pc.binary_length(column.cast(pa.large_string())), 0).to_pylist()
+    begin = total = 0
+    for i, n in enumerate(lengths):
+        total += n
+        if total >= size:
+            yield column.slice(begin, i + 1 - begin)
+            begin, total = i + 1, 0
+    if begin < len(lengths):
+        yield column.slice(begin)

@@ -28,6 +28,8 @@ Defined results: null text counts as empty; each document ends with ``end_id``
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import uuid
 import zlib
 from itertools import chain
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, materialize
-from .common import per_process, texts_of
+from .common import bounded_runs, gather_ids, per_process, pieces_of
 
 MAGIC = b"SCTOK001"
 #: Bounded sample that the dictionary is trained on.
@@ -45,14 +47,22 @@ SAMPLE_DOCS = 1000
 SAMPLE_CHARS = 8192
 DICTIONARY_BYTES = 1 << 16
 LEVEL = 3
-REMEMBERED = 250_000
+#: Pieces that a worker remembers before it starts anew.
+REMEMBERED = 1_200_000
+
+
+#: Letters of one alphabet with at most one mark after them: the tokenizer sees
+#: a word, and the mark as a word of its own.
+_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 
 
 class CachedTokenizer:
     """The tokenizers library behind a table of pieces already encoded.
 
     Pieces are cut at blanks and line ends, which the tokenizer drops; a piece
-    is encoded by the library the first time it is seen.
+    is encoded by the library the first time it is seen. New plain words go to
+    the library many at a time and are told apart by their word-end tokens.
+    What may be cut, lower-cased or joined is probed on the tokenizer itself.
     """
 
     def __init__(self, spec: bytes):
@@ -61,45 +71,83 @@ class CachedTokenizer:
         self.t.no_truncation()
         self.t.no_padding()
         self.seen: dict[str, bytes] = {}
+        data = json.loads(spec)
+        model = data["model"]
+        self.special = [t["content"] for t in data["added_tokens"]]
+        suffix = model.get("end_of_word_suffix")
+        self.ends = np.zeros(self.t.get_vocab_size(with_added_tokens=True) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+        apart = lambda *words: b"".join(map(self._one, words))
         # Only a tokenizer that treats blanks as mere separators may be cut.
-        probe = ["a b", "a  b", " a b ", "a\nb", "a \r\n\tb"]
-        self.cuts = all(x.ids == self.t.encode("a", add_special_tokens=False).ids
-                        + self.t.encode("b", add_special_tokens=False).ids
-                        for x in self.t.encode_batch(probe, add_special_tokens=False))
-
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        self.cuts = all(self._one(x) == apart("a", "b") for x in ("a b", "a  b", " a b ", "a\nb", "a \r\n\t\v\fb"))
+        probes = [chr(c) for c in range(65, 256) if _SIMPLE.fullmatch(chr(c))]
+        self.plain = self.cuts and bool(suffix) and all(
+            self._one("a" + c) == self._one("a" + c.lower()) and self.ends[np.frombuffer(self._one("a" + c), "<i4")].sum() == 1
+            and all(self._one(c + m) == apart(c, m) for m in ".,;:!?") for c in probes)
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.t.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        seen, words, rest, later = self.seen, set(), [], []
+        for p in pieces:
+            m = _SIMPLE.fullmatch(p) if self.plain else None
+            if m is None:
+                rest.append(p)
+                continue
+            word = m[1].lower()
+            later.append((p, word, m[2]))
+            if word not in seen:
+                words.add(word)
+        todo = list(words)
+        for at in range(0, len(todo), 8192):
+            part = todo[at:at + 8192]
+            lines = [part[i:i + 64] for i in range(0, len(part), 64)]
+            for line, x in zip(lines, self.t.encode_batch_fast([" ".join(w) for w in lines], add_special_tokens=False)):
+                ids = np.array(x.ids, "<i4")
+                stop = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+                if len(stop) != len(line):
+                    raise ValueError("the tokenizer's words differ from its probes")
+                raw = ids.tobytes()
+                seen.update(zip(line, [raw[a:b] for a, b in zip([0, *stop], stop)]))
+        for at in range(0, len(rest), 4096):
+            part = rest[at:at + 4096]
+            seen.update(zip(part, (np.array(x.ids, "<i4").tobytes()
+                                   for x in self.t.encode_batch_fast(part, add_special_tokens=False))))
+        for p, word, mark in later:
+            if mark and mark not in seen:
+                seen[mark] = self._one(mark)
+            seen[p] = seen[word] + seen[mark] if mark else seen[word]
+
+    def encode_batch(self, texts) -> list[np.ndarray]:
+        """Ids of each text of an Arrow string array (null: none)."""
+        import pyarrow.compute as pc
+        texts = pc.fill_null(texts, "")
         if not self.cuts:
-            return [np.array(x.ids, "<i4") for x in self.t.encode_batch(texts, add_special_tokens=False)]
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+            return [np.array(x.ids, "<i4") for x in self.t.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        if self.plain:
+            # Letters' case is lost in the tokenizer anyway, unless it makes a special token.
+            low = pc.ascii_lower(texts)
+            if not any(pc.any(pc.match_substring(low, s, ignore_case=True)).as_py() for s in self.special):
+                texts = low
+        distinct, which, offsets = pieces_of(pc.ascii_split_whitespace(texts))
         if len(self.seen) > REMEMBERED:
             self.seen = {}
-        unseen = list(set(chain.from_iterable(cut)).difference(self.seen))
-        for at in range(0, len(unseen), 4096):
-            part = unseen[at:at + 4096]
-            self.seen.update(zip(part, (np.array(x.ids, "<i4").tobytes()
-                                        for x in self.t.encode_batch(part, add_special_tokens=False))))
-        get = self.seen.__getitem__
-        return [np.frombuffer(b"".join(map(get, pieces)), "<i4") for pieces in cut]
+        unseen = [p for p in distinct if p not in self.seen]
+        if unseen:
+            self._learn(unseen)
+        return gather_ids(list(map(self.seen.__getitem__, distinct)), which, offsets)
 
 
 def _tokenizer(spec: bytes) -> CachedTokenizer:
+    import gc
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark runs one task per core
+    gc.disable()                                        # the table of pieces is large and has no cycles
     return per_process(("tokens", hashlib.sha256(spec).digest()), lambda: CachedTokenizer(spec))
 
 
-def _bounded(texts, size: int = 1 << 21):
-    some, total = [], 0
-    for t in texts:
-        some.append(t.decode())
-        total += len(t)
-        if total >= size:
-            yield some
-            some, total = [], 0
-    if some:
-        yield some
-
-
 def train_dictionary(docs: DataFrame, spec: bytes, end_id: int, width: int, sample_docs: int = SAMPLE_DOCS) -> bytes:
     """Dictionary from the ids of the beginnings of a fixed number of
     documents, those with the smallest hashes."""
@@ -111,7 +159,7 @@ def train_dictionary(docs: DataFrame, spec: bytes, end_id: int, width: int, samp
         import pyarrow as pa
         coder = _tokenizer(spec)
         for batch in batches:
-            got = [x for part in _bounded(texts_of(batch.column(0))) for x in coder.encode_batch(part)]
+            got = [x for part in bounded_runs(batch.column(0)) for x in coder.encode_batch(part)]
             yield pa.RecordBatch.from_arrays([pa.array([_serialized(x, end_id, width) for x in got], pa.binary())], ["b"])
 
     samples = [bytes(r.b) for r in sample.mapInArrow(run, "b binary").collect()]
@@ -221,7 +269,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, root: str | None =
                 store.create_dir(folder, recursive=True)
                 writer = Writer(store.open_output_stream(f"{folder}/{name}"), dictionary, width)
             ids += batch.column(0).to_pylist()
-            for part in _bounded(texts_of(batch.column(1))):
+            for part in bounded_runs(batch.column(1)):
                 for got in coder.encode_batch(part):
                     writer.add(_serialized(got, end_id, width))
         if writer is not None:
