@@ -32,7 +32,7 @@ from .transducer import Lexicon, build, image
 
 SHARE = 1 << 19
 #: Words that a worker remembers beside the lexicon before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: The public pre-tokenizer rule of byte-level BPE (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space before a blank: such texts are cut by the slower, general rule.
