@@ -296,23 +296,19 @@ def encode(docs: DataFrame, tokenizer_path: str, share: int = SHARE, digests: bo
         coder = _encoder(key, *sent.value)
         text_of = coder.t.text_of.__getitem__
         for batch in batches:
-            counts, flat, id_hash, text_hash = [], [], [], []
-            for texts in bounded_runs(batch.column(at)):
-                for got in coder.encode_batch(texts):
-                    counts.append(len(got))
-                    if ids:
-                        flat.append(got)
-                    if digests:
-                        own = got.tolist()
-                        id_hash.append(hashlib.sha256(",".join(map(text_of, own)).encode()).hexdigest())
-                        text_hash.append(hashlib.sha256(coder.t.decode(own)).hexdigest())
-            columns = [*batch.columns, pa.array(counts, pa.int64())]
-            if ids:
-                values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-                columns.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), values))
-            if digests:
-                columns += [pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for part in bounded_runs(batch, at):
+                got = coder.encode_batch(part.column(at))
+                counts = np.fromiter(map(len, got), np.int64, len(got))
+                columns = [*part.columns, pa.array(counts)]
+                if ids:
+                    columns.append(pa.ListArray.from_arrays(
+                        np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), np.concatenate(got)))
+                if digests:
+                    own = [x.tolist() for x in got]
+                    columns.append(pa.array([hashlib.sha256(",".join(map(text_of, x)).encode()).hexdigest() for x in own]))
+                    columns.append(pa.array([hashlib.sha256(coder.t.decode(x)).hexdigest() for x in own]))
+                yield pa.RecordBatch.from_arrays(columns, names)
+        coder.pieces = {}                # an idle worker must not keep what later work could use
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 

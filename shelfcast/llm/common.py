@@ -76,16 +76,17 @@ def gather_ids(raw: list[bytes], which, offsets):
     return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
-def bounded_runs(column, size: int = 1 << 22):
-    """Slices of an Arrow string column of about ``size`` bytes of whole texts."""
+def bounded_runs(batch, at: int, size: int = 1 << 22):
+    """Slices of a record batch with about ``size`` bytes of whole texts in
+    column ``at`` each."""
     import pyarrow as pa
     import pyarrow.compute as pc
-    lengths = pc.fill_null(pc.binary_length(column.cast(pa.large_string())), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(batch.column(at).cast(pa.large_string())), 0).to_pylist()
     begin = total = 0
     for i, n in enumerate(lengths):
         total += n
         if total >= size:
-            yield column.slice(begin, i + 1 - begin)
+            yield batch.slice(begin, i + 1 - begin)
             begin, total = i + 1, 0
     if begin < len(lengths):
-        yield column.slice(begin)
+        yield batch.slice(begin)

@@ -164,14 +164,16 @@ def _groups(benchmark: DataFrame, group_bytes: int):
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS,
-         group_bytes: int = GROUP_BYTES) -> DataFrame:
+         group_bytes: int = GROUP_BYTES, cut: bool = False) -> DataFrame:
     """Every input column plus n_words, spans (flat starts and ends of hit
-    words) and items (the item_ids whose windows occur)."""
+    words) and items (the item_ids whose windows occur). With ``cut`` the
+    columns stay as they are, the spans are cut out of the texts, and a
+    document left without any word by that is dropped."""
     docs = replace_columns(docs, tuple(_RESULT.names))
     at, width = [c.lower() for c in docs.columns].index("text"), len(docs.columns)
     schema, names = T.StructType([*docs.schema.fields, *_RESULT.fields]), [*docs.columns, *_RESULT.names]
 
-    def one_pass(df: DataFrame, table: dict, first: bool) -> DataFrame:
+    def one_pass(df: DataFrame, table: dict, first: bool, last: bool) -> DataFrame:
         session = df.sparkSession
         sent = session.sparkContext.broadcast(list(table.items()))
 
@@ -189,18 +191,24 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
                             both = np.concatenate([spans[i], np.array(s, np.int64)])
                             spans[i] = merge_spans(both[::2], both[1::2], n[i])
                         items[i] = items[i] | set(o)
+                if cut and last:
+                    yield _cut_batch(batch, names, width, at, spans)
+                    continue
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:width], pa.array(n, pa.int64()), pa.array([s.tolist() for s in spans], pa.list_(pa.int64())),
                      pa.array([sorted(o) for o in items], pa.list_(pa.string()))], names)
 
-        return df.mapInArrow(run, schema)
+        return df.mapInArrow(run, kept if cut and last else schema)
 
-    out = docs
-    passes = 0
-    for group in _groups(benchmark, group_bytes):
-        out = one_pass(out, windows(group, window), passes == 0)
-        passes += 1
-    return out if passes else one_pass(docs, {}, True)
+    kept, out, first = docs.schema, docs, True
+    groups = _groups(benchmark, group_bytes)
+    group = next(groups, [])
+    while True:
+        following = next(groups, None)
+        out = one_pass(out, windows(group, window), first, following is None)
+        if following is None:
+            return out
+        group, first = following, False
 
 
 def n_hit(spans: str = "spans") -> F.Column:
@@ -222,30 +230,21 @@ def cut_spans(text: bytes, spans: list[int]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
+def _cut_batch(batch, names, width, at, spans):
+    import pyarrow as pa
+    columns, keep = list(batch.columns[:width]), [True] * batch.num_rows
+    if any(len(s) for s in spans):
+        texts = columns[at].to_pylist()
+        for i, s in enumerate(spans):
+            if len(s):
+                left = cut_spans(texts[i].encode(), s)
+                keep[i] = bool(words_of(left))
+                texts[i] = left.decode()
+        columns[at] = pa.array(texts, columns[at].type)
+    return pa.RecordBatch.from_arrays(columns, names[:width]).filter(pa.array(keep, pa.bool_()))
+
+
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents with every hit span cut out of the text; the columns stay.
     A document left without any word by the cuts is dropped."""
-    found = find(docs, benchmark, window)
-    at, width = [c.lower() for c in docs.columns].index("text"), len(docs.columns)
-    names = list(docs.columns)
-    where = found.columns.index("spans")
-    order = [found.columns.index(c) for c in names]
-
-    def run(batches):
-        import pyarrow as pa
-        for batch in batches:
-            spans = batch.column(where).to_pylist()
-            columns = [batch.column(i) for i in order]
-            keep = [True] * batch.num_rows
-            if any(spans):
-                texts = columns[at].to_pylist()
-                for i, s in enumerate(spans):
-                    if s:
-                        cut = cut_spans(texts[i].encode(), s)
-                        keep[i] = bool(words_of(cut))
-                        texts[i] = cut.decode()
-                columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
-
-    del width
-    return found.mapInArrow(run, docs.schema)
+    return find(docs, benchmark, window, cut=True)

@@ -159,7 +159,7 @@ def train_dictionary(docs: DataFrame, spec: bytes, end_id: int, width: int, samp
         import pyarrow as pa
         coder = _tokenizer(spec)
         for batch in batches:
-            got = [x for part in bounded_runs(batch.column(0)) for x in coder.encode_batch(part)]
+            got = [x for part in bounded_runs(batch, 0) for x in coder.encode_batch(part.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([_serialized(x, end_id, width) for x in got], pa.binary())], ["b"])
 
     samples = [bytes(r.b) for r in sample.mapInArrow(run, "b binary").collect()]
@@ -269,8 +269,8 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, root: str | None =
                 store.create_dir(folder, recursive=True)
                 writer = Writer(store.open_output_stream(f"{folder}/{name}"), dictionary, width)
             ids += batch.column(0).to_pylist()
-            for part in bounded_runs(batch.column(1)):
-                for got in coder.encode_batch(part):
+            for part in bounded_runs(batch, 1):
+                for got in coder.encode_batch(part.column(1)):
                     writer.add(_serialized(got, end_id, width))
         if writer is not None:
             writer.close()
