@@ -16,6 +16,7 @@ get equal results; input columns named like a result are replaced.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -32,7 +33,9 @@ from .transducer import Lexicon, build, image
 
 SHARE = 1 << 19
 #: Words that a worker remembers beside the lexicon before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: Text that is encoded at a time.
+RUN_BYTES = 1 << 21
 #: The public pre-tokenizer rule of byte-level BPE (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space before a blank: such texts are cut by the slower, general rule.
@@ -272,8 +275,6 @@ def compile_lexicon(words: list[str], tokenizer: Tokenizer) -> bytes:
 
 
 def _encoder(key, spec: bytes, lexicon: bytes) -> Encoder:
-    import gc
-    gc.disable()                                        # the table of pieces is large and has no cycles
     return per_process(("bpe", key), lambda: Encoder(Tokenizer(spec), Lexicon(lexicon)))
 
 
@@ -294,9 +295,10 @@ def encode(docs: DataFrame, tokenizer_path: str, share: int = SHARE, digests: bo
     def run(batches):
         import pyarrow as pa
         coder = _encoder(key, *sent.value)
+        gc.disable()                     # the table of pieces is large and has no cycles
         text_of = coder.t.text_of.__getitem__
         for batch in batches:
-            for part in bounded_runs(batch, at):
+            for part in bounded_runs(batch, at, RUN_BYTES):
                 got = coder.encode_batch(part.column(at))
                 counts = np.fromiter(map(len, got), np.int64, len(got))
                 columns = [*part.columns, pa.array(counts)]
@@ -308,7 +310,9 @@ def encode(docs: DataFrame, tokenizer_path: str, share: int = SHARE, digests: bo
                     columns.append(pa.array([hashlib.sha256(",".join(map(text_of, x)).encode()).hexdigest() for x in own]))
                     columns.append(pa.array([hashlib.sha256(coder.t.decode(x)).hexdigest() for x in own]))
                 yield pa.RecordBatch.from_arrays(columns, names)
-        coder.pieces = {}                # an idle worker must not keep what later work could use
+        # An idle worker must not keep what later work could use.
+        coder.pieces = {}
+        gc.enable()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 

@@ -27,6 +27,7 @@ Defined results: null text counts as empty; each document ends with ``end_id``
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -141,10 +142,8 @@ class CachedTokenizer:
 
 
 def _tokenizer(spec: bytes) -> CachedTokenizer:
-    import gc
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark runs one task per core
-    gc.disable()                                        # the table of pieces is large and has no cycles
     return per_process(("tokens", hashlib.sha256(spec).digest()), lambda: CachedTokenizer(spec))
 
 
@@ -261,6 +260,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, root: str | None =
         from pyspark import TaskContext
         spec, dictionary = sent.value
         coder, writer, ids = _tokenizer(spec), None, []
+        gc.disable()                                   # the table of pieces is large and has no cycles
         number = TaskContext.get().partitionId()
         name = f"{number:06d}-{uuid.uuid4().hex}.tok"
         store, folder = _store(root)
@@ -272,6 +272,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, root: str | None =
             for part in bounded_runs(batch, 1):
                 for got in coder.encode_batch(part.column(1)):
                     writer.add(_serialized(got, end_id, width))
+        gc.enable()
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays([
