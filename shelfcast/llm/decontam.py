@@ -247,4 +247,6 @@ def _cut_batch(batch, names, width, at, spans):
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents with every hit span cut out of the text; the columns stay.
     A document left without any word by the cuts is dropped."""
-    return find(docs, benchmark, window, cut=True)
+    # Other names meanwhile, so that columns named like a result stay too.
+    plain = docs.toDF(*["text" if c.lower() == "text" else f"column_{i}" for i, c in enumerate(docs.columns)])
+    return find(plain, benchmark, window, cut=True).toDF(*docs.columns)
