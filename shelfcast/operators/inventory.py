@@ -40,12 +40,12 @@ def order_quantity(df: DataFrame, order_up_to, position, moq=0.0, pack=1.0, cap=
 
 
 def rolling_window_totals(panel: DataFrame, params: DataFrame, key: str, day: str, y: str,
-                          max_days: int, until: Column | None = None) -> DataFrame:
+                          until: Column | None = None) -> DataFrame:
     """Sum of ``y`` over each full window of ``protection_days`` consecutive
     days per series (V4 input). Per-series window lengths vary, so the sums
-    are prefix-sum differences ``cum(t) - cum(t - P)``; the lagged prefix is
-    picked from a bounded frame of the last ``max_days`` prefixes (one window
-    pass, O(rows x max_days) memory per task at worst)."""
+    are prefix-sum differences ``cum(t) - cum(t - P)``, the earlier prefix
+    fetched by an equality join on (series, row number): any window length,
+    constant memory per row."""
     w = Window.partitionBy(key).orderBy(day)
     p = panel.select(key, day, y)
     if until is not None:
@@ -54,26 +54,20 @@ def rolling_window_totals(panel: DataFrame, params: DataFrame, key: str, day: st
     cum = F.sum(y).over(w.rowsBetween(Window.unboundedPreceding, 0))
     staged = p.select(key, day, "protection_days", cum.alias("_cum"),
                       F.row_number().over(w).alias("_rn"))
-    prev = F.collect_list("_cum").over(w.rowsBetween(-max_days, -1))
-    return (staged.select("*", prev.alias("_prev"))
-            .filter(F.col("_rn") >= F.col("protection_days"))
-            .select(key, day, "protection_days",
-                    (F.col("_cum") - F.coalesce(
-                        F.when(F.col("_rn") > F.col("protection_days"),
-                               F.element_at("_prev", (F.size("_prev") - F.col("protection_days")
-                                                      + 1).cast("int"))),
-                        F.lit(0.0))).alias("total")))
+    earlier = staged.select(key, (F.col("_rn") + F.col("protection_days")).alias("_rn"), F.col("_cum").alias("_prev"))
+    return (staged.filter(F.col("_rn") >= F.col("protection_days")).join(earlier, [key, "_rn"], "left")
+            .select(key, day, "protection_days", (F.col("_cum") - F.coalesce("_prev", F.lit(0.0))).alias("total")))
 
 
 def interval_quantiles(panel: DataFrame, params: DataFrame, key: str, day: str = "day",
-                       y: str = "n_items", alpha: float | Column = 0.9, max_days: int = 29,
+                       y: str = "n_items", alpha: float | Column = 0.9,
                        until: Column | None = None, approx: bool = False) -> DataFrame:
     """V4 (re-aimed, deterministic): quantiles of demand summed over the
     protection interval L+R, taken from the empirical distribution of every
     full (L+R)-day window in the series' history -- never the sum of daily
     quantiles. ``params`` holds ``protection_days`` per series. ``approx``
     switches to ``percentile_approx`` for continuous, very large groups."""
-    tot = rolling_window_totals(panel, params, key, day, y, max_days, until)
+    tot = rolling_window_totals(panel, params, key, day, y, until)
     qs = F.array(F.lit(0.1), F.lit(0.5), _c(alpha))
     if approx:
         q = F.percentile_approx("total", qs, 10000).cast("array<double>")

@@ -124,8 +124,11 @@ def add_rolling(panel: DataFrame, key: str, day: str, y: str, windows=(7, 28),
             cols += [mean.alias(f"roll_mean_{k}"), std.alias(f"roll_std_{k}")]
         return panel.select("*", *cols)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    yv = F.col(y).cast("double")
-    staged = panel.select("*", F.sum(yv).over(run).alias("_cs"), F.sum(yv * yv).over(run).alias("_cq"),
+    # Sums of squares are taken about a whole number near the series' mean, so
+    # that a high level does not swallow a small spread; whole demands stay exact.
+    centre = F.coalesce(F.rint(F.avg(F.col(y).cast("double")).over(Window.partitionBy(key))), F.lit(0.0))
+    yv = F.col(y).cast("double") - F.col("_centre")
+    staged = panel.select("*", centre.alias("_centre")).select("*", F.sum(yv).over(run).alias("_cs"), F.sum(yv * yv).over(run).alias("_cq"),
                           F.count(yv).over(run).alias("_cn"))
     shift = 1 if exclude_current else 0
     lagged = []
@@ -148,13 +151,13 @@ def add_rolling(panel: DataFrame, key: str, day: str, y: str, windows=(7, 28),
         sq = F.col("_cq_end") - F.col(f"_cq{k}")
         mm = k if min_mean is None else min_mean
         ms = k if min_std is None else min_std
-        mean = F.when(n >= F.lit(max(mm, 1)), sm / n)
+        mean = F.when(n >= F.lit(max(mm, 1)), sm / n + F.col("_centre"))
         var = F.greatest(F.lit(0.0), F.try_divide(sq - sm * sm / n, n - F.lit(1.0)))
         std = F.when(n >= F.lit(max(ms, 2)), F.sqrt(var))
         if fill_std is not None:
             std = F.coalesce(std, F.lit(float(fill_std)))
         cols += [mean.alias(f"roll_mean_{k}"), std.alias(f"roll_std_{k}")]
-    drop = ["_cs", "_cq", "_cn", "_cs_end", "_cq_end", "_cn_end"] + [
+    drop = ["_centre", "_cs", "_cq", "_cn", "_cs_end", "_cq_end", "_cn_end"] + [
         f"_c{a}{k}" for k in windows for a in "sqn"]
     return staged.select("*", *cols).drop(*drop)
 

@@ -5,12 +5,13 @@ A28, V8, V9)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import inventory as I
 from ..operators import decisions as DC
 from ..operators import inventory as INV
+from ..operators.ordering import running
 from . import q_backtest as BT
 from .domain import KEY
 from .registry import cte, query
@@ -43,14 +44,20 @@ def series_info(t) -> DataFrame:
                     F.coalesce("lt_std", F.lit(2.0)).alias("lt_std")))
 
 
+def volumes(fc: DataFrame) -> DataFrame:
+    """A4: forecast volume per series, rounded so that float sums cannot
+    reorder ties."""
+    return fc.groupBy(KEY).agg(F.bround(F.sum("pred_p50"), 6).alias("volume"))
+
+
+def ranked_series(fc: DataFrame) -> DataFrame:
+    """Every series with its rank by volume, the series id as tie key."""
+    return running(volumes(fc), [F.desc("volume"), F.asc(KEY)], rank="rank")
+
+
 def top_series(fc: DataFrame, n: int = TOP_N) -> DataFrame:
-    """A4 + O1: forecast volume per series, top-n by volume with the series
-    id as tie key (volume rounded first so float sums cannot reorder ties).
-    ``orderBy().limit()`` plans as a distributed top-k (TakeOrderedAndProject)."""
-    vol = fc.groupBy(KEY).agg(F.bround(F.sum("pred_p50"), 6).alias("volume"))
-    top = vol.orderBy(F.desc("volume"), F.asc(KEY)).limit(n)
-    w = Window.orderBy(F.desc("volume"), F.asc(KEY))   # over <= n rows
-    return top.withColumn("rank", F.row_number().over(w))
+    """O1: the n largest by volume, a distributed top-k."""
+    return volumes(fc).orderBy(F.desc("volume"), F.asc(KEY)).limit(n)
 
 
 def store_of(t) -> DataFrame:
@@ -61,32 +68,29 @@ def store_of(t) -> DataFrame:
 
 
 def plan_base(t, alpha=SERVICE_ALPHA):
-    """Per top series: forecast summaries, economics, protection interval.
-    Bounded by TOP_N rows; written once per service level because the plan,
-    the replay and the sweep each read it several times."""
+    """Per series: forecast summaries, economics, protection interval. Written
+    once per service level because the plan, the replay and the sweep each
+    read it several times."""
     return t.memo(f"plan_base_{alpha}", lambda: materialize(_plan_base(t, alpha), f"plan_base_{alpha}"))
 
 
 def _plan_base(t, alpha):
     fc = holdout(t)
-    top = top_series(fc)
-    topb = F.broadcast(top)           # bounded by TOP_N
-    f = (fc.join(topb.select(KEY), KEY, "left_semi")
-         .groupBy(KEY).agg(F.min("day").alias("date"), F.min("train_end").alias("train_end"),
+    ranks = ranked_series(fc)
+    f = (fc.groupBy(KEY).agg(F.min("day").alias("date"), F.min("train_end").alias("train_end"),
                            F.percentile("pred_p50", F.lit(0.5)).alias("_med_p50"),
                            F.avg("pred_p10").alias("mean_p10"), F.avg("pred_p50").alias("mean_p50"),
                            F.avg("pred_p90").alias("mean_p90")))
-    info = series_info(t).join(topb.select(KEY), KEY, "left_semi")
+    info = series_info(t)
     lead = F.least(F.greatest(F.bround("lt_mean", 0), F.lit(1.0)), F.lit(float(MAX_LEAD_DAYS)))
     daily = F.greatest(F.col("_med_p50"), F.lit(0.01))
-    base = topb.join(f, KEY).join(info, KEY).select(
+    base = ranks.join(f, KEY).join(info, KEY).select(
         "*", daily.alias("daily_p50"), F.bround(F.lit(7.0) * daily, 2).alias("on_hand"),
         I.protection_interval_days(lead.cast("int"), REVIEW_DAYS).alias("protection_days"),
         I.unit_cost("price").alias("unit_cost"), I.unit_margin("price").alias("unit_margin"))
-    hist = BT.bt_panel(t).join(topb.select(KEY), KEY, "left_semi")
-    hist = hist.join(F.broadcast(base.select(KEY, F.col("train_end").alias("_te"))), KEY)
+    base = materialize(base, "plan_series")
+    hist = BT.bt_panel(t).join(base.select(KEY, F.col("train_end").alias("_te")), KEY)
     iq = INV.interval_quantiles(hist, base.select(KEY, "protection_days"), KEY, alpha=alpha,
-                                max_days=MAX_LEAD_DAYS + REVIEW_DAYS,
                                 until=F.col("day") <= F.col("_te"))
     return base.join(iq.drop("protection_days"), KEY, "left")
 
@@ -120,9 +124,10 @@ def recommendations(t, alpha=SERVICE_ALPHA) -> DataFrame:
             F.bround("lt_std", 1).alias("lead_time_std"), F.col("confidence"),
             F.array(*[F.lit(d) for d in TOP_DRIVERS]).alias("top_drivers")),
     }).withColumnRenamed("qty_flags", "guardrail_flags")
-    r = r.join(F.broadcast(store_of(t).join(r.select(KEY), KEY, "left_semi")), KEY, "left")
+    r = r.join(store_of(t), KEY, "left")
     r = DC.guardrails(r, order_by=("rank",), partition_by=("date",))
-    r = DC.decide(r)
+    # The proposer weighs benefit against cost only; the rule also sees the flags.
+    r = DC.decide(r, proposal=F.when(F.col("net_benefit") > 0, F.lit("APPROVE")).otherwise(F.lit("HOLD")))
     return r.withColumn("rationale", DC.rationale("recommended_qty", "product_id", "store_id",
                                                   "evidence.top_drivers", "days_to_stockout"))
 
@@ -152,10 +157,9 @@ SELECT a.seller_id,
   coalesce(lt.lt_mean, 7.0) AS lt_mean, coalesce(lt.lt_std, 2.0) AS lt_std
 FROM (SELECT seller_id, quantile_cont(avg_price, 0.5) AS price FROM act GROUP BY seller_id) a
 LEFT JOIN lt USING (seller_id)"""
-TOP_SQL = f"""
+TOP_SQL = """
 SELECT seller_id, volume, row_number() OVER (ORDER BY volume DESC, seller_id) AS rank
-FROM (SELECT seller_id, round_even(sum(pred_p50), 6) AS volume FROM hold GROUP BY seller_id) v
-ORDER BY volume DESC, seller_id LIMIT {TOP_N}"""
+FROM (SELECT seller_id, round_even(sum(pred_p50), 6) AS volume FROM hold GROUP BY seller_id) v"""
 BASEP_SQL = f"""
 SELECT tp.seller_id, tp.rank, f.date, f.train_end, f.mean_p10, f.mean_p50, f.mean_p90,
   greatest(f.med_p50, 0.01) AS daily_p50, round_even(7.0 * greatest(f.med_p50, 0.01), 2) AS on_hand,
@@ -230,16 +234,16 @@ FROM rec2 r"""
 RECS_SQL = """
 SELECT r.*, array_to_string(fl, ',') AS flags,
   CASE WHEN net_benefit > 0 AND len(fl) = 0 THEN 'APPROVE' ELSE 'HOLD' END AS final_decision,
-  'AGREE' AS verdict,
+  CASE WHEN net_benefit > 0 AND len(fl) > 0 THEN 'OVERRIDE' ELSE 'AGREE' END AS verdict,
   CASE WHEN net_benefit > 0 AND len(fl) = 0 THEN 'pending' ELSE 'escalated' END AS status,
-  CASE WHEN len(fl) = 0 AND net_benefit > 0 THEN 'net_benefit positive and no guardrail flags'
+  CASE WHEN len(fl) = 0 AND net_benefit > 0 THEN 'benefit covers the cost, nothing flagged'
        ELSE array_to_string(list_filter([
-         CASE WHEN len(fl) > 0 THEN 'guardrail flags present: ' || array_to_string(fl, ', ') END,
-         CASE WHEN net_benefit <= 0 THEN 'net_benefit is not positive' END], lambda x: x IS NOT NULL), ' | ')
+         CASE WHEN len(fl) > 0 THEN 'flagged: ' || array_to_string(fl, ', ') END,
+         CASE WHEN net_benefit <= 0 THEN 'benefit does not cover the cost' END], lambda x: x IS NOT NULL), ' | ')
   END AS reasons,
-  'Order ' || CAST(recommended_qty AS VARCHAR) || ' units of ' || left(product_id, 8) || ' at ' ||
-  store_id || ' — demand risk is driven by roll mean 7, and stockout is ~' ||
-  CAST(days_to_stockout AS VARCHAR) || ' days away at the current run rate.' AS rationale
+  'Buy ' || CAST(recommended_qty AS VARCHAR) || ' of ' || left(product_id, 8) || ' for ' ||
+  store_id || ': main driver roll mean 7, stock lasts about ' ||
+  CAST(days_to_stockout AS VARCHAR) || ' days.' AS rationale
 FROM rec3 r"""
 
 
@@ -260,3 +264,9 @@ REC_CTES = dict(rec1=REC1_SQL, rec2=REC2_SQL, rec3=REC3_SQL, recs=RECS_SQL)
             "V14", "W11", "S5", "S7", "S8", "S14", "J11", "J5"))
 def q_recommendations(t):
     return flat_recs(t)
+
+
+@query("O1_top_series", "seller_id:i volume:f",
+       cte(**plan_ctes()) + f"\nSELECT seller_id, volume FROM top ORDER BY volume DESC, seller_id LIMIT {TOP_N}", ops=("O1", "A4"))
+def q_top(t):
+    return top_series(holdout(t))

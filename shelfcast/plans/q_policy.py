@@ -16,7 +16,7 @@ ALPHAS = (0.9, 0.95, 0.99)
 
 def train_mean(t, base):
     """A5: mean demand per series before its first forecast day (own span)."""
-    p = BT.bt_panel(t).join(F.broadcast(base.select(KEY, "date")), KEY)
+    p = BT.bt_panel(t).join(base.select(KEY, "date"), KEY)
     return p.filter(F.col("day") < F.col("date")).groupBy(KEY).agg(F.avg("n_items").alias("train_mean"))
 
 
@@ -24,7 +24,7 @@ def replay_input(t, base):
     """One row per (series, arm, day) of the planning window. Arms: A fixed
     historical mean, B seasonal-naive point forecast (clipped at 0), C
     order-up-to the protection-interval quantile."""
-    fc = QP.holdout(t).join(F.broadcast(base.select(KEY)), KEY, "left_semi")
+    fc = QP.holdout(t).join(base.select(KEY), KEY, "left_semi")
     b = base.join(train_mean(t, base), KEY, "left")
     lead = F.greatest(F.bround("lt_mean", 0), F.lit(1.0)).cast("int")
     arms = F.array(
@@ -34,8 +34,8 @@ def replay_input(t, base):
                  F.greatest(F.col("pred_snaive"), F.lit(0.0)).alias("fixed_order")),
         F.struct(F.lit("C_order_up_to").alias("arm"), F.lit("order_up_to").alias("policy"),
                  F.lit(None).cast("double").alias("fixed_order")))
-    rows = fc.join(F.broadcast(b.select(KEY, "p_alpha_lt", "on_hand", "lt_mean", "unit_cost",
-                                        "unit_margin", "train_mean", "daily_p50")), KEY)
+    rows = fc.join(b.select(KEY, "p_alpha_lt", "on_hand", "lt_mean", "unit_cost",
+                            "unit_margin", "train_mean", "daily_p50"), KEY)
     return (rows.select(F.col(KEY).alias("series"), (F.col("horizon") - 1).alias("t"),
                         F.col("actual").alias("demand"), F.col("p_alpha_lt").alias("order_up_to"),
                         F.col("on_hand").alias("initial_on_hand"), lead.alias("lead_time_days"),
@@ -149,7 +149,7 @@ FROM hold h JOIN recs r ON r.seller_id = h.seller_id"""
        + CONTRACT_SQL, ops=("M10", "D10"))
 def q_contract(t):
     r = QP.recommendations(t).select(KEY, "store_id")
-    return (QP.holdout(t).join(F.broadcast(r), KEY)
+    return (QP.holdout(t).join(r, KEY)
             .select(F.col("day").alias("date"), "store_id", F.col(KEY).cast("string").alias("product_id"),
                     "horizon", F.col("pred_p10").alias("p10"), F.col("pred_p50").alias("p50"),
                     F.col("pred_p90").alias("p90"), F.col("pred_snaive").alias("incumbent"),

@@ -27,13 +27,13 @@ def _recs_sql(final: str, **more) -> str:
 
 
 @query("A9_kpis", "n_recs:i n_pending:i n_high_risk:i cost_at_risk:f n_escalated:i",
-       _recs_sql("""SELECT count(*) AS n_recs, count_if(status IN ('pending', 'escalated')) AS n_pending,
-  count_if(status IN ('pending', 'escalated') AND stockout_risk_7d > 0.5) AS n_high_risk,
-  round_even(coalesce(sum(cost_if_ignored) FILTER (WHERE status IN ('pending', 'escalated')), 0.0), 2) AS cost_at_risk,
+       _recs_sql("""SELECT count(*) AS n_recs, count_if(status = 'pending') AS n_pending,
+  count_if(status = 'pending' AND stockout_risk_7d > 0.5) AS n_high_risk,
+  round_even(coalesce(sum(cost_if_ignored) FILTER (WHERE status = 'pending'), 0.0), 2) AS cost_at_risk,
   count_if(status = 'escalated') AS n_escalated FROM recs"""), ops=("A9", "V16"))
 def q_kpis(t):
     r = recs(t)
-    pend = F.col("status").isin("pending", "escalated")
+    pend = F.col("status") == "pending"
     return r.agg(F.count(F.lit(1)).alias("n_recs"), F.count_if(pend).alias("n_pending"),
                  F.count_if(pend & (F.col("stockout_risk_7d") > 0.5)).alias("n_high_risk"),
                  F.bround(F.coalesce(F.sum(F.when(pend, F.col("cost_if_ignored"))), F.lit(0.0)), 2)

@@ -85,3 +85,16 @@ def test_dead_zone_truncation(spark):
                                   "k string, day date, n_items double")
     cut = P.activity_cutoff(panel).first()["cutoff"]
     assert cut == base + dt.timedelta(days=99)
+
+
+def test_rolling_std_survives_a_high_level(spark):
+    from pyspark.sql import functions as F
+    from shelfcast.operators import panel as P
+    for level in (0.0, 1e8):
+        df = spark.range(200).select(F.lit(1).alias("k"), F.col("id").alias("d"), (F.lit(level) + (F.col("id") % 3) * 0.125).alias("y"))
+        a = P.add_rolling(df, "k", "d", "y").orderBy("d").collect()
+        b = P.add_rolling(df, "k", "d", "y", method="frame").orderBy("d").collect()
+        for x, z in zip(a, b):
+            for c in ("roll_std_7", "roll_std_28", "roll_mean_7"):
+                assert (x[c] is None) == (z[c] is None)
+                assert x[c] is None or abs(x[c] - z[c]) < 1e-6

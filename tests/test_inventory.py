@@ -100,3 +100,11 @@ def test_interval_quantiles_prefix_windows(spark):
     assert r.n_windows == len(sums)
     assert r.mean_lt == pytest.approx(sum(sums) / len(sums))
     assert r.p50_lt == pytest.approx((sums[3] + sums[4]) / 2)
+
+
+def test_window_totals_have_no_longest_window(spark):
+    panel = spark.range(120).select(F.lit(1).alias("k"), F.date_add(F.lit("2001-01-01").cast("date"), F.col("id").cast("int")).alias("day"),
+                                    F.lit(2.0).alias("y"))
+    params = spark.createDataFrame([(1, 35)], "k int, protection_days int")
+    got = INV.rolling_window_totals(panel, params, "k", "day", "y").collect()
+    assert len(got) == 120 - 34 and {r.total for r in got} == {70.0}
