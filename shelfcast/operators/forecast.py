@@ -76,42 +76,6 @@ def baselines(panel: DataFrame, fold_df: DataFrame, key: str, day: str = "day",
                     "pred_ma", "train_end"))
 
 
-def quantile_forecast(panel: DataFrame, fold_df: DataFrame, key: str, day: str = "day",
-                      y: str = "n_items", qs=(0.1, 0.5, 0.9), lookback: int = 182,
-                      min_obs: int = 3) -> DataFrame:
-    """M4 (re-aimed, M4a): conditional empirical quantiles of the target by
-    (series, day-of-week) over the last ``lookback`` training days, backing
-    off to (series) and then (fold-wide) when fewer than ``min_obs`` training
-    rows exist. Direct multi-horizon (M5): only information at the fold's
-    train end is used, so no recursion and no leakage.
-
-    Exact ``percentile`` keeps a value->count map per group; demand counts
-    have few distinct values, so the buffer stays small at any row count."""
-    rows = split(panel.select(key, day, y), fold_df, day, lookback=lookback)
-    rows = rows.withColumn("_dow", F.weekday(day))
-    is_tr = F.col("role") == "train"
-    ty = F.when(is_tr, F.col(y))
-    qarr = F.array(*[F.lit(q) for q in qs])
-    w_sd = Window.partitionBy("fold", key, "_dow")
-    w_s = Window.partitionBy("fold", key)
-    staged = rows.select("*",
-                         F.count(ty).over(w_sd).alias("_n_sd"),
-                         F.percentile(ty, qarr).over(w_sd).alias("_q_sd"),
-                         F.count(ty).over(w_s).alias("_n_s"),
-                         F.percentile(ty, qarr).over(w_s).alias("_q_s"))
-    glob = (rows.filter(is_tr).groupBy("fold")
-            .agg(F.percentile(y, qarr).alias("_q_g")))
-    out = (staged.filter(F.col("role") == "test")
-           .join(F.broadcast(glob), "fold", "left"))
-    qv = (F.when(F.col("_n_sd") >= min_obs, F.col("_q_sd"))
-          .when(F.col("_n_s") >= min_obs, F.col("_q_s"))
-          .otherwise(F.col("_q_g")))
-    names = [f"pred_p{int(round(q * 100))}_raw" for q in qs]
-    return out.select("fold", key, day, horizon(day).alias("horizon"),
-                      F.col(y).alias("actual"), "train_end",
-                      *[qv[i].alias(n) for i, n in enumerate(names)])
-
-
 def rearrange(df: DataFrame, cols=("pred_p10_raw", "pred_p50_raw", "pred_p90_raw"),
               out=("pred_p10", "pred_p50", "pred_p90"), lo: float = 0.0) -> DataFrame:
     """M6: row-wise sort of the quantiles, then clip at ``lo``; also flags a
@@ -126,51 +90,55 @@ def rearrange(df: DataFrame, cols=("pred_p10_raw", "pred_p50_raw", "pred_p90_raw
 
 
 def backtest_predictions(panel: DataFrame, fold_df: DataFrame, key: str, day: str = "day",
-                         y: str = "n_items", lookback: int = 182, mode: str = "seasonal",
+                         y: str = "n_items", lookback: int | None = None, mode: str = "seasonal",
                          season: int = 7, window: int = 28, qs=(0.1, 0.5, 0.9),
                          min_obs: int = 3) -> DataFrame:
     """Baselines (M1-M3) and rearranged empirical quantiles (M4a, M6) side by
-    side per (fold, series, test day), fused into ONE split and one Window
-    pass: the per-(fold, series) baseline statistics share the window of the
-    quantile back-off, so there is no second scan and no join back (J8 is
-    satisfied by construction)."""
-    rows = split(panel.select(key, day, y), fold_df, day, lookback=max(lookback, window, season))
-    rows = rows.withColumn("_dow", F.weekday(day))
+    side per (fold, series, test day).
+
+    The quantiles are those of the target by (series, day of week) over the
+    whole training history (or its last ``lookback`` days), backing off to the
+    series and then to the fold with fewer than ``min_obs`` rows. Training
+    rows are first counted by value, so only (fold, series, day of week,
+    value) counts are shuffled, and every quantile is taken from the counts.
+    Direct multi-horizon (M5): only what is known at the train end is used."""
+    rows = split(panel.select(key, day, y), fold_df, day, lookback=max(lookback, window, season) if lookback else None)
     te, d = F.col("train_end"), F.col(day)
-    in_q = (F.col("role") == "train") & (d >= F.date_sub(te, lookback - 1))
-    ty = F.when(in_q, F.col(y))
+    is_train = F.col("role") == "train"
+    in_q = is_train if lookback is None else is_train & (d >= F.date_sub(te, lookback - 1))
     qarr = F.array(*[F.lit(q) for q in qs])
-    w_sd = Window.partitionBy("fold", key, "_dow")
-    w_s = Window.partitionBy("fold", key)
-    lastv = [F.coalesce(F.max(F.when(d == F.date_sub(te, k), F.col(y))).over(w_s), F.lit(0.0))
-             for k in range(season)]
+    counts = (rows.filter(in_q).groupBy("fold", key, F.weekday(day).alias("_dow"), F.col(y).alias("_y"))
+              .agg(F.count(F.lit(1)).alias("_n")))
+
+    def quantiles(df, by, tag):
+        return df.groupBy(*by).agg(F.sum("_n").alias(f"_n_{tag}"), F.percentile("_y", qarr, F.col("_n")).alias(f"_q_{tag}"))
+
+    by_dow = quantiles(counts, ("fold", key, "_dow"), "sd")
+    by_series = quantiles(counts, ("fold", key), "s")
+    by_fold = quantiles(counts.groupBy("fold", "_y").agg(F.sum("_n").alias("_n")), ("fold",), "g").drop("_n_g")
+    # Baselines need the last season and window before the train end only.
     tail = d.between(F.date_sub(te, window - 1), te)
-    staged = rows.select("*", F.count(ty).over(w_sd).alias("_n_sd"), F.percentile(ty, qarr).over(w_sd).alias("_q_sd"),
-                         F.count(ty).over(w_s).alias("_n_s"), F.percentile(ty, qarr).over(w_s).alias("_q_s"),
-                         F.array(*lastv).alias("_last"),
-                         (F.coalesce(F.sum(F.when(tail, F.col(y))).over(w_s), F.lit(0.0))
-                          / F.lit(float(window))).alias("pred_ma"))
-    glob = rows.filter(in_q).groupBy("fold").agg(F.percentile(y, qarr).alias("_q_g"))
-    out = staged.filter(F.col("role") == "test").join(F.broadcast(glob), "fold", "left")
+    lastv = [F.coalesce(F.max(F.when(d == F.date_sub(te, k), F.col(y))), F.lit(0.0)) for k in range(season)]
+    recent = (rows.filter(is_train & (d > F.date_sub(te, max(window, season)))).groupBy("fold", key)
+              .agg(F.array(*lastv).alias("_last"),
+                   (F.coalesce(F.sum(F.when(tail, F.col(y))), F.lit(0.0)) / F.lit(float(window))).alias("pred_ma")))
+    out = (rows.filter(F.col("role") == "test").withColumn("_dow", F.weekday(day))
+           .join(by_dow, ["fold", key, "_dow"], "left").join(by_series, ["fold", key], "left")
+           .join(recent, ["fold", key], "left").join(F.broadcast(by_fold), "fold", "left"))
     qv = (F.when(F.col("_n_sd") >= min_obs, F.col("_q_sd"))
           .when(F.col("_n_s") >= min_obs, F.col("_q_s")).otherwise(F.col("_q_g")))
     h = horizon(day)
     idx = (((h - 1) % season) if mode == "mirrored" else ((-h) % season + season) % season)
     names = [f"pred_p{int(round(q * 100))}_raw" for q in qs]
-    res = out.select("fold", key, day, h.alias("horizon"), F.col(y).alias("actual"),
-                     F.col("_last")[0].alias("pred_naive"),
-                     F.element_at("_last", (idx + 1).cast("int")).alias("pred_snaive"), "pred_ma", "train_end",
+    none = F.array(*[F.lit(0.0)] * season)
+    last = F.coalesce(F.col("_last"), none)
+    res = out.select("fold", key, day, h.alias("horizon"), F.col(y).alias("actual"), last[0].alias("pred_naive"),
+                     F.element_at(last, (idx + 1).cast("int")).alias("pred_snaive"),
+                     F.coalesce("pred_ma", F.lit(0.0)).alias("pred_ma"), "train_end",
                      *[qv[i].alias(n) for i, n in enumerate(names)])
     return rearrange(res)
 
 
-def mase_scales(panel: DataFrame, fold_df: DataFrame, day: str = "day", y: str = "n_items",
-                y_lag: str = "lag_7") -> DataFrame:
-    """Training-set MASE scale per fold: mean |y_t - y_{t-7}| on train rows."""
-    tr = panel.join(F.broadcast(fold_df), F.col(day) <= F.col("train_end"), "inner")
-    return tr.groupBy("fold").agg(M.mase_scale(y, y_lag).alias("mase_scale"))
-
-
 def active_series(panel: DataFrame, fold_df: DataFrame, key: str, day: str = "day",
                   y: str = "n_items", min_daily: float = 0.10) -> DataFrame:
     """Series whose mean over the WHOLE training calendar (zeros before
@@ -245,10 +213,3 @@ def backtest_metrics(preds: DataFrame, scales: DataFrame, active: DataFrame, key
     return (point_long.unionByName(q_long)
             .select("fold", "model", F.col("_v.metric").alias("metric"),
                     F.col("_v.value").alias("value")))
-
-
-def wide_metrics(long: DataFrame) -> DataFrame:
-    """E10 wide form: one row per fold, ``<model>_<metric>`` columns (pivot
-    over a known, small set of values)."""
-    k = F.concat_ws("_", "model", "metric")
-    return long.withColumn("k", k).groupBy("fold").pivot("k").agg(F.first("value"))

@@ -12,8 +12,6 @@ from .domain import KEY, LINES_SQL, LT_COLS, ORIGIN, order_lines
 from .q_panel import ACT_SQL, DENSE_SQL, GRID_SQL
 from .registry import cte, query
 
-LOOKBACK = 182
-
 
 def line_aggs(t, origin=ORIGIN):
     """Activity and lead-time histogram at the origin from one pass over the
@@ -53,7 +51,7 @@ def bt_folds(panel):
 def predictions(t):
     def build():
         p = bt_panel(t)
-        return materialize(FC.backtest_predictions(p, bt_folds(p), KEY, lookback=LOOKBACK),
+        return materialize(FC.backtest_predictions(p, bt_folds(p), KEY),
                            "predictions")
     return t.memo("predictions", build)
 
@@ -96,9 +94,9 @@ LEFT JOIN bpanel n ON n.seller_id = t.seller_id AND n.day = t.train_end
 LEFT JOIN bpanel s ON s.seller_id = t.seller_id
                   AND s.day = t.train_end - CAST(((-t.horizon) % 7 + 7) % 7 AS INTEGER)
 LEFT JOIN ma m ON m.fold = t.fold AND m.seller_id = t.seller_id"""
-TR_SQL = f"""
+TR_SQL = """
 SELECT f.fold, p.seller_id, isodow(p.day) - 1 AS dow, p.n_items
-FROM bpanel p JOIN folds f ON p.day BETWEEN f.train_end - {LOOKBACK - 1} AND f.train_end"""
+FROM bpanel p JOIN folds f ON p.day <= f.train_end"""
 Q_SQL = """
 SELECT t.fold, t.seller_id, t.day, t.horizon, t.actual, t.train_end,
   CASE WHEN coalesce(a.n, 0) >= 3 THEN a.q WHEN coalesce(b.n, 0) >= 3 THEN b.q ELSE g.q END AS q

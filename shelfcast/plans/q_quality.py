@@ -27,6 +27,11 @@ def _null_sql(table, cols):
 NULL_COLS = {
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                  "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+    "region": ["r_regionkey", "r_name"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
     "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
     "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
 }
@@ -39,7 +44,7 @@ def q_nulls(t):
     return reduce(DataFrame.unionByName, frames)
 
 
-DUP_KEYS = [("lineitem", "exact_duplicate", None), ("lineitem", "key_duplicate", ["l_orderkey", "l_linenumber"]),
+DUP_KEYS = [*((table, "exact_duplicate", None) for table in NULL_COLS), ("lineitem", "key_duplicate", ["l_orderkey", "l_linenumber"]),
             ("orders", "key_duplicate", ["o_orderkey"]), ("customer", "key_duplicate", ["c_custkey"]),
             ("part", "key_duplicate", ["p_partkey"]), ("supplier", "key_duplicate", ["s_suppkey"]),
             ("events", "key_duplicate", ["event_id"])]
@@ -48,33 +53,39 @@ DUP_KEYS = [("lineitem", "exact_duplicate", None), ("lineitem", "key_duplicate",
 def _dup_sql():
     parts = []
     for table, check, keys in DUP_KEYS:
-        g = "ALL" if keys is None else ", ".join(keys)
+        g = ", ".join(keys or NULL_COLS[table])
         parts.append(f"SELECT '{table}' AS table_name, '{check}' AS check_name, count(*) AS dup_groups, "
                      f"coalesce(sum(n), 0) AS dup_rows FROM (SELECT count(*) AS n FROM {table} "
-                     f"GROUP BY {'ALL' if keys is None else g} HAVING count(*) > 1) x")
-    # GROUP BY ALL with only an aggregate groups nothing: spell the columns out
-    parts[0] = parts[0].replace("GROUP BY ALL", "GROUP BY " + ", ".join(NULL_COLS["lineitem"]))
+                     f"GROUP BY {g} HAVING count(*) > 1) x")
     return "\nUNION ALL\n".join(parts)
 
 
 @query("D2_D3_duplicates", "table_name:s check_name:s dup_groups:i dup_rows:i", _dup_sql(),
        ops=("D2", "D3"))
 def q_dups(t):
-    frames = [Q.duplicate_groups(t[tb], keys or t[tb].columns, tb, chk) for tb, chk, keys in DUP_KEYS]
+    frames = [Q.duplicate_groups(t[tb], keys or NULL_COLS[tb], tb, chk) for tb, chk, keys in DUP_KEYS]
     return reduce(DataFrame.unionByName, frames)
 
 
-BOUNDS = {"quantity_non_negative": "l_quantity >= 0", "price_positive": "l_extendedprice > 0",
-          "discount_in_range": "l_discount BETWEEN 0 AND 1", "tax_non_negative": "l_tax >= 0"}
+BOUNDS = {
+    "lineitem": {"quantity_non_negative": "l_quantity >= 0", "price_positive": "l_extendedprice > 0",
+                 "discount_in_range": "l_discount BETWEEN 0 AND 1", "tax_non_negative": "l_tax >= 0"},
+    "orders": {"total_non_negative": "o_totalprice >= 0"},
+    "part": {"size_positive": "p_size > 0", "retail_price_positive": "p_retailprice > 0"},
+    "customer": {"balance_above_limit": "c_acctbal >= -1000"},
+    "supplier": {"balance_above_limit": "s_acctbal >= -1000"},
+    "events": {"value_non_negative": "value >= 0"},
+}
 
 
 @query("D4_numeric_bounds", "table_name:s rule:s violations:i pct:f",
        "\nUNION ALL\n".join(
-           f"SELECT 'lineitem' AS table_name, '{k}' AS rule, count_if(NOT coalesce({v}, true)) AS violations, "
-           f"100.0 * count_if(NOT coalesce({v}, true)) / greatest(count(*), 1) AS pct FROM lineitem"
-           for k, v in BOUNDS.items()), ops=("D4",))
+           f"SELECT '{table}' AS table_name, '{k}' AS rule, count_if(NOT coalesce({v}, true)) AS violations, "
+           f"100.0 * count_if(NOT coalesce({v}, true)) / greatest(count(*), 1) AS pct FROM {table}"
+           for table, rules in BOUNDS.items() for k, v in rules.items()), ops=("D4",))
 def q_bounds(t):
-    return Q.count_violations(t["lineitem"], {k: F.expr(v) for k, v in BOUNDS.items()}, "lineitem")
+    return reduce(DataFrame.unionByName, [Q.count_violations(t[table], {k: F.expr(v) for k, v in rules.items()}, table)
+                                          for table, rules in BOUNDS.items()])
 
 
 SEQ_RULES = {"approved_after_purchase": "approved_ts >= purchase_ts",

@@ -3,6 +3,8 @@ F7-F10, J12, S6, S11-S13, U2, U3, U6, V15, V16, M8, M9, A11, C10)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..functions import scalar as S
 from ..operators import decisions as DC
 from ..operators import forecast as FC
 from ..operators import parts as PT
+from ..session import ensure_checkpoint_dir
+from ..sources.files import write_table
 from ..sources.tables import DRIVER_TABLES, schema_rows
 from . import q_plan as QP
 from . import q_policy as QPOL
@@ -289,31 +293,60 @@ def q_rank_order(t):
     return DC.ordered_union_rank(first, QPOL.q_contract(t).select("product_id"), "product_id")
 
 
+# The decision log: each user's latest event speaks for the series with the
+# user's number; only two kinds of event decide anything.
+SAID_SQL = """
+SELECT user_id AS seller_id, CASE kind WHEN 'purchase' THEN 'approved' ELSE 'rejected' END AS st, decided
+FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS kind, max(ts) AS decided FROM events GROUP BY user_id) e
+WHERE kind IN ('purchase', 'error')"""
+
+
+def decision_log(t):
+    last = t["events"].groupBy(F.col("user_id").alias(KEY)).agg(
+        F.max_by("event_type", F.struct("ts", "event_id")).alias("kind"), F.max("ts").alias("decided_at"))
+    return last.filter(F.col("kind").isin("purchase", "error")).select(
+        KEY, F.when(F.col("kind") == "purchase", "approved").otherwise("rejected").alias("status"), "decided_at")
+
+
 @query("U3_apply_decisions", "rec_id:s status:s recommended_qty:f reviewed_at:t", _recs_sql("""
 SELECT r.rec_id, coalesce(d.st, r.status) AS status, coalesce(d.qty, r.recommended_qty) AS recommended_qty,
-  CASE WHEN d.st IS NOT NULL AND d.st <> 'pending' THEN d.at END AS reviewed_at
-FROM recs r LEFT JOIN (SELECT rec_id, CASE WHEN net_benefit > 0 THEN 'approved' ELSE 'rejected' END AS st,
-  CASE WHEN net_benefit > 0 THEN recommended_qty END AS qty, TIMESTAMP '2001-07-01 09:00:00' AS at
-  FROM recs WHERE rank <= 5) d USING (rec_id)"""), ops=("U3", "U4"))
+  CASE WHEN d.st IS NOT NULL AND d.st <> 'pending' THEN d.decided END AS reviewed_at
+FROM recs r LEFT JOIN (SELECT seller_id, st, decided, CASE WHEN st = 'approved' THEN recommended_qty END AS qty
+  FROM recs JOIN said USING (seller_id)) d USING (seller_id)""", said=SAID_SQL), ops=("U3",))
 def q_apply(t):
     r = recs(t)
-    d = r.filter(F.col("rank") <= 5).select(
-        "rec_id", F.when(F.col("net_benefit") > 0, "approved").otherwise("rejected").alias("status"),
-        F.when(F.col("net_benefit") > 0, F.col("recommended_qty")).alias("qty"),
-        F.lit("2001-07-01 09:00:00").cast("timestamp_ntz").alias("decided_at"))
+    said = decision_log(t)
+    d = r.select(KEY, "rec_id", "recommended_qty").join(said, KEY).select(
+        "rec_id", "status", F.when(F.col("status") == "approved", F.col("recommended_qty")).alias("qty"), "decided_at")
     return DC.apply_decisions(r.select("rec_id", "status", "recommended_qty"), d)
 
 
 @query("V15_purchase_orders", "po_id:s rec_id:s qty:f", _recs_sql("""
-SELECT 'PO-' || rec_id AS po_id, rec_id, recommended_qty AS qty FROM recs WHERE rank <= 5 AND net_benefit > 0"""),
-       ops=("V15",))
+SELECT 'PO-' || rec_id AS po_id, rec_id, recommended_qty AS qty
+FROM recs JOIN said USING (seller_id) WHERE st = 'approved'""", said=SAID_SQL), ops=("V15",))
 def q_pos(t):
-    approved = QP.recommendations(t).filter((F.col("rank") <= 5) & (F.col("net_benefit") > 0)).withColumn(
-        "status", F.lit("approved"))
-    po, _ = DC.approved_orders(approved, F.lit("2001-07-01 09:00:00").cast("timestamp_ntz"))
+    po, _ = DC.approved_orders(_decided(t), F.col("decided_at"))
     return po.select("po_id", "rec_id", "qty")
 
 
+def _decided(t):
+    return recs(t).drop("status").join(decision_log(t), KEY)
+
+
+@query("V15_order_audit", "entity_id:s entity_type:s actor_type:s actor_name:s action:s timestamp:t", _recs_sql("""
+SELECT rec_id AS entity_id, 'recommendation' AS entity_type, 'agent' AS actor_type, 'executor' AS actor_name,
+  'po_created' AS action, decided AS timestamp FROM recs JOIN said USING (seller_id) WHERE st = 'approved'""", said=SAID_SQL),
+       ops=("V15", "U4"))
+def q_order_audit(t):
+    """The audit rows of the purchase orders, appended to an audit table in
+    the shared checkpoint folder and read back from it."""
+    _, audit = DC.approved_orders(_decided(t), F.col("decided_at"))
+    root = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/audit-{uuid.uuid4().hex}"
+    write_table(audit.limit(0), root, mode="overwrite")
+    write_table(audit, root, mode="append")
+    return t.spark.read.parquet(root)
+
+
 @query("O6_audit_latest", "event_id:i user_id:i action:s ts:t", """
 SELECT event_id, user_id, event_type AS action, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 500""",
        ops=("O6", "U4"))
