@@ -13,8 +13,10 @@ def test_entry_runs(spark):
 
 def test_every_query_has_oracle_or_is_declared(spark):
     import __spark_entry__ as E
+    from shelfcast.plans.registry import REGISTRY
     q, o = E.queries(), E.oracle_sql()
-    missing = set(q) - set(o)
+    assert set(REGISTRY) <= set(q)
+    missing = set(REGISTRY) - set(o)
     assert missing <= {"D9_leakage_inertness", "D8_forbidden_feature_columns",
                        "M4b_gbt_quantiles", "M7_feature_importance"}
 
