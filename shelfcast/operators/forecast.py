@@ -1,10 +1,10 @@
 """Folds, baselines, the empirical quantile model and the backtest metrics
 table (F6, W10, M1-M3, M4a, M5, M6, M10, E10).
 
-All folds are evaluated in ONE plan: the panel is range-joined to a
-broadcast fold table (a handful of rows), and every per-(fold, series)
-statistic is a window over ``partitionBy(fold, series)`` which is satisfied
-by the panel's existing hash partitioning on ``series`` -- no extra shuffle.
+All folds are evaluated in one plan: the panel is range-joined to a
+broadcast fold table (a handful of rows) and reduced to per-(fold, series)
+counts before it is shuffled. ``step_days`` is the length of a period: 1 for
+the daily track, 7 for the weekly one.
 """
 
 from __future__ import annotations
@@ -19,10 +19,15 @@ from ..functions import metrics as M
 DAILY_FOLDS = [("fold_1", 56, 55, 42), ("fold_2", 42, 41, 28),
                ("fold_3", 28, 27, 14), ("holdout", 14, 13, 0)]
 
+# The same of the weekly track, in weeks before the last week.
+WEEKLY_FOLDS = [("fold_1", 6, 5, 4), ("fold_2", 4, 3, 2), ("fold_3", 2, 1, 0)]
 
-def folds(panel: DataFrame, day: str = "day", spec=DAILY_FOLDS) -> DataFrame:
-    """fold table relative to the last day of ``panel``: one global
-    min/max aggregate expanded into one row per fold (no join)."""
+
+def folds(panel: DataFrame, day: str = "day", spec=DAILY_FOLDS, step_days: int = 1) -> DataFrame:
+    """fold table relative to the last day of ``panel`` (offsets of
+    ``spec`` in periods): one global min/max aggregate expanded into one row
+    per fold (no join)."""
+    spec = [(n, *(x * step_days for x in offsets)) for n, *offsets in spec]
     last, first = F.col("_last"), F.col("_first")
     rows = F.array(*[F.struct(F.lit(n).alias("fold"), F.date_sub(last, a).alias("train_end"),
                               F.date_sub(last, b).alias("test_start"),
@@ -45,27 +50,28 @@ def split(panel: DataFrame, fold_df: DataFrame, day: str = "day", lookback: int
             .withColumn("role", F.when(test, F.lit("test")).otherwise(F.lit("train"))))
 
 
-def horizon(day: str = "day", train_end: str = "train_end") -> Column:
+def horizon(day: str = "day", train_end: str = "train_end", step_days: int = 1) -> Column:
     """Periods since train end (1..h), by date, not row ordinal (Q4)."""
-    return F.datediff(F.col(day), F.col(train_end))
+    gap = F.datediff(F.col(day), F.col(train_end))
+    return gap if step_days == 1 else F.floor(gap / step_days).cast("int")
 
 
 def baselines(panel: DataFrame, fold_df: DataFrame, key: str, day: str = "day",
               y: str = "n_items", season: int = 7, window: int = 28,
-              mode: str = "seasonal") -> DataFrame:
+              mode: str = "seasonal", step_days: int = 1) -> DataFrame:
     """M1 naive, M2 seasonal naive, M3 moving average for every (fold, series,
     test day). Values before a series' first day count as 0 (whole-calendar
     semantics, Q3). ``mode='mirrored'`` reproduces the source application's
     indexing (h=1 -> last value); the default takes the value one season back."""
-    rows = split(panel.select(key, day, y), fold_df, day, lookback=max(window, season))
+    rows = split(panel.select(key, day, y), fold_df, day, lookback=max(window, season) * step_days)
     pw = Window.partitionBy("fold", key)
     te = F.col("train_end")
-    lastv = [F.coalesce(F.max(F.when(F.col(day) == F.date_sub(te, k), F.col(y))).over(pw),
+    lastv = [F.coalesce(F.max(F.when(F.col(day) == F.date_sub(te, k * step_days), F.col(y))).over(pw),
                         F.lit(0.0)) for k in range(season)]
-    h = horizon(day)
+    h = horizon(day, step_days=step_days)
     idx = (((h - 1) % season) if mode == "mirrored" else ((-h) % season + season) % season)
-    tail = F.col(day).between(F.date_sub(te, window - 1), te)
-    return (rows.select("*", horizon(day).alias("horizon"),
+    tail = F.col(day).between(F.date_sub(te, (window - 1) * step_days), te)
+    return (rows.select("*", h.alias("horizon"),
                         F.array(*lastv).alias("_last"),
                         (F.coalesce(F.sum(F.when(tail, F.col(y))).over(pw), F.lit(0.0))
                          / F.lit(float(window))).alias("pred_ma"))
@@ -92,22 +98,24 @@ def rearrange(df: DataFrame, cols=("pred_p10_raw", "pred_p50_raw", "pred_p90_raw
 def backtest_predictions(panel: DataFrame, fold_df: DataFrame, key: str, day: str = "day",
                          y: str = "n_items", lookback: int | None = None, mode: str = "seasonal",
                          season: int = 7, window: int = 28, qs=(0.1, 0.5, 0.9),
-                         min_obs: int = 3) -> DataFrame:
+                         min_obs: int = 3, step_days: int = 1, slot: Column | None = None) -> DataFrame:
     """Baselines (M1-M3) and rearranged empirical quantiles (M4a, M6) side by
     side per (fold, series, test day).
 
-    The quantiles are those of the target by (series, day of week) over the
-    whole training history (or its last ``lookback`` days), backing off to the
+    The quantiles are those of the target by (series, slot) -- the slot is the
+    day of week unless another expression is given -- over the whole training history (or its last ``lookback`` days), backing off to the
     series and then to the fold with fewer than ``min_obs`` rows. Training
-    rows are first counted by value, so only (fold, series, day of week,
+    rows are first counted by value, so only (fold, series, slot,
     value) counts are shuffled, and every quantile is taken from the counts.
     Direct multi-horizon (M5): only what is known at the train end is used."""
-    rows = split(panel.select(key, day, y), fold_df, day, lookback=max(lookback, window, season) if lookback else None)
+    slot = F.weekday(day) if slot is None else slot
+    rows = split(panel.select(key, day, y), fold_df, day,
+                 lookback=max(lookback, window, season) * step_days if lookback else None)
     te, d = F.col("train_end"), F.col(day)
     is_train = F.col("role") == "train"
-    in_q = is_train if lookback is None else is_train & (d >= F.date_sub(te, lookback - 1))
+    in_q = is_train if lookback is None else is_train & (d >= F.date_sub(te, (lookback - 1) * step_days))
     qarr = F.array(*[F.lit(q) for q in qs])
-    counts = (rows.filter(in_q).groupBy("fold", key, F.weekday(day).alias("_dow"), F.col(y).alias("_y"))
+    counts = (rows.filter(in_q).groupBy("fold", key, slot.alias("_dow"), F.col(y).alias("_y"))
               .agg(F.count(F.lit(1)).alias("_n")))
 
     def quantiles(df, by, tag):
@@ -117,17 +125,17 @@ def backtest_predictions(panel: DataFrame, fold_df: DataFrame, key: str, day: st
     by_series = quantiles(counts, ("fold", key), "s")
     by_fold = quantiles(counts.groupBy("fold", "_y").agg(F.sum("_n").alias("_n")), ("fold",), "g").drop("_n_g")
     # Baselines need the last season and window before the train end only.
-    tail = d.between(F.date_sub(te, window - 1), te)
-    lastv = [F.coalesce(F.max(F.when(d == F.date_sub(te, k), F.col(y))), F.lit(0.0)) for k in range(season)]
-    recent = (rows.filter(is_train & (d > F.date_sub(te, max(window, season)))).groupBy("fold", key)
+    tail = d.between(F.date_sub(te, (window - 1) * step_days), te)
+    lastv = [F.coalesce(F.max(F.when(d == F.date_sub(te, k * step_days), F.col(y))), F.lit(0.0)) for k in range(season)]
+    recent = (rows.filter(is_train & (d > F.date_sub(te, max(window, season) * step_days))).groupBy("fold", key)
               .agg(F.array(*lastv).alias("_last"),
                    (F.coalesce(F.sum(F.when(tail, F.col(y))), F.lit(0.0)) / F.lit(float(window))).alias("pred_ma")))
-    out = (rows.filter(F.col("role") == "test").withColumn("_dow", F.weekday(day))
+    out = (rows.filter(F.col("role") == "test").withColumn("_dow", slot)
            .join(by_dow, ["fold", key, "_dow"], "left").join(by_series, ["fold", key], "left")
            .join(recent, ["fold", key], "left").join(F.broadcast(by_fold), "fold", "left"))
     qv = (F.when(F.col("_n_sd") >= min_obs, F.col("_q_sd"))
           .when(F.col("_n_s") >= min_obs, F.col("_q_s")).otherwise(F.col("_q_g")))
-    h = horizon(day)
+    h = horizon(day, step_days=step_days)
     idx = (((h - 1) % season) if mode == "mirrored" else ((-h) % season + season) % season)
     names = [f"pred_p{int(round(q * 100))}_raw" for q in qs]
     none = F.array(*[F.lit(0.0)] * season)
@@ -151,7 +159,7 @@ def active_series(panel: DataFrame, fold_df: DataFrame, key: str, day: str = "da
 
 
 def training_stats(panel: DataFrame, fold_df: DataFrame, key: str, day: str = "day", y: str = "n_items",
-                   y_lag: str = "lag_7", min_daily: float = 0.10):
+                   y_lag: str = "lag_7", min_daily: float = 0.10, step_days: int = 1):
     """MASE scale per fold (E2) and the active-series set (A6) from running
     sums: one window pass per series, read back at each fold's train end
     with an equi-join on the day (4 rows per series), instead of expanding
@@ -163,7 +171,7 @@ def training_stats(panel: DataFrame, fold_df: DataFrame, key: str, day: str = "d
     f = F.broadcast(fold_df)
     per = run.join(f, run[day] == f["train_end"], "inner")
     scales = per.groupBy("fold").agg((F.sum("_ad") / F.sum("_an")).alias("mase_scale"))
-    n_days = F.datediff("train_end", "calendar_start") + 1
+    n_days = F.datediff("train_end", "calendar_start") / step_days + 1
     active = (per.select("fold", key, (F.col("_s") / n_days).alias("train_mean"))
               .filter(F.col("train_mean") >= min_daily))
     return scales, active
@@ -202,11 +210,12 @@ def backtest_metrics(preds: DataFrame, scales: DataFrame, active: DataFrame, key
         M.pinball(a, "pred_p10", 0.1).alias("pinball_p10"),
         M.pinball(a, "pred_p50", 0.5).alias("pinball_p50"),
         M.pinball(a, "pred_p90", 0.9).alias("pinball_p90"),
+        M.share(a <= F.col("pred_p10")).alias("coverage_p10_one_sided"),
         M.share(a <= F.col("pred_p90")).alias("coverage_p90_one_sided"),
         F.sum("crossing").cast("double").alias("crossings"))
     qcols = ["coverage", "coverage_active", "active_share", "zero_actual_share",
              "degenerate_share", "width", "pinball_p10", "pinball_p50", "pinball_p90",
-             "coverage_p90_one_sided", "crossings"]
+             "coverage_p10_one_sided", "coverage_p90_one_sided", "crossings"]
     q_long = qm.select("fold", F.lit("q").alias("model"), F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
         for m in qcols])).alias("_v"))

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import running
+
 
 def flag01(c) -> Column:
     """Yes/Y/true -> 1, anything else -> 0 (strings or booleans, Q10)."""
@@ -22,11 +24,11 @@ def category_codes(df: DataFrame, col: str, out: str | None = None) -> DataFrame
     """Sorted distinct values -> 0..k-1, NULL -> -1. The dictionary has
     one row per distinct value; it is joined back without a hint so AQE
     broadcasts it only when its measured size is small (sort-merge beyond).
-    The code assignment ranks the distinct values, i.e. one row per
-    category, not per input row."""
+    The code assignment ranks the distinct values over range
+    partitions, one row per category, never in one task."""
     out = out or f"{col}_code"
     d = df.select(col).distinct().filter(F.col(col).isNotNull())
-    codes = d.select(col, (F.dense_rank().over(Window.orderBy(col)) - 1).alias(out))
+    codes = running(d, [F.asc(col)], rank="_rank").select(col, (F.col("_rank") - 1).cast("int").alias(out))
     return (df.join(codes, col, "left")
             .withColumn(out, F.coalesce(F.col(out), F.lit(-1))))
 
@@ -61,7 +63,7 @@ def extend_future(panel: DataFrame, key: str, week: str, y: str, steps=(7, 14),
 
 
 def latest_row(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Last row per series (ties broken by row content)."""
+    """Last row per series; ``order`` is unique within a series."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 

@@ -149,6 +149,7 @@ SELECT p.fold,
   avg(greatest(0.1 * (actual - pred_p10), -0.9 * (actual - pred_p10))) AS pinball_p10,
   avg(greatest(0.5 * (actual - pred_p50), -0.5 * (actual - pred_p50))) AS pinball_p50,
   avg(greatest(0.9 * (actual - pred_p90), -0.1 * (actual - pred_p90))) AS pinball_p90,
+  avg(CASE WHEN actual <= pred_p10 THEN 1.0 ELSE 0.0 END) AS coverage_p10_one_sided,
   avg(CASE WHEN actual <= pred_p90 THEN 1.0 ELSE 0.0 END) AS coverage_p90_one_sided,
   CAST(sum(crossing) AS DOUBLE) AS crossings
 FROM preds p LEFT JOIN active a ON a.fold = p.fold AND a.seller_id = p.seller_id
@@ -162,7 +163,7 @@ UNION ALL SELECT fold, model, 'bias', bias FROM pm
 UNION ALL SELECT pm.fold, model, 'mase', mae / nullif(s.mase_scale, 0) FROM pm JOIN scale s USING (fold)
 UNION ALL SELECT fold, 'q', k, v FROM qm UNPIVOT (v FOR k IN (coverage, coverage_active, active_share,
   zero_actual_share, degenerate_share, width, pinball_p10, pinball_p50, pinball_p90,
-  coverage_p90_one_sided, crossings))"""
+  coverage_p10_one_sided, coverage_p90_one_sided, crossings))"""
 
 
 def bt_ctes(**more):

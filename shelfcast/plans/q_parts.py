@@ -61,15 +61,20 @@ def weekly_extract(t):
 
 def weekly_panel(t):
     def build():
-        ext = weekly_extract(t).select("series_id", "week", "consumption_qty", "n_lines", "had_return")
-        d = P.densify(ext, WEEK_ORIGIN, "series_id", day="week", y="consumption_qty",
+        ext = weekly_extract(t).select("part_id", "week", "consumption_qty", "n_lines", "had_return")
+        d = P.densify(ext, WEEK_ORIGIN, "part_id", day="week", y="consumption_qty",
                       carry=("n_lines", "had_return"), step_days=7)
         d = d.withColumn("n_lines", F.coalesce("n_lines", F.lit(0.0))).withColumn(
             "had_return", F.coalesce("had_return", F.lit(0)))
-        return PT.weekly_features(d, "series_id", "week", "consumption_qty", lag_domain=("n_lines",))
+        return named(PT.weekly_features(d, "part_id", "week", "consumption_qty", lag_domain=("n_lines",)))
     return t.memo("weekly_panel", build)
 
 
+def named(df):
+    """Adds the series id; windows and joins use the integer part key."""
+    return df.withColumn("series_id", PT.series_key(F.lit(SITE), "part_id"))
+
+
 EXTRACT_SQL = f"""
 SELECT '{SITE}' AS site_id, l_partkey AS part_id, '{SITE}_' || CAST(l_partkey AS VARCHAR) AS series_id,
   CAST(date_trunc('week', l_shipdate) AS DATE) AS week, sum(l_quantity) AS consumption_qty,
@@ -127,8 +132,8 @@ SELECT 'dense', count(DISTINCT series_id), min(week), max(week), count_if(gap IS
 FROM (SELECT series_id, week, datediff('day', lag(week) OVER (PARTITION BY series_id ORDER BY week), week) AS gap FROM wdense)""",
        ops=("W8", "D6", "A12"))
 def q_continuity(t):
-    a = Q.continuity(weekly_extract(t), ["series_id"], "week").withColumn("panel", F.lit("extract"))
-    b = Q.continuity(weekly_panel(t), ["series_id"], "week").withColumn("panel", F.lit("dense"))
+    a = Q.continuity(weekly_extract(t), ["part_id"], "week").withColumn("panel", F.lit("extract"))
+    b = Q.continuity(weekly_panel(t), ["part_id"], "week").withColumn("panel", F.lit("dense"))
     return a.unionByName(b)
 
 
@@ -136,7 +141,7 @@ def q_continuity(t):
 SELECT * FROM wfeat WHERE (series_id, week) IN (SELECT (series_id, max(week)) FROM wfeat GROUP BY series_id)""",
        ops=("W12", "J10"))
 def q_latest(t):
-    return PT.latest_row(weekly_panel(t), "series_id", "week")
+    return PT.latest_row(weekly_panel(t), "part_id", "week")
 
 
 @query("W13_next_period_features", WFEAT_SPEC.replace("had_return:i ", ""), cte(**W_CTES) + """
@@ -149,10 +154,10 @@ f2 AS (SELECT d.*, """ + ", ".join(f"lag(consumption_qty, {k}) OVER w AS lag_{k}
        "FROM ext2 d WINDOW w AS (PARTITION BY series_id ORDER BY week))\n"
        f"SELECT * FROM f2 WHERE week > DATE '{WEEK_ORIGIN}'", ops=("W13",))
 def q_next(t):
-    ext = weekly_panel(t).select("series_id", "week", "consumption_qty", "n_lines")
-    fut = PT.extend_future(ext, "series_id", "week", "consumption_qty")
-    feats = PT.weekly_features(fut, "series_id", "week", "consumption_qty", lag_domain=("n_lines",))
-    return feats.filter(F.col("is_future") == 1)
+    ext = weekly_panel(t).select("part_id", "week", "consumption_qty", "n_lines")
+    fut = PT.extend_future(ext, "part_id", "week", "consumption_qty")
+    feats = PT.weekly_features(fut, "part_id", "week", "consumption_qty", lag_domain=("n_lines",))
+    return named(feats.filter(F.col("is_future") == 1))
 
 
 @query("C8_category_codes", "p_type:s p_type_code:i n_parts:i", """
@@ -221,14 +226,13 @@ def q_parts_with_pos(t):
        cte(**W_CTES) + """
 , q AS (SELECT series_id, quantile_cont(consumption_qty, 0.1) AS p10, quantile_cont(consumption_qty, 0.5) AS p50,
                quantile_cont(consumption_qty, 0.9) AS p90
-        FROM wdense WHERE week > DATE '""" + WEEK_ORIGIN + """' - INTERVAL 182 DAY GROUP BY series_id),
+        FROM wdense GROUP BY series_id),
 r AS (SELECT *, least(1.0, p90 / greatest(p10, 1.0) / 5.0) AS risk FROM q)
 SELECT *, round_even(greatest(0.0, p90 - 0.0), 2) AS recommended_qty FROM r
 WHERE risk > 0.5 AND round_even(greatest(0.0, p90 - 0.0), 2) > 0""", ops=("V12", "V13", "W12"))
 def q_weekly_risk(t):
-    d = weekly_panel(t).filter(F.col("week") > F.date_sub(F.to_date(F.lit(WEEK_ORIGIN)), 182))
-    qs = d.groupBy("series_id").agg(F.percentile("consumption_qty", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    qs = weekly_panel(t).groupBy("part_id").agg(F.percentile("consumption_qty", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
                                     .alias("_q"))
-    r = qs.select("series_id", F.col("_q")[0].alias("p10"), F.col("_q")[1].alias("p50"),
+    r = named(qs).select("series_id", F.col("_q")[0].alias("p10"), F.col("_q")[1].alias("p50"),
                   F.col("_q")[2].alias("p90")).withColumn("risk", ratio_risk("p10", "p90"))
     return PT.planner(r, "risk", "p50", "p90")
