@@ -34,3 +34,20 @@ def running(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), rank:
     for o, v in before.items():
         out = out.withColumn(o, F.coalesce(F.sum(v).over(upto), F.lit(0.0)) + F.col(f"_o_t_{o}"))
     return out.drop("_part", *[c for c in offsets.columns if c.startswith("_o")])
+
+
+def quantiles(df: DataFrame, value: str, q: float, by: tuple[str, ...]) -> DataFrame:
+    """``by`` and ``quantile``: the exact ``q``-quantile of ``value`` (linear
+    interpolation, nulls ignored) in each group, for groups of any size: values
+    are counted, ranked over range partitions, and only the two that enclose
+    the quantile's position meet in one task."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    placed = running(counts, [F.asc("_v")], by, before={"_before": "_n"})
+    size = counts.groupBy(*by).agg(((F.sum("_n") - 1) * F.lit(float(q))).alias("_at"))
+    at = placed.join(size, list(by))
+    value_at = lambda p: F.max(F.when((F.col("_before") <= p) & (p < F.col("_before") + F.col("_n")), F.col("_v")))
+    lo, hi = F.floor("_at"), F.ceil("_at")
+    near = at.where((F.col("_before") <= hi) & (lo < F.col("_before") + F.col("_n")))
+    out = near.groupBy(*by, "_at").agg(value_at(lo).alias("_lo"), value_at(hi).alias("_hi"))
+    return out.select(*by, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - F.floor("_at"))).alias("quantile"))

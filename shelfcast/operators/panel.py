@@ -96,6 +96,22 @@ def add_lags(panel: DataFrame, key: str, day: str, y: str, lags=(1, 7, 14, 28),
     return panel.select("*", *[F.lag(y, k).over(w).alias(f"{prefix}{k}") for k in lags])
 
 
+def direct_features(panel: DataFrame, key: str, day: str, y: str, ahead: int, lags=(0, 7, 14), windows=(7, 28),
+                    known=()) -> DataFrame:
+    """Features of a direct forecast up to ``ahead`` periods out: all that a
+    row sees of ``y`` and of the ``known`` columns (their last value that is
+    not null) is at least ``ahead`` periods old, so every row of the
+    ``ahead`` periods after a train end is known at the train end."""
+    w = Window.partitionBy(key).orderBy(day)
+    cols = [F.lag(y, ahead + k).over(w).alias(f"lag_{ahead + k}") for k in lags]
+    for k in windows:
+        fr = w.rowsBetween(-(ahead + k - 1), -ahead)
+        cols += [F.avg(y).over(fr).alias(f"roll_mean_{k}"), F.stddev_samp(y).over(fr).alias(f"roll_std_{k}")]
+    past = w.rowsBetween(Window.unboundedPreceding, -ahead)
+    cols += [F.last(c, ignorenulls=True).over(past).alias(f"last_{c}") for c in known]
+    return panel.select("*", *cols)
+
+
 def add_rolling(panel: DataFrame, key: str, day: str, y: str, windows=(7, 28),
                 min_mean: int | None = None, min_std: int | None = None,
                 fill_std=None, exclude_current: bool = True, method: str = "prefix") -> DataFrame:
@@ -211,8 +227,16 @@ def build_features(lines: DataFrame, origin, key: str, ts: str, price: str, frei
                    lags=(1, 7, 14, 28), windows=(7, 28)) -> DataFrame:
     """Whole daily feature panel at ``origin``: A1 + A2 (one pass over the
     lines) -> P2 -> W1/W2 -> W4/W5 -> W9 -> J3. Every input is truncated at
-    the origin, so rows after it cannot change any output (D9)."""
+    the origin, so rows after it cannot change any output (D9). Catalyst plans
+    the line aggregate once for each of its two readers; jobs at scale write it
+    first and use ``features_from``."""
     act, hist = activity_and_lead_times(lines, origin, key, ts, price, freight, **lt_cols)
+    return features_from(act, hist, origin, key, holidays, lags, windows)
+
+
+def features_from(act: DataFrame, hist: DataFrame, origin, key: str, holidays: DataFrame | None = None,
+                  lags=(1, 7, 14, 28), windows=(7, 28)) -> DataFrame:
+    """``build_features`` from the activity and the lead-time histogram."""
     panel = densify(act, origin, key)
     panel = add_lags(panel, key, "day", "n_items", lags)
     panel = add_rolling(panel, key, "day", "n_items", windows)
@@ -262,8 +286,8 @@ def line_aggregates(lines: DataFrame, origin, key: str, ts: str, price: str, fre
     """A1 and A2 inputs from ONE pass over the joined lines: a grouping-sets
     aggregate over (key, day) -- the daily activity -- and (key, lead-time
     value) -- a lead-time histogram. Spark expands each row into both sets
-    and aggregates them in one shuffle, so the large line/order join runs
-    once instead of twice. Split with ``activity_from`` / ``histogram_from``."""
+    and aggregates them in one shuffle. Written once, the large line/order
+    join runs once for both. Split with ``activity_from`` / ``histogram_from``."""
     end = origin_end(origin)
     known = F.col(ts) < end
     lt_ok = ((F.col(status) == delivered_value) & (F.col(purchase) < end) & (F.col(delivered) < end)

@@ -11,6 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .ordering import quantiles
+
 
 def _unpivot(df: DataFrame, ids, cols, var: str, val: str) -> DataFrame:
     return df.unpivot(list(ids), list(cols), var, val)
@@ -69,15 +72,19 @@ def continuity(panel: DataFrame, keys, date: str, step_days: int = 7) -> DataFra
 def distribution(df: DataFrame, measures: dict[str, Column]) -> DataFrame:
     """Per measure mean, sample std, p10/p50/p90, % negative (early) and
     % positive (late). Measures are unpivoted so one grouped aggregate covers
-    all of them."""
+    all of them. Rows are counted by value first, so a measure costs one row
+    per distinct value after the shuffle, not one per input row."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("stage"), v.cast("double").alias("v"))
                                          for k, v in measures.items()])).alias("_s")).select("_s.*")
-    return (long.filter(F.col("v").isNotNull()).groupBy("stage")
-            .agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-                 F.percentile("v", F.lit(0.1)).alias("p10"), F.percentile("v", F.lit(0.5)).alias("p50"),
-                 F.percentile("v", F.lit(0.9)).alias("p90"),
-                 (F.lit(100.0) * F.avg((F.col("v") < 0).cast("double"))).alias("pct_early"),
-                 (F.lit(100.0) * F.avg((F.col("v") > 0).cast("double"))).alias("pct_late")))
+    counts = long.filter(F.col("v").isNotNull()).groupBy("stage", "v").agg(F.count(F.lit(1)).alias("n"))
+    v, n = F.col("v"), F.col("n")
+    total, s1, s2 = F.sum(n), F.sum(n * v), F.sum(n * v * v)
+    share = lambda c: F.lit(100.0) * F.sum(F.when(c, n).otherwise(0)) / total
+    return counts.groupBy("stage").agg(
+        (s1 / total).alias("mean"),
+        F.when(total > 1, F.sqrt(F.greatest(F.lit(0.0), (s2 - s1 * s1 / total) / (total - 1)))).alias("std"),
+        *[F.percentile(v, F.lit(q), n).alias(f"p{round(q * 100)}") for q in (0.1, 0.5, 0.9)],
+        share(v < 0).alias("pct_early"), share(v > 0).alias("pct_late"))
 
 
 def autocorrelation(panel: DataFrame, key: str, day: str, y: str, lags=(1, 7),
@@ -90,11 +97,12 @@ def autocorrelation(panel: DataFrame, key: str, day: str, y: str, lags=(1, 7),
            .agg((F.datediff(F.max(day), F.min(day)) + 1).alias("_span"),
                 *[F.corr(y, f"_l{k}").alias(f"ac_{k}") for k in lags])
            .filter(F.col("_span") >= min_span))
-    rows = [per.agg(F.lit(k).alias("lag"), F.avg(f"ac_{k}").alias("mean_ac"),
-                    F.percentile(f"ac_{k}", F.lit(0.5)).alias("median_ac"),
-                    F.stddev_samp(f"ac_{k}").alias("std_ac"), F.count(f"ac_{k}").alias("n_series"))
-            for k in lags]
-    return reduce(DataFrame.unionByName, rows)
+    long = materialize(per.select(F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"ac_{k}").alias("ac"))
+                                                      for k in lags])).alias("_a")).select("_a.*"), "autocorrelation")
+    stats = long.groupBy("lag").agg(F.avg("ac").alias("mean_ac"), F.stddev_samp("ac").alias("std_ac"),
+                                    F.count("ac").alias("n_series"))
+    medians = quantiles(long, "ac", 0.5, ("lag",)).withColumnRenamed("quantile", "median_ac")
+    return stats.join(medians, "lag", "left")
 
 
 def global_autocorrelation(daily: DataFrame, day: str, y: str, lags=(1, 7)) -> DataFrame:

@@ -8,29 +8,16 @@ from pyspark.sql import functions as F
 from ..operators import forecast as FC
 from ..operators import panel as P
 from ..session import materialize
-from .domain import KEY, LINES_SQL, LT_COLS, ORIGIN, order_lines
-from .q_panel import ACT_SQL, DENSE_SQL, GRID_SQL
+from .domain import KEY, LINES_SQL, ORIGIN
+from .q_panel import ACT_SQL, DENSE_SQL, GRID_SQL, line_aggs
 from .registry import cte, query
 
 
-def line_aggs(t, origin=ORIGIN):
-    """Activity and lead-time histogram at the origin from one pass over the
-    joined lines, written once and shared by the panel and the plan."""
-    return t.memo(f"line_aggs_{origin}", lambda: materialize(
-        P.line_aggregates(order_lines(t), origin, KEY, "purchase_ts", "price", "freight", **LT_COLS),
-        "line_aggs"))
-
-
 def activity(t, origin=ORIGIN):
     """A1 at the origin."""
     return P.activity_from(line_aggs(t, origin), KEY)
 
 
-def lead_times(t, origin=ORIGIN):
-    """A2 at the origin (from the shared histogram)."""
-    return P.lead_time_stats_from_hist(P.histogram_from(line_aggs(t, origin), KEY), KEY)
-
-
 def demand(t, origin=ORIGIN):
     """Dense daily demand panel with lag_7 (for the MASE scale)."""
     def build():

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import panel as P
 from .domain import (KEY, LINES_SQL, LT_COLS, ORIGIN, ORIGIN_END_SQL, ORIGIN_SQL,
                      VALID_SEQ_SQL, order_lines)
+from ..session import materialize
 from .registry import cte, query
 
 FEATURE_SPEC = ("seller_id:i day:d n_items:f avg_price:f avg_freight:f lag_1:f lag_7:f lag_14:f "
@@ -15,9 +16,18 @@ FEATURE_SPEC = ("seller_id:i day:d n_items:f avg_price:f avg_freight:f lag_1:f l
                 "lt_p50:f lt_p90:f lt_n:i")
 
 
+def line_aggs(t, origin=ORIGIN):
+    """Activity and lead-time histogram at the origin from one pass over the
+    joined lines, written once; the panel, the backtest and the plan read it."""
+    return t.memo(f"line_aggs_{origin}", lambda: materialize(
+        P.line_aggregates(order_lines(t), origin, KEY, "purchase_ts", "price", "freight", **LT_COLS),
+        "line_aggs"))
+
+
 def features(t, origin=ORIGIN):
-    return P.build_features(order_lines(t), origin, KEY, "purchase_ts", "price", "freight",
-                            LT_COLS, holidays=P.holiday_table(t.spark))
+    g = line_aggs(t, origin)
+    return P.features_from(P.activity_from(g, KEY), P.histogram_from(g, KEY), origin, KEY,
+                           holidays=P.holiday_table(t.spark))
 
 
 # ---------------------------------------------------------------- SQL pieces

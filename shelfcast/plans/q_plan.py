@@ -12,8 +12,9 @@ from ..functions import inventory as I
 from ..operators import decisions as DC
 from ..operators import inventory as INV
 from ..operators.ordering import running
+from ..operators.panel import lead_time_stats, origin_end
 from . import q_backtest as BT
-from .domain import KEY
+from .domain import KEY, LT_COLS, ORIGIN_END_SQL, order_lines
 from .registry import cte, query
 from ..session import materialize
 
@@ -33,11 +34,14 @@ def holdout(t) -> DataFrame:
 
 def series_info(t) -> DataFrame:
     """A3 + F12: median active-day price (0/NULL -> 50) and the lead-time
-    snapshot (NULL -> 7 / 2 days) per series."""
-    act = BT.activity(t)
+    snapshot (NULL -> 7 / 2 days) of every series with a forecast, as known at
+    the end of the plan's training data: nothing of the forecast days enters."""
+    end = F.broadcast(BT.bt_folds(BT.bt_panel(t)).filter(F.col("fold") == "holdout").select(F.col("train_end").alias("_te")))
+    act = BT.activity(t).join(end, F.col("day") <= F.col("_te"))
     price = act.groupBy(KEY).agg(F.percentile("avg_price", F.lit(0.5)).alias("price"))
-    lt = BT.lead_times(t)
-    return (price.join(lt, KEY, "left")
+    lines = order_lines(t).join(end, F.col("purchase_ts") < origin_end(F.col("_te")))
+    lt = lead_time_stats(lines, F.col("_te"), KEY, **LT_COLS)
+    return (holdout(t).select(KEY).distinct().join(price, KEY, "left").join(lt, KEY, "left")
             .select(KEY, F.when(F.coalesce(F.col("price"), F.lit(0.0)) == 0, F.lit(50.0))
                     .otherwise(F.col("price")).alias("price"),
                     F.coalesce("lt_mean", F.lit(7.0)).alias("lt_mean"),
@@ -152,11 +156,15 @@ def flat_recs(t) -> DataFrame:
 # ---------------------------------------------------------------- SQL pieces
 HOLD_SQL = "SELECT * FROM preds WHERE fold = 'holdout'"
 INFO_SQL = """
-SELECT a.seller_id,
+SELECT v.seller_id,
   CASE WHEN coalesce(a.price, 0) = 0 THEN 50.0 ELSE a.price END AS price,
   coalesce(lt.lt_mean, 7.0) AS lt_mean, coalesce(lt.lt_std, 2.0) AS lt_std
-FROM (SELECT seller_id, quantile_cont(avg_price, 0.5) AS price FROM act GROUP BY seller_id) a
-LEFT JOIN lt USING (seller_id)"""
+FROM (SELECT DISTINCT seller_id FROM hold) v
+LEFT JOIN (SELECT seller_id, quantile_cont(avg_price, 0.5) AS price FROM act
+           WHERE day <= (SELECT train_end FROM folds WHERE fold = 'holdout') GROUP BY seller_id) a
+  ON a.seller_id = v.seller_id
+LEFT JOIN lt ON lt.seller_id = v.seller_id"""
+TRAIN_END_SQL = "(SELECT CAST(train_end + INTERVAL 1 DAY AS TIMESTAMP) FROM folds WHERE fold = 'holdout')"
 TOP_SQL = """
 SELECT seller_id, volume, row_number() OVER (ORDER BY volume DESC, seller_id) AS rank
 FROM (SELECT seller_id, round_even(sum(pred_p50), 6) AS volume FROM hold GROUP BY seller_id) v"""
@@ -250,7 +258,7 @@ FROM rec3 r"""
 def plan_ctes(alpha=SERVICE_ALPHA, **more):
     from .q_panel import LT_SQL
     d = BT.bt_ctes(**BT.PRED_CTES)
-    d.update(lt=LT_SQL, hold=HOLD_SQL, info=INFO_SQL, top=TOP_SQL, basep=BASEP_SQL, win=WIN_SQL,
+    d.update(lt=LT_SQL.replace(ORIGIN_END_SQL, TRAIN_END_SQL), hold=HOLD_SQL, info=INFO_SQL, top=TOP_SQL, basep=BASEP_SQL, win=WIN_SQL,
              iq=iq_sql(alpha), plan=PLAN_SQL)
     d.update(more)
     return d

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..operators import panel as P
 from ..operators import quality as Q
+from ..operators.ordering import quantiles
+from ..session import materialize
 from ..sources.tables import table_counts
 from . import q_backtest as BT
 from .domain import KEY, LINES_SQL, LT_COLS, ORIGIN, order_lines
-from .registry import cte, query
+from .registry import Tables, cte, query
 
 CORE = ("lineitem", "orders", "customer", "part", "supplier", "nation", "region")
 
@@ -104,15 +106,12 @@ SEQ_RULES = {"approved_after_purchase": "approved_ts >= purchase_ts",
               "), 100.0 * count_if(" + " AND ".join(f"coalesce({v}, true)" for v in SEQ_RULES.values())
               + ") / greatest(count(*), 1) FROM lines"]), ops=("D5", "F3"))
 def q_sequence(t):
-    lines = order_lines(t)
-    v = Q.count_violations(lines, {k: F.expr(x) for k, x in SEQ_RULES.items()}, "order_lines")
+    rules = {k: F.expr(x) for k, x in SEQ_RULES.items()}
     allpass = F.lit(True)
-    for x in SEQ_RULES.values():
-        allpass = allpass & F.coalesce(F.expr(x), F.lit(True))
-    ok = lines.agg(F.count_if(allpass).alias("violations"), F.count(F.lit(1)).alias("_n")).select(
-        F.lit("order_lines").alias("table_name"), F.lit("all_rules_pass").alias("rule"), "violations",
-        (F.lit(100.0) * F.col("violations") / F.greatest("_n", F.lit(1))).alias("pct"))
-    return v.unionByName(ok)
+    for x in rules.values():
+        allpass = allpass & F.coalesce(x, F.lit(True))
+    # Counted like a violation, in the same pass: the rows where every rule holds.
+    return Q.count_violations(order_lines(t), {**rules, "all_rules_pass": ~allpass}, "order_lines")
 
 
 REL = [("lineitem_to_orders", "lineitem", "l_orderkey", "orders", "o_orderkey"),
@@ -200,11 +199,14 @@ SELECT count(*) AS n_series, min(lt_mean) AS min_lt_mean, quantile_cont(lt_mean,
   max(lt_mean) AS max_lt_mean, stddev_samp(lt_mean) AS std_lt_mean, quantile_cont(lt_std, 0.5) AS median_lt_std
 FROM lt WHERE lt_n >= 20""", ops=("A26", "A2"))
 def q_hetero(t):
-    lt = P.lead_time_stats(order_lines(t), ORIGIN, KEY, **LT_COLS).filter(F.col("lt_n") >= 20)
-    return lt.agg(F.count(F.lit(1)).alias("n_series"), F.min("lt_mean").alias("min_lt_mean"),
-                  F.percentile("lt_mean", F.lit(0.5)).alias("median_lt_mean"),
-                  F.max("lt_mean").alias("max_lt_mean"), F.stddev_samp("lt_mean").alias("std_lt_mean"),
-                  F.percentile("lt_std", F.lit(0.5)).alias("median_lt_std"))
+    lt = materialize(P.lead_time_stats(order_lines(t), ORIGIN, KEY, **LT_COLS).filter(F.col("lt_n") >= 20)
+                     .select("lt_mean", "lt_std"), "lead_times")
+    med = quantiles(lt.unpivot([], ["lt_mean", "lt_std"], "measure", "v"), "v", 0.5, ("measure",))
+    med = med.agg(F.max(F.when(F.col("measure") == "lt_mean", F.col("quantile"))).alias("median_lt_mean"),
+                  F.max(F.when(F.col("measure") == "lt_std", F.col("quantile"))).alias("median_lt_std"))
+    rest = lt.agg(F.count(F.lit(1)).alias("n_series"), F.min("lt_mean").alias("min_lt_mean"),
+                  F.max("lt_mean").alias("max_lt_mean"), F.stddev_samp("lt_mean").alias("std_lt_mean"))
+    return rest.join(F.broadcast(med), how="inner")
 
 
 @query("A27_autocorrelation", "scope:s lag:i mean_ac:f median_ac:f std_ac:f n_series:i",
@@ -247,9 +249,7 @@ def q_leakage(t):
     after it are moved 100 days later (exceptAll both ways = 0)."""
     from .q_panel import features
 
-    class Cut(dict):
-        spark = t.spark
-
+    class Cut(Tables):
         def __missing__(self, name):
             df = t[name]
             if name == "orders":
@@ -260,7 +260,7 @@ def q_leakage(t):
                                    .otherwise(F.col("l_shipdate")))
             self[name] = df
             return df
-    a, b = features(t), features(Cut())
+    a, b = features(t), features(Cut(t.spark, t.sf_dir))
     return (a.exceptAll(b).agg(F.count(F.lit(1)).alias("left_only"))
             .join(b.exceptAll(a).agg(F.count(F.lit(1)).alias("right_only")), how="inner"))
 
