@@ -168,9 +168,9 @@ def q_forecasts_lt(t):
 
 
 def sweep(t):
-    """V9: arm C at every service level. Each level re-derives the
-    protection-interval quantile; the levels are a literal array exploded
-    per row (no join)."""
+    """V9: arm C at every service level. Each level (a short fixed list)
+    derives its own protection-interval quantile and ledger; their totals are
+    united."""
     frames = []
     for a in ALPHAS:
         base = QP.plan_base(t, alpha=a)

@@ -2,36 +2,38 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
+from pyspark.sql import functions as F
 
 from ..streaming import ingest as ST
 from .registry import query
 
 
-def _events_dir(t) -> str:
-    """A directory holding only the events file (stream sources read dirs)."""
-    src = f"{t.sf_dir.rstrip('/')}/events.parquet"
-    if os.path.isdir(src):
-        return src
-    d = tempfile.mkdtemp(prefix="shelfcast-events-")
-    os.symlink(src, os.path.join(d, "part-0.parquet")) if hasattr(os, "symlink") else shutil.copy(src, d)
-    return d
+def _events(t) -> tuple:
+    """The events table as a stream source: its path (a file or a folder, on
+    any file system) and schema."""
+    return f"{t.sf_dir.rstrip('/')}/events.parquet", t["events"].schema
+
+
+def _counts(t):
+    return ST.run_daily_counts(t.spark, *_events(t), "ts", "event_type", "value")
 
 
 @query("T1_stream_daily_counts", "day:d event_type:s n_events:i total_value:f", """
 SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n_events, sum(value) AS total_value
 FROM events GROUP BY ALL""", ops=("T1", "A1"))
 def q_stream_counts(t):
-    schema = t["events"].schema
-    return ST.run_daily_counts(t.spark, _events_dir(t), schema, "ts", "event_type", "value")
+    return _counts(t)
+
+
+@query("T1_stream_late_rows", "n_source:i n_counted:i n_late:i", """
+SELECT count(*) AS n_source, count(*) AS n_counted, 0 AS n_late FROM events""", ops=("T1",))
+def q_late(t):
+    r = ST.late_rows(t.spark, *_events(t), "ts", "event_type", _counts(t))
+    return r.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_source", "n_counted", "n_late")])
 
 
 @query("T2_stream_latest_per_user", "user_id:i event_id:i event_type:s value:f", """
 SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type,
   arg_max(value, event_id) AS value FROM events GROUP BY user_id""", ops=("T2", "U3"))
 def q_stream_latest(t):
-    schema = t["events"].schema
-    return ST.upsert_latest(t.spark, _events_dir(t), schema, "user_id", "event_id",
-                            ["event_type", "value"])
+    return ST.upsert_latest(t.spark, *_events(t), "user_id", "event_id", ["event_type", "value"])

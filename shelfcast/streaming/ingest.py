@@ -1,90 +1,106 @@
 """Daily activity counts per key from an event stream, with a watermark
-so rows later than ``late`` are dropped and state stays bounded.
-T2: latest decision status per record via a ``foreachBatch`` upsert.
-
-Both sinks are parquet tables under the shared checkpoint dir (never the
-driver-memory sink), with their own streaming checkpoint for exactly-once
-restarts after executor or driver loss.
+so rows later than ``late`` are dropped and state stays bounded; what was
+dropped is counted by ``late_rows``.
+T2: latest decision status per record.
+
+Both write every micro-batch to a folder of its own (``batch_id=<n>``), so a
+batch that is run again after a failure replaces itself, and readers take the
+newest row per key. ``root`` holds output and streaming checkpoint: a job
+started again with the same root goes on where it stopped.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
+def scratch_root(spark: SparkSession, name: str) -> str:
+    """A new folder for one run in the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/shelfcast-streams/{name}-{uuid.uuid4().hex}"
 
 
-def daily_counts_stream(spark: SparkSession, src_dir: str, schema: T.StructType, ts: str, key: str,
+def _drive(stream: DataFrame, root: str, mode: str, reduce_batch=lambda b: b) -> DataFrame:
+    """Runs a stream over all that is there and returns what all runs with
+    this root have written, with the ``batch_id`` of each row."""
+    spark = stream.sparkSession
+    out = f"{root}/out"
+
+    def sink(batch: DataFrame, batch_id: int):
+        reduce_batch(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    q = (stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    schema = T.StructType([*reduce_batch(stream).schema.fields, T.StructField("batch_id", T.LongType())])
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(out)
+
+
+def _source(spark: SparkSession, src: str, schema: T.StructType, files_per_trigger: int) -> DataFrame:
+    """``src``: a folder of files, one file or a pattern. A stream takes a single file
+    only as the match of a pattern; this one matches ``src`` alone."""
+    exactly = src if set(src) & set("*?[{") else f"{src[:-1]}[{src[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(exactly)
+
+
+def _instants(df: DataFrame, ts: str) -> DataFrame:
+    """Watermarks need TIMESTAMP: wall clocks are read as UTC instants, so
+    windows align to UTC days whatever the session time zone is."""
+    if not isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        return df
+    return df.withColumn(ts, F.from_utc_timestamp(F.col(ts).cast("timestamp"), df.sparkSession.conf.get("spark.sql.session.timeZone")))
+
+
+def _utc_day(c) -> F.Column:
+    return F.date_from_unix_date(F.floor(F.unix_seconds(c) / 86400).cast("int"))
+
+
+def daily_counts_stream(spark: SparkSession, src: str, schema: T.StructType, ts: str, key: str,
                         value: str, late: str = "1 day", files_per_trigger: int = 1) -> DataFrame:
     """T1 as a streaming DataFrame: event-time 1-day windows per key."""
-    s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-         .parquet(src_dir))
-    tz = spark.conf.get("spark.sql.session.timeZone")
-    if isinstance(schema[ts].dataType, T.TimestampNTZType):
-        # watermarks need TIMESTAMP: read the wall clock as UTC instants so
-        # windows align to UTC days whatever the session time zone is
-        s = s.withColumn(ts, F.from_utc_timestamp(F.col(ts).cast("timestamp"), tz))
+    s = _instants(_source(spark, src, schema, files_per_trigger), ts)
     return (s.withWatermark(ts, late)
             .groupBy(F.window(ts, "1 day").alias("w"), F.col(key))
             .agg(F.count(F.lit(1)).alias("n_events"), F.sum(value).alias("total_value")))
 
 
-def run_daily_counts(spark: SparkSession, src_dir: str, schema: T.StructType, ts: str, key: str,
-                     value: str, late: str = "1 day") -> DataFrame:
-    """Drive T1 to completion (``availableNow``) in update mode; every
-    micro-batch appends its updated windows with the batch id, and the
-    result keeps the newest version of each window (an upsert by key)."""
-    out, ckpt = _scratch(spark, "t1-out"), _scratch(spark, "t1-ckpt")
-    agg = daily_counts_stream(spark, src_dir, schema, ts, key, value, late)
+def run_daily_counts(spark: SparkSession, src: str, schema: T.StructType, ts: str, key: str,
+                     value: str, late: str = "1 day", root: str | None = None) -> DataFrame:
+    """Drives T1 over all files there are, in update mode; the result keeps
+    the newest version of each window."""
+    res = _drive(daily_counts_stream(spark, src, schema, ts, key, value, late), root or scratch_root(spark, "t1"), "update")
+    newest = res.groupBy("w", key).agg(F.max_by(F.struct("n_events", "total_value"), "batch_id").alias("r"))
+    return newest.select(_utc_day(F.col("w.start")).alias("day"), key, "r.n_events", "r.total_value")
 
-    def sink(batch: DataFrame, batch_id: int):
-        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out))
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    res = spark.read.parquet(out)
-    w = Window.partitionBy("w", key).orderBy(F.desc("batch_id"))
-    # UTC calendar day of the window start, independent of the session zone
-    day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
-    return (res.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
-            .select(day.alias("day"), key, "n_events", "total_value"))
-
-
-def upsert_latest(spark: SparkSession, src_dir: str, schema: T.StructType, key: str, order: str,
-                  cols) -> DataFrame:
-    """Stream a decision log and keep the latest row per key. Each
-    micro-batch is reduced to its newest row per key (``max_by``) and merged
-    with the current table version (left anti + union), written as a new
-    version; no table format is assumed."""
-    base = _scratch(spark, "t2")
-    state = {"v": None}
+def late_rows(spark: SparkSession, src: str, schema: T.StructType, ts: str, key: str, counted: DataFrame) -> DataFrame:
+    """Per (day, key): rows in the source, rows counted by T1, and the rows
+    that came too late; days that were lost as a whole are included."""
+    there = _instants(spark.read.schema(schema).parquet(src), ts).groupBy(_utc_day(F.col(ts)).alias("day"), key).agg(
+        F.count(F.lit(1)).alias("n_source"))
+    j = there.join(counted.select("day", key, F.col("n_events").alias("n_counted")), ["day", key], "left")
+    return j.withColumn("n_counted", F.coalesce("n_counted", F.lit(0))).withColumn(
+        "n_late", F.col("n_source") - F.col("n_counted"))
+
+
+def upsert_latest(spark: SparkSession, src: str, schema: T.StructType, key: str, order: str, cols,
+                  root: str | None = None) -> DataFrame:
+    """Stream a decision log and keep the latest row per key. A batch
+    writes its own newest row per key only; no table is rewritten."""
     cols = list(cols)
 
-    def merge(batch: DataFrame, batch_id: int):
-        newest = (batch.groupBy(key).agg(F.max_by(F.struct(order, *cols), order).alias("_r"))
-                  .select(key, "_r.*"))
-        path = f"{base}/v{batch_id}"
-        if state["v"] is None:
-            nxt = newest
-        else:
-            cur = spark.read.parquet(state["v"])
-            both = cur.unionByName(newest)
-            nxt = (both.groupBy(key).agg(F.max_by(F.struct(order, *cols), order).alias("_r"))
-                   .select(key, "_r.*"))
-        nxt.write.mode("errorifexists").parquet(path)
-        state["v"] = path
-
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src_dir)
-    q = (s.writeStream.foreachBatch(merge).option("checkpointLocation", _scratch(spark, "t2-ckpt"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(state["v"])
+    def newest(df: DataFrame) -> DataFrame:
+        return df.groupBy(key).agg(F.max_by(F.struct(order, *cols), order).alias("_r")).select(key, "_r.*")
+
+    stream = _source(spark, src, schema, 1).select(key, order, *cols)
+    # Static schema of a reduced batch: the same columns.
+    return newest(_drive(stream, root or scratch_root(spark, "t2"), "append",
+                         lambda b: b if b.isStreaming else newest(b)).drop("batch_id"))

@@ -47,48 +47,24 @@ def test_exceedance_prob(spark):
     assert [round(r.p, 6) for r in out] == [1.0, 0.9, 0.5, 0.1, 0.0, 0.0]
 
 
-def _loop(demand, orders, on_hand, lead, cost, margin, up_to=None):
-    """Sequential reference loop of the ledger semantics (test oracle)."""
-    pipe, out = {}, []
-    for t, d in enumerate(demand):
-        start = on_hand + pipe.pop(t, 0.0)
-        end = max(0.0, start - d)
-        q = max(0.0, up_to - (end + sum(pipe.values()))) if up_to is not None else orders[t]
-        if q > 0:
-            pipe[t + lead] = pipe.get(t + lead, 0.0) + q
-        out.append((t, start, end, q, end * cost * 0.25 / 365, max(0.0, d - start) * margin * 1.2))
-        on_hand = end
-    return out
-
-
-def _replay(spark, demand, arms, on_hand, lead, cost, margin):
+def test_ledger_by_hand(spark):
+    """Ten units on hand, four wanted a day, two days of lead time. 'fix' orders
+    3, 3 and 3 units, then nothing; 'up' orders up to 12."""
+    cols = ("series string, arm string, t int, demand double, fixed_order double, order_up_to double, policy string, "
+            "initial_on_hand double, lead_time_days int, unit_cost double, unit_margin double")
     rows = []
-    for arm, (policy, orders, s) in arms.items():
-        for t, d in enumerate(demand):
-            rows.append(("x", arm, t, float(d), orders[t] if orders else None, s, policy, on_hand, lead,
-                         cost, margin))
-    df = spark.createDataFrame(rows, "series string, arm string, t int, demand double, fixed_order double, "
-                                     "order_up_to double, policy string, initial_on_hand double, "
-                                     "lead_time_days int, unit_cost double, unit_margin double")
-    return INV.replay(df)
-
-
-def test_ledger_equals_loop_and_c_beats_a(spark):
-    demand = [50, 60, 55, 70, 65, 40, 30]
-    arms = {"A": ("fixed", [0.0] * 7, None), "B": ("fixed", [30.0] * 5 + [0.0, 0.0], None),
-            "C": ("fixed", [60.0] * 5 + [0.0, 0.0], None), "U": ("order_up_to", None, 120.0)}
-    led = _replay(spark, demand, arms, 60.0, 2, 10.0, 15.0).collect()
-    by = {}
-    for r in led:
-        by.setdefault(r.arm, []).append(r)
-    for arm, (policy, orders, s) in arms.items():
-        exp = _loop(demand, orders, 60.0, 2, 10.0, 15.0, up_to=s)
-        got = sorted(by[arm], key=lambda r: r.day)
-        for e, g in zip(exp, got):
-            assert (g.day, g.on_hand_start, g.on_hand_end, g.order_placed) == pytest.approx(e[:4])
-            assert g.holding_cost == pytest.approx(e[4]) and g.stockout_cost == pytest.approx(e[5])
-    tot = {r.arm: r for r in INV.policy_totals(spark.createDataFrame(led)).collect()}
-    assert tot["C"].stockout_days <= tot["A"].stockout_days
+    for t in range(5):
+        rows.append(("x", "fix", t, 4.0, 3.0 if t < 3 else 0.0, None, "fixed", 10.0, 2, 365.0, 5.0))
+        rows.append(("x", "up", t, 4.0, None, 12.0, "order_up_to", 10.0, 2, 365.0, 5.0))
+    led = INV.replay(spark.createDataFrame(rows, cols))
+    got = {arm: [(r.on_hand_start, r.on_hand_end, r.order_placed, r.stockout_units)
+                 for r in led.where(F.col("arm") == arm).orderBy("day").collect()] for arm in ("fix", "up")}
+    assert got["fix"] == [(10, 6, 3, 0), (6, 2, 3, 0), (5, 1, 3, 0), (4, 0, 0, 0), (3, 0, 0, 1)]
+    assert got["up"] == [(10, 6, 6, 0), (6, 2, 4, 0), (8, 4, 4, 0), (8, 4, 4, 0), (8, 4, 4, 0)]
+    tot = {r.arm: r for r in INV.policy_totals(led).collect()}
+    # A unit kept for a day costs 25 % of 365 over 365 days; a unit short 5 * 1.2.
+    assert tot["fix"].total_holding_cost == pytest.approx(9 * 0.25) and tot["fix"].total_stockout_cost == pytest.approx(6.0)
+    assert tot["up"].total_holding_cost == pytest.approx(20 * 0.25) and tot["up"].stockout_days == 0
 
 
 def test_interval_quantiles_prefix_windows(spark):
