@@ -65,7 +65,8 @@ def fingerprint(pairs: dict[str, Column], n: int = 16) -> Column:
     items = []
     for k in sorted(pairs):
         v = pairs[k]
-        items.append(F.concat(F.lit(f'"{k}": '), v.cast("string")))
+        one = F.to_json(F.struct(v.alias("v")), {"ignoreNullFields": "false"})      # {"v":...}
+        items.append(F.concat(F.lit(f'"{k}": '), F.substring(one, F.lit(6), F.length(one) - 6)))
     body = F.concat(F.lit("{"), F.concat_ws(", ", *items), F.lit("}"))
     return F.left(F.sha2(body, 256), F.lit(n))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..operators import panel as P
 from ..operators import parts as PT
 from ..operators import quality as Q
@@ -202,6 +203,19 @@ def q_scorecard(t):
     return PT.scorecard_with_quality(card, PT.incident_stats(incidents(t)))
 
 
+@query("S15_vendor_bands", "part_id:i supplier_id:i on_time_pct:f on_time_band:s defect_pct:f defect_band:s",
+       cte(po=PO_SQL, pm=PM_SQL, card=CARD_SQL, inc=INC_SQL, graded="""
+SELECT c.part_id, c.supplier_id, c.on_time_pct, coalesce(coalesce(i.scrap_qty, 0.0) * 100.0 / nullif(c.total_qty, 0), 0.0) AS defect_pct
+FROM card c LEFT JOIN inc i USING (part_id, supplier_id)""") + """
+SELECT *, CASE WHEN on_time_pct >= 90 THEN 'good' WHEN on_time_pct >= 70 THEN 'warning' ELSE 'bad' END AS on_time_band,
+  CASE WHEN defect_pct <= 1 THEN 'good' WHEN defect_pct <= 3 THEN 'warning' ELSE 'bad' END AS defect_band FROM graded""", ops=("S15",))
+def q_vendor_bands(t):
+    return q_scorecard(t).select(
+        "part_id", "supplier_id", "on_time_pct", "defect_pct",
+        S.band("on_time_pct", 90.0, 70.0, ("good", "warning", "bad"), higher_is_worse=False).alias("on_time_band"),
+        S.band("defect_pct", 3.0, 1.0, ("bad", "warning", "good")).alias("defect_band"))
+
+
 @query("O5_latest_orders_per_vendor", "po_id:s part_id:i supplier_id:i order_date:d receipt_date:d is_late:i",
        cte(po=PO_SQL) + """
 SELECT po_id, part_id, supplier_id, order_date, receipt_date,

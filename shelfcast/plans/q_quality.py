@@ -132,6 +132,26 @@ def q_orphans(t):
                                           for n, c, ck, p, pk in REL])
 
 
+def _orphan_sql():
+    return "\nUNION ALL\n".join(f"SELECT '{n}' AS relation, count(*) AS orphans FROM {c} x "
+                                 f"WHERE NOT EXISTS (SELECT 1 FROM {p} y WHERE y.{pk} = x.{ck})" for n, c, ck, p, pk in REL)
+
+
+@query("D_quality_report", "check_name:s status:s details:s", cte(
+    nulls="\nUNION ALL\n".join(_null_sql(t, c) for t, c in NULL_COLS.items()), dups=_dup_sql(), bounds="\nUNION ALL\n".join(
+        f"SELECT count_if(NOT coalesce({v}, true)) AS violations FROM {tb}" for tb, rules in BOUNDS.items() for v in rules.values()),
+    orphans=_orphan_sql(), checks="""
+SELECT 'null_values' AS check_name, sum(n_nulls) AS n FROM nulls UNION ALL SELECT 'duplicates', sum(dup_groups) FROM dups
+UNION ALL SELECT 'numeric_bounds', sum(violations) FROM bounds UNION ALL SELECT 'referential_integrity', sum(orphans) FROM orphans""") + """
+SELECT check_name, CASE WHEN n = 0 THEN 'PASSED' ELSE 'FAILED' END AS status, CAST(n AS BIGINT)::VARCHAR || ' violations' AS details
+FROM (SELECT * FROM checks UNION ALL SELECT 'overall', sum(n) FROM checks)""", ops=("D1", "D2", "D3", "D4", "D7"))
+def q_report(t):
+    total = lambda df, c: df.agg(F.coalesce(F.sum(c), F.lit(0)).alias("violations"))
+    return Q.checks_report({"null_values": total(q_nulls(t), "n_nulls"), "duplicates": total(q_dups(t), "dup_groups"),
+                            "numeric_bounds": total(q_bounds(t), "violations"),
+                            "referential_integrity": total(q_orphans(t), "orphans")})
+
+
 @query("A23_row_count_check", "table_name:s n_rows:i expected:i within_tolerance:i",
        """
 WITH c AS (SELECT 'lineitem' AS t, count(*) AS n FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders

@@ -18,6 +18,7 @@ from ..sources.tables import DRIVER_TABLES, schema_rows
 from . import q_plan as QP
 from . import q_policy as QPOL
 from .domain import KEY
+from .q_backtest import POINT_SQL
 from .registry import query
 
 
@@ -30,19 +31,22 @@ def _recs_sql(final: str, **more) -> str:
     return "WITH " + ",\n".join(f"{k} AS (\n{v}\n)" for k, v in ctes.items()) + "\n" + final
 
 
-@query("A9_kpis", "n_recs:i n_pending:i n_high_risk:i cost_at_risk:f n_escalated:i",
+@query("A9_kpis", "n_recs:i n_pending:i n_high_risk:i cost_at_risk:f n_escalated:i mean_lift_pct:f",
        _recs_sql("""SELECT count(*) AS n_recs, count_if(status = 'pending') AS n_pending,
   count_if(status = 'pending' AND stockout_risk_7d > 0.5) AS n_high_risk,
   round_even(coalesce(sum(cost_if_ignored) FILTER (WHERE status = 'pending'), 0.0), 2) AS cost_at_risk,
-  count_if(status = 'escalated') AS n_escalated FROM recs"""), ops=("A9", "V16"))
+  count_if(status = 'escalated') AS n_escalated, (SELECT avg((m.wape - q.wape) / m.wape) * 100
+    FROM pm m JOIN pm q ON q.fold = m.fold AND q.model = 'q_p50' WHERE m.model = 'ma') AS mean_lift_pct FROM recs""", pm=POINT_SQL),
+       ops=("A9", "V16"))
 def q_kpis(t):
     r = recs(t)
     pend = F.col("status") == "pending"
+    lift = F.broadcast(q_lift(t).withColumnRenamed("lift_pct", "mean_lift_pct"))      # one row
     return r.agg(F.count(F.lit(1)).alias("n_recs"), F.count_if(pend).alias("n_pending"),
                  F.count_if(pend & (F.col("stockout_risk_7d") > 0.5)).alias("n_high_risk"),
                  F.bround(F.coalesce(F.sum(F.when(pend, F.col("cost_if_ignored"))), F.lit(0.0)), 2)
                  .alias("cost_at_risk"),
-                 F.count_if(F.col("status") == "escalated").alias("n_escalated"))
+                 F.count_if(F.col("status") == "escalated").alias("n_escalated")).join(lift, how="inner")
 
 
 def _lift_sql():
@@ -76,8 +80,7 @@ UNION ALL SELECT 'vendor_region', coalesce(vendor_region, 'Unknown'), count(*),
   count_if(status IN ('pending', 'rejected')) FROM seg GROUP BY 2"""
 
 
-@query("A13_A14_disparate_impact", "dimension:s segment:s total:i escalated:i rate:f ratio:f flagged:i",
-       _recs_sql("""
+IMPACT_SQL = """
 SELECT r.dimension, r.segment, r.total, r.escalated, r.escalated * 1.0 / r.total AS rate,
   CASE WHEN b.rate IS NULL OR b.rate = 0 THEN 1.0 ELSE (r.escalated * 1.0 / r.total) / b.rate END AS ratio,
   CASE WHEN b.rate IS NULL OR b.rate = 0 OR r.segment = b.base THEN 0
@@ -85,7 +88,12 @@ SELECT r.dimension, r.segment, r.total, r.escalated, r.escalated * 1.0 / r.total
        ELSE 0 END AS flagged
 FROM rates r LEFT JOIN (SELECT dimension, segment AS base, escalated * 1.0 / total AS rate FROM rates
   WHERE (dimension = 'vendor_size' AND segment = 'Enterprise') OR (dimension = 'vendor_region' AND segment = 'Domestic')) b
-  USING (dimension)""", seg=SEG_SQL, rates=RATES_SQL), ops=("A13", "A14", "S11"))
+  USING (dimension)"""
+
+
+@query("A13_A14_disparate_impact", "dimension:s segment:s total:i escalated:i rate:f ratio:f flagged:i",
+       _recs_sql("""
+""" + IMPACT_SQL + """""", seg=SEG_SQL, rates=RATES_SQL), ops=("A13", "A14", "S11"))
 def q_fairness(t):
     size, region = S.vendor_segments("product_id")
     r = recs(t).select(size.alias("vendor_size"), region.alias("vendor_region"), "status")
@@ -109,6 +117,18 @@ def q_fairness(t):
     return j.select("dimension", "segment", "total", "escalated", "rate", ratio.alias("ratio"), flagged.alias("flagged"))
 
 
+@query("A14_worst_group", "dimension:s worst_group:s ratio:f flagged:i", _recs_sql("""
+SELECT dimension, arg_max(segment, (abs(1 - ratio), segment)) FILTER (flagged = 1) AS worst_group,
+  coalesce(arg_max(ratio, (abs(1 - ratio), segment)) FILTER (flagged = 1), 1.0) AS ratio, max(flagged) AS flagged
+FROM impact GROUP BY dimension""", seg=SEG_SQL, rates=RATES_SQL, impact=IMPACT_SQL), ops=("A14",))
+def q_worst(t):
+    """Per dimension the flagged segment farthest from its base segment."""
+    worst = F.max(F.when(F.col("flagged") == 1, F.struct(F.abs(1 - F.col("ratio")).alias("far"), "segment", "ratio")))
+    g = q_fairness(t).groupBy("dimension").agg(worst.alias("w"), F.max("flagged").alias("flagged"))
+    return g.select("dimension", F.col("w.segment").alias("worst_group"), F.coalesce("w.ratio", F.lit(1.0)).alias("ratio"), "flagged")
+
+
+
 @query("A15_location_rollup", "store_id:s n_recs:i n_high:i max_risk:f top_product:s min_days:i",
        _recs_sql("""
 SELECT store_id, count(*) AS n_recs, count_if(stockout_risk_7d > 0.9) AS n_high, max(stockout_risk_7d) AS max_risk,
@@ -270,8 +290,8 @@ SELECT rec_id, CASE WHEN length(rec_id) > 10 THEN left(rec_id, 4) || '…' || ri
     WHEN 'rejected' THEN 'REJECTED' WHEN 'executed' THEN 'EXECUTED' END
     WHEN 'PENDING_APPROVAL' THEN 'pending' WHEN 'APPROVED' THEN 'approved' WHEN 'REJECTED' THEN 'rejected'
     WHEN 'EXECUTED' THEN 'executed' END, 'pending') AS app_status,
-  left(sha256('{{"days_to_stockout": ' || CAST(days_to_stockout AS VARCHAR) || ', "product_id": ' || product_id ||
-   ', "recommended_qty": ' || CAST(recommended_qty AS VARCHAR) || '}}'), 16) AS fingerprint
+  left(sha256('{{"days_to_stockout": ' || CAST(days_to_stockout AS VARCHAR) || ', "product_id": "' || product_id ||
+   '", "recommended_qty": ' || CAST(recommended_qty AS VARCHAR) || '}}'), 16) AS fingerprint
 FROM recs"""), ops=("S6", "S12", "S13", "J12", "S10"))
 def q_identifiers(t):
     r = recs(t)

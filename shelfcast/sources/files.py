@@ -6,8 +6,6 @@ the data and can change column semantics (a Yes/No column read as boolean).
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,14 +71,20 @@ def read_json_records(spark: SparkSession, path: str, schema: T.StructType) -> D
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on its own file system, local or shared."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def load_csv_dir(spark: SparkSession, raw_dir: str, files: dict[str, str],
                  schemas: dict[str, T.StructType]) -> dict[str, DataFrame]:
     """Name → file map load (C1/C2). A missing file is an error, as in the
     source application; tables are returned lazily (no scan yet)."""
     out = {}
     for name, fname in files.items():
-        path = os.path.join(raw_dir, fname)
-        if not os.path.exists(path):
+        path = f"{raw_dir.rstrip('/')}/{fname}"
+        if not path_exists(spark, path):
             raise FileNotFoundError(path)
         out[name] = read_csv_table(spark, path, schemas[name])
     return out
@@ -108,8 +112,8 @@ def bulk_load(spark: SparkSession, seed_dir: str, load_order: list[str],
     from functools import reduce
     parts = []
     for name in load_order:
-        df = read_csv_table(spark, os.path.join(seed_dir, f"{name}.csv"), schemas[name])
-        dest = os.path.join(target_dir, name)
+        df = read_csv_table(spark, f"{seed_dir.rstrip('/')}/{name}.csv", schemas[name])
+        dest = f"{target_dir.rstrip('/')}/{name}"
         write_table(df, dest, mode="overwrite" if reset else "errorifexists")
         parts.append(spark.read.parquet(dest).agg(F.count(F.lit(1)).alias("n_rows"))
                      .select(F.lit(name).alias("table_name"), "n_rows"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
+from ..sources.files import path_exists
 
 
 def scratch_root(spark: SparkSession, name: str) -> str:
@@ -38,8 +39,7 @@ def _drive(stream: DataFrame, root: str, mode: str, reduce_batch=lambda b: b) ->
          .trigger(availableNow=True).start())
     q.awaitTermination()
     schema = T.StructType([*reduce_batch(stream).schema.fields, T.StructField("batch_id", T.LongType())])
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if not path_exists(spark, out):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(out)
 

@@ -18,7 +18,7 @@ def test_every_query_has_oracle_or_is_declared(spark):
     assert set(REGISTRY) <= set(q)
     missing = set(REGISTRY) - set(o)
     assert missing <= {"D9_leakage_inertness", "D8_forbidden_feature_columns",
-                       "M4b_gbt_quantiles", "M7_feature_importance"}
+                       "M4b_gbt_quantiles", "M7_feature_importance", "M8_model_scenarios"}
 
 
 @pytest.mark.parametrize("name", ["E10_backtest_metrics", "V14_recommendations", "A7_A8_vendor_scorecard"])

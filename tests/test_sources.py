@@ -7,7 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import types as T
 
-from shelfcast.sources.files import load_csv_dir, read_csv_table, read_json_records, write_table
+from shelfcast.sources.files import bulk_load, load_csv_dir, read_csv_table, read_json_records, write_table
 from shelfcast.sources.tables import read_table, table_counts
 from tests.conftest import SF001
 
@@ -56,3 +56,15 @@ def test_table_counts(spark):
     t = {n: read_table(spark, SF001, n) for n in ("region", "nation")}
     got = {r.table_name: r.n_rows for r in table_counts(t).collect()}
     assert got == {"region": 5, "nation": 25}
+
+
+def test_bulk_load_refuses_a_filled_target_unless_reset(spark):
+    d = tempfile.mkdtemp(prefix="shelfcast-test-")
+    region = read_table(spark, SF001, "region")
+    write_table(region, os.path.join(d, "seed", "region.csv"), fmt="csv")
+    load = lambda reset: bulk_load(spark, os.path.join(d, "seed"), ["region"], {"region": region.schema},
+                                   os.path.join(d, "loaded"), reset=reset).first().n_rows
+    assert load(False) == 5
+    with pytest.raises(Exception, match="exists"):
+        load(False)
+    assert load(True) == 5
