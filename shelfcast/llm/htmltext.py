@@ -1,29 +1,37 @@
 """HTML extraction by equivalence-class template deduction.
 
 A page's markup is read as tokens: an element under its path of enclosing
-elements (tag, class, id, role). Over the pages of one host, tokens with the
-same occurrence vector (how often on each page) form an equivalence class. A
-class is valid if it has two tokens or more, occurs once on each of its pages,
-and covers at least half of the host's pages; valid classes nest by their
-paths into the host's template, and what lies between the template's tokens
-are slots. The slot that holds the article is deduced for the whole host, from
-its markup and from how much running text and how much link text the slot has
-over all pages; every page of the host is then extracted from that slot.
+elements (tag, class, id, role; numbers in them do not count). Over the pages
+of one host, tokens with the same occurrence vector (how often on each page)
+form an equivalence class. A class is valid if it has two tokens or more and
+occurs once on each of its pages. The slot that holds the article is deduced
+for the whole host, from its markup and from how much running text and how
+much link text the slot has over all pages.
+
+Text blocks are tokens too: a block that stands in the same place on three
+quarters of the pages that have the place, ``LEAST_PAGES`` at least, is
+template text and left out. If such blocks make up more than half of their
+pages' text, the pages are copies of one article, and nothing is left out.
+
+Menus, page headers, footers, sidebars, notices, adverts, forms, hidden parts
+and reader comments are recognized by markup and by words of class and id, but
+this is a vote only: it is void for an element that holds most of the running
+text of the pages it is on, or by its words alone hides their only article,
+unless an article or main part without votes has at least a quarter of the
+element's text. Elements that never hold text (scripts, styles, controls) go.
 
 Vectors are never gathered: a vector is represented by sums of a hash of
 (page, count) that are added up before and after the shuffle, so a host with a
 third of all pages is no larger than any other. Hosts with fewer than
 ``LEAST_PAGES`` pages use the template deduced from the pages of all hosts.
 
-Inside the slot, menus, page headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, hidden parts and reader comments are left out by
-their markup. Each block's character references are decoded, its white space
-becomes single blanks, and blocks are joined by line ends in page order.
+Each block's character references are decoded, its white space becomes single
+blanks, and blocks are joined by line ends in page order.
 
 Defined results: null or empty html has an empty text; a null url has the
 empty host; repeated rows get equal results; pages that lack the host's slot
-fall back to their own article or body. Input columns named like a result are
-replaced.
+fall back to their own article or body, with votes counted on that page.
+Input columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -41,7 +49,7 @@ from .urlfilter import host
 
 LEAST_PAGES = 4
 #: Templates of so many hosts are sent to all executors; more are joined.
-SENT_HOSTS = 50_000
+SENT_HOSTS = 5_000
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -56,9 +64,11 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s "
                    "samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements that never hold article text.
-DROPPED = frozenset("nav footer aside form script style noscript template iframe svg button select option textarea dialog menu "
-                    "object embed canvas audio video head title input fieldset applet map math frameset".split())
+#: Elements without text of the page.
+DROPPED = frozenset("script style template iframe svg button select option textarea object embed canvas audio video head title input "
+                    "applet map math frameset".split())
+#: Elements that seldom hold article text.
+VOTED = frozenset("nav footer aside form noscript dialog menu fieldset".split())
 #: Words of class or id that mark such parts.
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion promoted "
@@ -76,16 +86,18 @@ _HOLDERS = frozenset("article section main div td th body li dd blockquote table
 _SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "td": ("td", ("tr",)), "th": ("th", ("tr",)), "tr": ("tr", ("table",)),
              "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",)), "option": ("option", ("select",))}
 
-#: What an element is to the extraction.
-PLAIN, DROP, MAIN, ARTICLE, HEADER = range(5)
+#: What an element is to the extraction; TEXT is a main part by its words only.
+PLAIN, DROP, MAIN, ARTICLE, HEADER, TEXT = range(6)
+#: Who votes against an element.
+BY_WORD, BY_MARKUP = 1, 2
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
 
 
-def element(tag: str, raw: str, cache: dict) -> tuple[str, int]:
-    """The element's signature in a path, and what it is."""
+def element(tag: str, raw: str, cache: dict) -> tuple[str, int, int]:
+    """The element's signature in a path, what it is, and who votes against it."""
     got = cache.get((tag, raw))
     if got is not None:
         return got
@@ -94,24 +106,30 @@ def element(tag: str, raw: str, cache: dict) -> tuple[str, int]:
     words = _WORDS.findall(_CAMEL.sub(" ", a.get("class", "") + " " + a.get("id", "")).lower())
     plain = [w for i, w in enumerate(words) if not (i and words[i - 1] in _QUALIFIED)]
     style = a.get("style", "").replace(" ", "").lower()
-    kind = PLAIN
-    if tag in DROPPED or role in DROPPED_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style \
-            or (tag not in ("body", "html", "main") and any(w in DROPPED_WORDS for w in plain)):
+    kind, vote = PLAIN, 0
+    if tag in DROPPED:
         kind = DROP
     elif tag == "article" or "articlebody" in a.get("itemprop", "").lower():
         kind = ARTICLE
-    elif tag == "main" or role == "main" or (tag in ("div", "section", "td") and any(w in MAIN_WORDS for w in plain)):
+    elif tag == "main" or role == "main":
         kind = MAIN
+    elif tag in ("div", "section", "td") and any(w in MAIN_WORDS for w in plain):
+        kind = TEXT
     elif tag == "header":
         kind = HEADER
-    sign = " ".join((tag, ".".join(sorted(set(words))), role)) if a else tag
+    if tag in VOTED or role in DROPPED_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style:
+        vote = BY_MARKUP
+    elif tag not in ("body", "html", "main") and any(w in DROPPED_WORDS for w in plain):
+        vote = BY_WORD
+    named = sorted({"0" if w.isdigit() else w for w in words})
+    sign = " ".join((tag, ".".join(named), role)) if a else tag
     if len(cache) < 20_000:
-        cache[(tag, raw)] = sign, kind
-    return sign, kind
+        cache[(tag, raw)] = sign, kind, vote
+    return sign, kind, vote
 
 
 def walk(html: str, cache: dict, on_text, on_open, on_close) -> None:
-    """Reads a page once. ``on_open(path, tag, kind)`` and ``on_close(tag)``
+    """Reads a page once. ``on_open(path, tag, kind, vote)`` and ``on_close(tag)``
     follow the elements, ``on_text`` the text between."""
     import xxhash
     stack: list[tuple[str, int]] = []
@@ -158,8 +176,8 @@ def walk(html: str, cache: dict, on_text, on_open, on_close) -> None:
             k = find((tag, other), stops)
             if k >= 0:
                 pop_to(k)
-        sign, kind = element(tag, raw, cache)
-        if tag in INLINE and kind != DROP:
+        sign, kind, vote = element(tag, raw, cache)
+        if tag in INLINE and not vote:
             path = paths[-1]
         else:
             key = (paths[-1], sign)
@@ -168,7 +186,7 @@ def walk(html: str, cache: dict, on_text, on_open, on_close) -> None:
                 path = xxhash.xxh64_intdigest(f"{paths[-1]} {sign}") >> 1
                 if len(path_of) < 200_000:
                     path_of[key] = path
-        on_open(path, tag, kind)
+        on_open(path, tag, kind, vote)
         if tag in VOID or raw.endswith("/"):
             on_close(tag)
             continue
@@ -182,92 +200,156 @@ def walk(html: str, cache: dict, on_text, on_open, on_close) -> None:
     pop_to(0)
 
 
+#: Of a token on one page, and summed over pages: occurrences, kind, vote, text without links, link text, text in articles,
+#: depth, holder, parent; then of the whole page: its text, and text of articles and main parts without votes.
+N, KIND, VOTE, MASS, LINKS, IN_ARTICLE, DEPTH, HOLDER, PARENT, AROUND, CLEAN = range(11)
+
+
+def void(vote: int, mass: int, in_article: int, around: int, clean: int) -> bool:
+    """Does an element stay although there is a vote against it?"""
+    return clean * 4 < mass and (mass * 2 >= around or vote == BY_WORD and in_article * 4 >= around)
+
+
 class _Survey:
-    """Tokens of one page: path -> [count, kind, paragraph text, link text, depth]."""
+    """Tokens of one page, and its blocks: (holder, hash) -> length."""
 
     def __init__(self):
         self.tokens: dict[int, list] = {}
-        self.open: list[tuple[int, str, int]] = []
-        self.dropped = 0
-        self.links = 0
+        self.blocks: dict[tuple[int, int], int] = {}
+        self.open: list[list] = []                   # token or None, path, tag, kind, vote, mass, links, in articles
+        self.holders = [0]
+        self.dropped = self.links = self.votes = self.articles = self.mains = 0
+        self.around = self.clean = 0
+        self.parts: list[str] = []
+
+    def end_block(self):
+        if self.parts:
+            key = self.holders[-1], block_hash("".join(self.parts))
+            self.blocks[key] = sum(map(len, self.parts)) - sum(x.count(" ") for x in self.parts)
+            self.parts = []
 
-    def on_open(self, path, tag, kind):
-        self.open.append((path, tag, kind))
+    def on_open(self, path, tag, kind, vote):
+        inline = tag in INLINE and not vote
+        if not inline:
+            self.end_block()
+        t = None
         self.dropped += kind == DROP
         self.links += tag == "a"
-        if tag in INLINE and kind != DROP:
-            return
-        t = self.tokens.get(path)
-        if t is None:
-            if self.dropped:
-                kind = DROP
-            elif kind == HEADER:
-                kind = PLAIN
-            self.tokens[path] = t = [0, kind if tag not in _PARAGRAPHS else PLAIN, 0, 0, len(self.open),
-                                     tag not in _PARAGRAPHS or tag in ("td", "li")]
-        t[0] += 1
+        self.votes += vote > 0
+        self.articles += kind == ARTICLE
+        self.mains += kind in (ARTICLE, MAIN)
+        holder = not inline and (tag not in _PARAGRAPHS or tag in ("td", "li"))
+        if not inline and not self.dropped:
+            t = self.tokens.get(path)
+            if t is None:
+                parent = next((f[1] for f in reversed(self.open) if f[0] is not None), 0)
+                self.tokens[path] = t = [0, PLAIN if tag in _PARAGRAPHS or kind == HEADER else kind, vote, 0, 0, 0, len(self.open),
+                                         holder, parent, 0, 0]
+            t[N] += 1
+        self.open.append([t, path, tag, kind, vote, 0, 0, 0])
+        if holder:
+            self.holders.append(path)
 
     def on_close(self, tag):
-        path, tag, kind = self.open.pop()
+        t, path, tag, kind, vote, mass, links, in_article = self.open.pop()
+        inline = tag in INLINE and not vote
+        if not inline:
+            self.end_block()
+            if tag not in _PARAGRAPHS or tag in ("td", "li"):
+                self.holders.pop()
+        if t is not None:
+            t[MASS] += mass
+            t[LINKS] += links
+            t[IN_ARTICLE] += in_article
+        if self.open:
+            up = self.open[-1]
+            up[5] += mass
+            up[6] += links
+            up[7] += in_article
         self.dropped -= kind == DROP
         self.links -= tag == "a"
+        self.votes -= vote > 0
+        self.articles -= kind == ARTICLE
+        self.mains -= kind in (ARTICLE, MAIN)
 
     def on_text(self, text):
-        if self.dropped:
+        if self.dropped or not self.open:
             return
+        self.parts.append(text)
         n = len(text) - text.count(" ")
-        # Text counts for the nearest holder and for each article around it.
-        near = True
-        for path, tag, kind in reversed(self.open):
-            if tag in INLINE or (tag in _PARAGRAPHS and tag not in ("td", "li")):
-                continue
-            if near or kind in (MAIN, ARTICLE):
-                t = self.tokens[path]
-                t[3 if self.links else 2] += n
-                near = False
-
-
-def survey(html: str, cache: dict) -> dict[int, list]:
+        top = self.open[-1]
+        if self.links:
+            top[6] += n
+            return
+        top[5] += n
+        self.around += n
+        if self.articles:
+            top[7] += n
+        if self.mains and not self.votes:
+            self.clean += n
+
+
+def block_hash(raw: str) -> int:
+    import xxhash
+    return xxhash.xxh64_intdigest(" ".join(raw.split())) >> 1
+
+
+def survey(html: str, cache: dict) -> _Survey:
     s = _Survey()
     walk(html, cache, s.on_text, s.on_open, s.on_close)
-    return s.tokens
+    s.end_block()
+    for t in s.tokens.values():
+        t[AROUND], t[CLEAN] = s.around, s.clean
+    return s
 
 
 class _Extract:
-    """Blocks of text inside the chosen slot."""
-
-    def __init__(self, main, dropping: bool = True):
-        self.main = main                     # path -> is it the slot?  (by path and kind)
-        self.open: list[tuple[bool, bool, str]] = []
+    """Blocks of text inside the chosen slots. ``main`` (path, tag, kind): does
+    a slot begin here? ``kept``: paths whose votes are void. ``constant``:
+    (holder, hash) of template text."""
+
+    def __init__(self, main, kept, constant):
+        self.main, self.kept, self.constant = main, kept, constant
+        self.open: list[tuple] = []
+        self.holders = [0]
         self.inside = self.dropped = self.articles = 0
-        self.dropping = dropping
+        self.found = False
         self.blocks: list[str] = []
         self.parts: list[str] = []
 
     def end_block(self):
         if self.parts:
-            text = " ".join(unescape("".join(self.parts)).split())
-            if text:
+            raw = "".join(self.parts)
+            text = " ".join(unescape(raw).split())
+            if text and not (self.constant and (self.holders[-1], block_hash(raw)) in self.constant):
                 self.blocks.append(text)
             self.parts = []
 
-    def on_open(self, path, tag, kind):
-        if tag not in INLINE:
+    def on_open(self, path, tag, kind, vote):
+        inline = tag in INLINE and not vote
+        if not inline:
             self.end_block()
         elif tag == "br":
             self.parts.append(" ")
-        is_main = self.inside == 0 and kind != DROP and self.dropped == 0 and self.main(path, tag, kind)
+        drop = kind == DROP or vote > 0 and path not in self.kept
+        is_main = self.inside == 0 and not drop and self.dropped == 0 and self.main(path, tag, kind)
+        self.found |= is_main
         self.inside += is_main
         self.articles += kind == ARTICLE
         # A header belongs to the page unless it stands in an article.
-        drop = not is_main and (kind == DROP or kind == HEADER and not self.articles)
+        drop = drop or not is_main and kind == HEADER and not self.articles and path not in self.kept
         self.dropped += drop
-        self.open.append((is_main, drop, tag, kind == ARTICLE))
+        holder = not inline and (tag not in _PARAGRAPHS or tag in ("td", "li"))
+        self.open.append((is_main, drop, kind == ARTICLE, inline, holder))
+        if holder:
+            self.holders.append(path)
 
     def on_close(self, tag):
-        is_main, drop, tag, article = self.open.pop()
-        if tag not in INLINE:
+        is_main, drop, article, inline, holder = self.open.pop()
+        if not inline:
             self.end_block()
+        if holder:
+            self.holders.pop()
         self.inside -= is_main
         self.dropped -= drop
         self.articles -= article
@@ -277,86 +359,141 @@ class _Extract:
             self.parts.append(text)
 
 
-def extract(html: str, mains: frozenset, cache: dict) -> str:
+def extract(html: str, mains: frozenset, cache: dict, kept: frozenset = frozenset(), constant: frozenset = frozenset()) -> str:
     """Main text of one page whose host's article slots are ``mains``."""
     tries = [lambda path, tag, kind: path in mains] if mains else []
-    tries += [lambda path, tag, kind: kind == ARTICLE, lambda path, tag, kind: kind == MAIN,
+    tries += [lambda path, tag, kind: kind == ARTICLE, lambda path, tag, kind: kind == MAIN, lambda path, tag, kind: kind == TEXT,
               lambda path, tag, kind: tag == "body", lambda path, tag, kind: True]
-    for main in tries:
-        e = _Extract(main)
-        found = [False]
-
-        def seen(path, tag, kind, e=e, found=found):
-            before = e.inside
-            e.on_open(path, tag, kind)
-            found[0] |= e.inside > before
-
-        walk(html, cache, e.on_text, seen, e.on_close)
+    for k, main in enumerate(tries):
+        if k == bool(mains):
+            # Without the host's slot, the page's own text weighs the votes.
+            kept = kept | {path for path, t in survey(html, cache).tokens.items()
+                           if t[VOTE] and void(t[VOTE], t[MASS], t[IN_ARTICLE], t[AROUND], t[CLEAN])}
+        e = _Extract(main, kept, constant)
+        walk(html, cache, e.on_text, e.on_open, e.on_close)
         e.end_block()
-        if found[0]:
+        if e.found:
             return "\n".join(e.blocks)
     return " ".join(unescape(html).split()) if "<" not in html else ""
 
 
-_TOKENS = ("site string, token long, pages long, occurrences long, v1 decimal(38,0), v2 decimal(38,0), kind int, "
-           "text long, links long, depth long, holder boolean")
+#: Rows of tokens, and (block not null) of text blocks, of which only site, token, block, pages and mass count.
+_ROWS = ("site string, token long, block long, pages long, occurrences long, v1 decimal(38,0), v2 decimal(38,0), kind int, vote int, "
+         "mass long, links long, in_article long, depth long, holder boolean, parent long, around long, clean long")
 
 
 def _survey_rows(batches):
-    """Tokens of a batch's pages, already added up per host and for all."""
+    """Tokens and blocks of a batch's pages, already added up per host and,
+    tokens, for all."""
     from decimal import Decimal
 
     import pyarrow as pa
     import xxhash
     cache: dict = {}
-    names = [c.split()[0] for c in _TOKENS.split(", ")]
-    kinds = [pa.string(), *[pa.int64()] * 3, pa.decimal128(38, 0), pa.decimal128(38, 0), pa.int32(), *[pa.int64()] * 3, pa.bool_()]
+    names = [c.split()[0] for c in _ROWS.split(", ")]
+    kinds = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}.get(
+        c.split()[1], pa.decimal128(38, 0)) for c in _ROWS.split(", ")]
     for batch in batches:
         total: dict[tuple, list] = {}
+        blocks: dict[tuple, list] = {}
         for site, url, html in zip(*(batch.column(i).to_pylist() for i in range(3))):
             html = html or ""
             page = xxhash.xxh64_intdigest(f"{url}\0{html}")
-            tokens = survey(html, cache)
-            tokens[0] = [1, DROP, 0, 0, 0, False]           # the page itself
-            for token, (n, kind, text, links, depth, holder) in tokens.items():
+            seen = survey(html, cache)
+            tokens = seen.tokens
+            tokens[0] = [1, DROP, 0, 0, 0, 0, 0, False, 0, seen.around, seen.clean]           # the page itself
+            for token, (n, kind, vote, mass, links, art, depth, holder, parent, around, clean) in tokens.items():
                 h = xxhash.xxh64_intdigest(f"{page} {n}")
                 for s in {site, ""}:
                     t = total.get((s, token))
                     if t is None:
-                        t = total[(s, token)] = [0, 0, 0, 0, kind, 0, 0, depth, holder]
-                    t[0] += 1
-                    t[1] += n
-                    t[2] += h >> 32
-                    t[3] += h & 0xFFFFFFFF
-                    t[5] += text
-                    t[6] += links
+                        t = total[(s, token)] = [None, 0, 0, 0, 0, kind, vote, 0, 0, 0, depth, holder, parent, 0, 0]
+                    t[1] += 1
+                    t[2] += n
+                    t[3] += h >> 32
+                    t[4] += h & 0xFFFFFFFF
+                    t[7] += mass
+                    t[8] += links
+                    t[9] += art
+                    t[13] += around
+                    t[14] += clean
+            for (holder, block), size in seen.blocks.items():
+                b = blocks.setdefault((site, holder, block), [0, 0])
+                b[0] += 1
+                b[1] += size
         rows = [(s, k, *v) for (s, k), v in total.items()]
+        rows += [(s, k, b, n, 0, 0, 0, 0, 0, size, 0, 0, 0, False, 0, 0, 0) for (s, k, b), (n, size) in blocks.items()]
         columns = list(map(list, zip(*rows))) if rows else [[] for _ in names]
-        for i in (4, 5):
+        for i in (5, 6):
             columns[i] = [Decimal(x) for x in columns[i]]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
+def _choose(site: str, rows: list) -> dict:
+    """``mains``, the slots of a host's article, and ``kept``, the paths whose
+    votes are void. Rows: tokens of ``LEAST_PAGES`` pages or more."""
+    tokens = {r["token"]: r for r in rows}
+    kept = {k for k, r in tokens.items() if r["vote"] and void(r["vote"], r["mass"], r["in_article"], r["around"], r["clean"])}
+    barred: dict[int, bool] = {0: False}
+
+    def out(k) -> bool:
+        if k not in barred:
+            r = tokens.get(k)
+            barred[k] = r is None or bool(r["vote"]) and k not in kept or out(r["parent"])
+        return barred[k]
+
+    own = {k: r["mass"] for k, r in tokens.items()}
+    for k, r in sorted(tokens.items(), key=lambda x: -x[1]["depth"]):
+        if r["holder"] or out(k):
+            up = r["parent"]
+            while up and up in tokens and not tokens[up]["holder"]:
+                up = tokens[up]["parent"]
+            if up in own:
+                own[up] -= r["mass"]
+    of = tokens[0]["pages"] if 0 in tokens else 0
+    best = max(((r["kind"] == ARTICLE, r["kind"] in (MAIN, TEXT),
+                 (r["mass"] if r["kind"] in (ARTICLE, MAIN, TEXT) else own[k]) - r["links"], r["depth"], k)
+                for k, r in tokens.items() if k and r["holder"] and r["valid"] and r["pages"] * 2 >= of and not out(k)
+                and r["mass"] > r["links"]), default=None)
+    return {"site": site, "mains": [best[-1]] if best else [], "kept": sorted(kept)}
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """site and ``mains``, the path of its article slot, for every host with
-    enough pages and (site empty) for all pages together. Reads site, url, html."""
-    seen = pages.select("site", "url", "html").mapInArrow(_survey_rows, _TOKENS)
-    tokens = materialize(seen.groupBy("site", "token").agg(
-        F.sum("pages").alias("pages"), F.sum("occurrences").alias("occurrences"), F.sum("v1").alias("v1"), F.sum("v2").alias("v2"),
-        F.max("kind").alias("kind"), F.sum("text").alias("text"), F.sum("links").alias("links"),
-        F.min("depth").alias("depth"), F.max("holder").alias("holder")), "html-tokens")
-    sizes = tokens.where("token = 0").select("site", F.col("pages").alias("of")).where(
-        (F.col("of") >= LEAST_PAGES) | (F.col("site") == ""))
-    # Equivalence classes: tokens of a site with one occurrence vector.
-    classes = (tokens.where("occurrences = pages").groupBy("site", "pages", "v1", "v2").agg(F.count("*").alias("members"))
-               .join(sizes, "site").where("members >= 2 and pages * 2 >= of").select("site", "pages", "v1", "v2", "of"))
-    slots = tokens.where("occurrences = pages and holder and kind != 1").join(classes, ["site", "pages", "v1", "v2"])
-    # An article outranks a main part, and that any other holder; then the
-    # running text beyond links, then the inner of two.
-    rank = F.struct((F.col("kind") == ARTICLE).alias("article"), (F.col("kind") == MAIN).alias("main"),
-                    (F.col("text") - F.col("links")).alias("mass"), "depth", "token")
-    return slots.where("text > links").groupBy("site").agg(F.max(rank).alias("best")).select(
-        "site", F.col("best.token").alias("main"))
+    """site, ``mains`` (paths of its article slots), ``kept`` (paths whose votes
+    are void) and ``constant`` (holder and hash of template text) for every host
+    with enough pages and (site empty) for all pages together. Reads site, url, html."""
+    seen = materialize(pages.select("site", "url", "html").mapInArrow(_survey_rows, _ROWS), "html-survey")
+    sums = [F.sum(c).alias(c) for c in ("pages", "occurrences", "v1", "v2", "mass", "links", "in_article", "around", "clean")]
+    tops = [F.max(c).alias(c) for c in ("kind", "vote", "depth", "holder", "parent")]
+    tokens = materialize(seen.where("block is null").groupBy("site", "token").agg(*sums, *tops)
+                         .where(f"pages >= {LEAST_PAGES} or token = 0"), "html-tokens")
+    sizes = tokens.where(f"token = 0 and (pages >= {LEAST_PAGES} or site = '')").select("site", F.col("pages").alias("of"))
+    # Equivalence classes: tokens of a site with one occurrence vector. For all
+    # hosts together, only tokens on a thousandth of the pages count.
+    vector = ["site", "pages", "occurrences", "v1", "v2"]
+    known = tokens.join(sizes, "site").where("site != '' or pages * 1000 >= of")
+    classes = known.where("occurrences = pages and token != 0").groupBy(*vector).agg(F.count("*").alias("members")).where("members >= 2")
+    known = known.join(classes, vector, "left").withColumn("valid", F.col("members").isNotNull())
+    fields = ["token", "pages", "v1", "v2", "kind", "vote", "mass", "links", "in_article", "depth", "holder", "parent", "around", "clean",
+              "valid"]
+
+    def choose(batches):
+        import pyarrow as pa
+        for batch in batches:
+            found = [_choose(site, rows) for site, rows in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_pylist(found, pa.schema([
+                ("site", pa.string()), ("mains", pa.list_(pa.int64())), ("kept", pa.list_(pa.int64()))]))
+
+    chosen = (known.groupBy("site").agg(F.collect_list(F.struct(*fields)).alias("rows"))
+              .mapInArrow(choose, "site string, mains array<long>, kept array<long>"))
+    # Template text, unless it is most of what the pages of its place have.
+    places = tokens.where("site != ''").select("site", "token", F.col("pages").alias("of"), "v1", "v2", "around")
+    blocks = (seen.where("block is not null").groupBy("site", "token", "block").agg(F.sum("pages").alias("n"), F.sum("mass").alias("mass"))
+              .where(f"n >= {LEAST_PAGES}").join(places, ["site", "token"]).where("n * 4 >= of * 3"))
+    constant = (blocks.groupBy("site", "of", "v1", "v2", "around").agg(
+        F.sum("mass").alias("mass"), F.collect_list(F.struct("token", "block")).alias("found"))
+        .where("mass * 2 <= around").groupBy("site").agg(F.flatten(F.collect_list("found")).alias("constant")))
+    return chosen.join(constant, "site", "left")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -366,20 +503,27 @@ def extract_text(pages: DataFrame) -> DataFrame:
     own = list(pages.columns)
     sited = pages.withColumn("site_", host())
     found = materialize(templates(sited.select(F.col("site_").alias("site"), "url", "html")), "html-templates")
-    shared = [r.main for r in found.where("site = ''").collect()]
-    named = found.where("site != ''").withColumnRenamed("site", "site_")
+    shared = found.where("site = ''").collect()
+    shared = (frozenset(shared[0].mains), frozenset(shared[0].kept), frozenset()) if shared else (frozenset(),) * 3
+    named = found.where("site != ''").select(F.col("site").alias("site_"), F.struct("mains", "kept", "constant").alias("template_"))
     if named.count() <= SENT_HOSTS:
         named = F.broadcast(named)
-    work = sited.join(named, "site_", "left").select(*[F.col(f"`{c}`") for c in own], "main")
+    work = sited.join(named, "site_", "left").select(*[F.col(f"`{c}`") for c in own], "template_")
     at, width = [c.lower() for c in own].index("html"), len(own)
     names = [*own, "text", "n_chars"]
 
     def run(batches):
         import pyarrow as pa
         cache: dict = {}
+
+        def text(html, t):
+            if t is None:
+                return extract(html, shared[0], cache, *shared[1:])
+            return extract(html, frozenset(t["mains"]), cache, frozenset(t["kept"]),
+                           frozenset((c["token"], c["block"]) for c in t["constant"] or ()))
+
         for batch in batches:
-            texts = [extract(html or "", frozenset([main] if main is not None else shared), cache)
-                     for html, main in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist())]
+            texts = [text(html or "", t) for html, t in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:width], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names)
 

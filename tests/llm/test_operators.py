@@ -351,3 +351,31 @@ def test_line_dedup_matches_brute_force(spark, docs, empty):
     assert linededup.dedup_lines(empty).count() == 0
     nulls = out.where("text is null").collect()
     assert len(nulls) == 3 and all(r.n_deleted == 0 for r in nulls)
+
+
+def extracted(spark, rows):
+    """Pages (url, html, wanted text) whose text is not what is wanted."""
+    frame = spark.createDataFrame(rows, "url string, html string, want string")
+    return [(r.html, r.text, r.want) for r in htmltext.extract_text(frame).collect() if r.text != r.want]
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(n))
+
+
+@pytest.mark.parametrize("before, after", [
+    ("<div class=content-sidebar-wrap><article>", "</article></div>"), ("<article class='post comments-open'>", "</article>"),
+    ("<div class='post-body social'>", "</div>"), ("<form><div class=x3>", "</div></form>")])
+def test_listed_words_do_not_drop_the_article(spark, before, after):
+    rng, rows = random.Random(3), []
+    for i in range(8):
+        a, b = prose(rng, 40), prose(rng, 40)
+        rows.append((f"http://h.org/{i}", f"<html><body><nav><a href=/>{prose(rng, 3)}</a></nav><div class=ad>{prose(rng, 4)}</div>{before}<p>{a}"
+                     f"<p>About this site and the people who write it<p>{b}<p class=share>{prose(rng, 3)}</p>{after}<footer>{prose(rng, 3)}</footer>"
+                     "</body></html>", f"{a}\n{b}"))
+    rows.append(("http://alone.org/", rows[0][1].replace("<p>About this site and the people who write it", ""), rows[0][2]))
+    assert extracted(spark, rows) == []
+    # Copies of one article are no template.
+    copies = [(f"http://c.org/{i}", "<html><body>" + before + "<p>" + prose(random.Random(1), 40) + after, prose(random.Random(1), 40))
+              for i in range(6)]
+    assert extracted(spark, copies) == []
