@@ -3,10 +3,18 @@
 A page's markup is read as tokens: an element under its path of enclosing
 elements (tag, class, id, role; numbers in them do not count). Over the pages
 of one host, tokens with the same occurrence vector (how often on each page)
-form an equivalence class. A class is valid if it has two tokens or more and
-occurs once on each of its pages. The slot that holds the article is deduced
-for the whole host, from its markup and from how much running text and how
-much link text the slot has over all pages.
+form an equivalence class. A class is valid if it has two tokens or more, occurs
+once on each of its pages, and has ``LEAST_PAGES`` pages, however many the host
+has; so every layout of a host has its own. Valid classes nest by their paths
+into the host's template. Text belongs to the slot of the nearest token around
+it that is in the template, through any holders that are not.
+
+Every slot that holds article text is kept, and a page's text is what it has in
+such slots, in page order: its articles; if it has none, its main part; else
+the slots that have more running text than link text, and ``LEAST_TEXT``
+characters of it on an average page. A smaller slot of only some of the pages
+goes with the slot around it. Where a page has more text than that in a part of
+the template that has next to none on other pages, that part is kept too.
 
 Text blocks are tokens too: a block that stands in the same place on three
 quarters of the pages that have the place, ``LEAST_PAGES`` at least, is
@@ -38,6 +46,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +57,8 @@ from .common import replace_columns
 from .urlfilter import host
 
 LEAST_PAGES = 4
+#: Running text, without blanks, that a slot has on an average page.
+LEAST_TEXT = 30
 #: Templates of so many hosts are sent to all executors; more are joined.
 SENT_HOSTS = 5_000
 
@@ -57,6 +68,8 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: An unquoted value at the end of a tag, whose slash is its own.
+_OPEN_VALUE = re.compile(r"=\s*[^\s\"'>=]+\Z")
 _WORDS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
@@ -86,6 +99,9 @@ _HOLDERS = frozenset("article section main div td th body li dd blockquote table
 _SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "td": ("td", ("tr",)), "th": ("th", ("tr",)), "tr": ("tr", ("table",)),
              "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",)), "option": ("option", ("select",))}
 
+#: Parts of lists, tables and figures, which are inside of slots.
+_UNSLOTTED = _PARAGRAPHS - {"td"} | frozenset("ul ol dl table caption thead tbody tfoot tr figure hr br".split())
+
 #: What an element is to the extraction; TEXT is a main part by its words only.
 PLAIN, DROP, MAIN, ARTICLE, HEADER, TEXT = range(6)
 #: Who votes against an element.
@@ -187,7 +203,7 @@ def walk(html: str, cache: dict, on_text, on_open, on_close) -> None:
                 if len(path_of) < 200_000:
                     path_of[key] = path
         on_open(path, tag, kind, vote)
-        if tag in VOID or raw.endswith("/"):
+        if tag in VOID or raw.endswith("/") and not _OPEN_VALUE.search(raw):
             on_close(tag)
             continue
         if tag in RAW:
@@ -201,8 +217,23 @@ def walk(html: str, cache: dict, on_text, on_open, on_close) -> None:
 
 
 #: Of a token on one page, and summed over pages: occurrences, kind, vote, text without links, link text, text in articles,
-#: depth, holder, parent; then of the whole page: its text, and text of articles and main parts without votes.
-N, KIND, VOTE, MASS, LINKS, IN_ARTICLE, DEPTH, HOLDER, PARENT, AROUND, CLEAN = range(11)
+#: depth, may it be a slot, parent; then of the whole page: its text, text of articles and main parts without votes, and all text
+#: without votes.
+N, KIND, VOTE, MASS, LINKS, IN_ARTICLE, DEPTH, HOLDER, PARENT, AROUND, CLEAN, PLAIN_TEXT = range(12)
+
+
+class Template(NamedTuple):
+    """Of a host: paths of articles, main parts, all slots, slots with article
+    text, slots with next to no text, and paths whose votes are void; and
+    (holder, hash) of template text."""
+
+    articles: frozenset = frozenset()
+    mains: frozenset = frozenset()
+    slots: frozenset = frozenset()
+    content: frozenset = frozenset()
+    light: frozenset = frozenset()
+    kept: frozenset = frozenset()
+    constant: frozenset = frozenset()
 
 
 def void(vote: int, mass: int, in_article: int, around: int, clean: int) -> bool:
@@ -219,7 +250,7 @@ class _Survey:
         self.open: list[list] = []                   # token or None, path, tag, kind, vote, mass, links, in articles
         self.holders = [0]
         self.dropped = self.links = self.votes = self.articles = self.mains = 0
-        self.around = self.clean = 0
+        self.around = self.clean = self.plain = 0
         self.parts: list[str] = []
 
     def end_block(self):
@@ -243,8 +274,8 @@ class _Survey:
             t = self.tokens.get(path)
             if t is None:
                 parent = next((f[1] for f in reversed(self.open) if f[0] is not None), 0)
-                self.tokens[path] = t = [0, PLAIN if tag in _PARAGRAPHS or kind == HEADER else kind, vote, 0, 0, 0, len(self.open),
-                                         holder, parent, 0, 0]
+                self.tokens[path] = t = [0, PLAIN if tag in _PARAGRAPHS else kind, vote, 0, 0, 0, len(self.open),
+                                         tag not in _UNSLOTTED and not inline, parent, 0, 0, 0]
             t[N] += 1
         self.open.append([t, path, tag, kind, vote, 0, 0, 0])
         if holder:
@@ -285,8 +316,10 @@ class _Survey:
         self.around += n
         if self.articles:
             top[7] += n
-        if self.mains and not self.votes:
-            self.clean += n
+        if not self.votes:
+            self.plain += n
+            if self.mains:
+                self.clean += n
 
 
 def block_hash(raw: str) -> int:
@@ -299,20 +332,22 @@ def survey(html: str, cache: dict) -> _Survey:
     walk(html, cache, s.on_text, s.on_open, s.on_close)
     s.end_block()
     for t in s.tokens.values():
-        t[AROUND], t[CLEAN] = s.around, s.clean
+        t[AROUND], t[CLEAN], t[PLAIN_TEXT] = s.around, s.clean, s.plain
     return s
 
 
 class _Extract:
     """Blocks of text inside the chosen slots. ``main`` (path, tag, kind): does
-    a slot begin here? ``kept``: paths whose votes are void. ``constant``:
-    (holder, hash) of template text."""
+    a slot with article text begin here (True), another slot (False), or none
+    (None)? ``kept``: paths whose votes are void. ``constant``: (holder, hash)
+    of template text. ``light``: slots whose running text is counted."""
 
-    def __init__(self, main, kept, constant):
-        self.main, self.kept, self.constant = main, kept, constant
+    def __init__(self, main, kept, constant, light=frozenset()):
+        self.main, self.kept, self.constant, self.light = main, kept, constant, light
         self.open: list[tuple] = []
         self.holders = [0]
-        self.inside = self.dropped = self.articles = 0
+        self.inside = self.in_light = False
+        self.dropped = self.articles = self.links = self.missed = 0
         self.found = False
         self.blocks: list[str] = []
         self.parts: list[str] = []
@@ -331,55 +366,78 @@ class _Extract:
             self.end_block()
         elif tag == "br":
             self.parts.append(" ")
+        before = self.inside, self.in_light
         drop = kind == DROP or vote > 0 and path not in self.kept
-        is_main = self.inside == 0 and not drop and self.dropped == 0 and self.main(path, tag, kind)
-        self.found |= is_main
-        self.inside += is_main
-        self.articles += kind == ARTICLE
+        slot = None if inline or drop or self.dropped else self.main(path, tag, kind)
         # A header belongs to the page unless it stands in an article.
-        drop = drop or not is_main and kind == HEADER and not self.articles and path not in self.kept
+        drop = drop or not (slot and not self.inside) and kind == HEADER and not self.articles and path not in self.kept
+        self.articles += kind == ARTICLE
         self.dropped += drop
+        self.links += tag == "a"
+        if slot is not None and not drop:
+            self.found |= slot
+            self.inside, self.in_light = slot, path in self.light
         holder = not inline and (tag not in _PARAGRAPHS or tag in ("td", "li"))
-        self.open.append((is_main, drop, kind == ARTICLE, inline, holder))
+        self.open.append((before, drop, kind == ARTICLE, inline, holder))
         if holder:
             self.holders.append(path)
 
     def on_close(self, tag):
-        is_main, drop, article, inline, holder = self.open.pop()
+        before, drop, article, inline, holder = self.open.pop()
         if not inline:
             self.end_block()
         if holder:
             self.holders.pop()
-        self.inside -= is_main
+        self.inside, self.in_light = before
         self.dropped -= drop
         self.articles -= article
+        self.links -= tag == "a"
 
     def on_text(self, text):
-        if self.inside and not self.dropped:
+        if self.dropped:
+            return
+        if self.inside:
             self.parts.append(text)
+        elif self.in_light and not self.links:
+            self.missed += len(text) - text.count(" ")
 
 
-def extract(html: str, mains: frozenset, cache: dict, kept: frozenset = frozenset(), constant: frozenset = frozenset()) -> str:
-    """Main text of one page whose host's article slots are ``mains``."""
-    tries = [lambda path, tag, kind: path in mains] if mains else []
-    tries += [lambda path, tag, kind: kind == ARTICLE, lambda path, tag, kind: kind == MAIN, lambda path, tag, kind: kind == TEXT,
-              lambda path, tag, kind: tag == "body", lambda path, tag, kind: True]
-    for k, main in enumerate(tries):
-        if k == bool(mains):
-            # Without the host's slot, the page's own text weighs the votes.
-            kept = kept | {path for path, t in survey(html, cache).tokens.items()
-                           if t[VOTE] and void(t[VOTE], t[MASS], t[IN_ARTICLE], t[AROUND], t[CLEAN])}
-        e = _Extract(main, kept, constant)
+def extract(html: str, template: Template, cache: dict) -> str:
+    """Main text of one page by its host's template, if it has one."""
+    def run(main, kept, light=frozenset()):
+        e = _Extract(main, kept, constant, light)
         walk(html, cache, e.on_text, e.on_open, e.on_close)
         e.end_block()
+        return e
+
+    template = template or Template()
+    constant = template.constant
+    for paths in (template.articles, template.mains):
+        if paths and (e := run(lambda path, tag, kind, paths=paths: path in paths or None, template.kept)).found:
+            return "\n".join(e.blocks)
+    content = template.content
+    if template.slots:
+        e = run(lambda path, tag, kind: path in content if path in template.slots else None, template.kept, template.light)
+        if e.missed > 4 * LEAST_TEXT:
+            content = content | template.light
+            e = run(lambda path, tag, kind: path in content if path in template.slots else None, template.kept)
         if e.found:
             return "\n".join(e.blocks)
+    # Without the host's slots, the page's own text weighs the votes.
+    kept = template.kept | {path for path, t in survey(html, cache).tokens.items() if (t[VOTE] or t[KIND] == HEADER) and void(
+        t[VOTE], t[MASS], t[IN_ARTICLE], t[AROUND], t[CLEAN])}
+    for main in (lambda path, tag, kind: kind == ARTICLE or None, lambda path, tag, kind: kind == MAIN or None,
+                 lambda path, tag, kind: kind == TEXT or None, lambda path, tag, kind: tag == "body" or None,
+                 lambda path, tag, kind: True):
+        if (e := run(main, kept)).found:
+            return "\n".join(e.blocks)
     return " ".join(unescape(html).split()) if "<" not in html else ""
 
 
 #: Rows of tokens, and (block not null) of text blocks, of which only site, token, block, pages and mass count.
 _ROWS = ("site string, token long, block long, pages long, occurrences long, v1 decimal(38,0), v2 decimal(38,0), kind int, vote int, "
-         "mass long, links long, in_article long, depth long, holder boolean, parent long, around long, clean long")
+         "mass long, links long, in_article long, depth long, holder boolean, parent long, around long, clean long, "
+         "plain long")
 
 
 def _survey_rows(batches):
@@ -401,13 +459,13 @@ def _survey_rows(batches):
             page = xxhash.xxh64_intdigest(f"{url}\0{html}")
             seen = survey(html, cache)
             tokens = seen.tokens
-            tokens[0] = [1, DROP, 0, 0, 0, 0, 0, False, 0, seen.around, seen.clean]           # the page itself
-            for token, (n, kind, vote, mass, links, art, depth, holder, parent, around, clean) in tokens.items():
+            tokens[0] = [1, DROP, 0, 0, 0, 0, 0, False, 0, seen.around, seen.clean, seen.plain]           # the page itself
+            for token, (n, kind, vote, mass, links, art, depth, holder, parent, around, clean, plain) in tokens.items():
                 h = xxhash.xxh64_intdigest(f"{page} {n}")
                 for s in {site, ""}:
                     t = total.get((s, token))
                     if t is None:
-                        t = total[(s, token)] = [None, 0, 0, 0, 0, kind, vote, 0, 0, 0, depth, holder, parent, 0, 0]
+                        t = total[(s, token)] = [None, 0, 0, 0, 0, kind, vote, 0, 0, 0, depth, holder, parent, 0, 0, 0]
                     t[1] += 1
                     t[2] += n
                     t[3] += h >> 32
@@ -417,53 +475,80 @@ def _survey_rows(batches):
                     t[9] += art
                     t[13] += around
                     t[14] += clean
+                    t[15] += plain
             for (holder, block), size in seen.blocks.items():
                 b = blocks.setdefault((site, holder, block), [0, 0])
                 b[0] += 1
                 b[1] += size
         rows = [(s, k, *v) for (s, k), v in total.items()]
-        rows += [(s, k, b, n, 0, 0, 0, 0, 0, size, 0, 0, 0, False, 0, 0, 0) for (s, k, b), (n, size) in blocks.items()]
+        rows += [(s, k, b, n, 0, 0, 0, 0, 0, size, 0, 0, 0, False, 0, 0, 0, 0) for (s, k, b), (n, size) in blocks.items()]
         columns = list(map(list, zip(*rows))) if rows else [[] for _ in names]
         for i in (5, 6):
             columns[i] = [Decimal(x) for x in columns[i]]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
+_CHOSEN = Template._fields[:-1]
+
+
 def _choose(site: str, rows: list) -> dict:
-    """``mains``, the slots of a host's article, and ``kept``, the paths whose
-    votes are void. Rows: tokens of ``LEAST_PAGES`` pages or more."""
-    tokens = {r["token"]: r for r in rows}
-    kept = {k for k, r in tokens.items() if r["vote"] and void(r["vote"], r["mass"], r["in_article"], r["around"], r["clean"])}
-    barred: dict[int, bool] = {0: False}
-
-    def out(k) -> bool:
-        if k not in barred:
-            r = tokens.get(k)
-            barred[k] = r is None or bool(r["vote"]) and k not in kept or out(r["parent"])
-        return barred[k]
-
-    own = {k: r["mass"] for k, r in tokens.items()}
-    for k, r in sorted(tokens.items(), key=lambda x: -x[1]["depth"]):
-        if r["holder"] or out(k):
+    """A host's ``Template`` without its text. Rows: tokens of ``LEAST_PAGES``
+    pages or more."""
+    tokens = {r["token"]: r for r in rows if r["token"]}
+    within: dict[int, tuple] = {}
+
+    def around(k) -> tuple[bool, bool]:
+        """Is the token left out by a vote, and is it in an article?"""
+        if k not in tokens:
+            return False, False
+        if k not in within:
+            r = tokens[k]
+            out, article = around(r["parent"])
+            against = r["vote"] or r["kind"] == HEADER and not article
+            out = out or bool(against) and k not in kept
+            within[k] = out, article or r["kind"] == ARTICLE
+        return within[k]
+
+    kept = {k for k, r in tokens.items() if (r["vote"] or r["kind"] == HEADER) and void(
+        r["vote"], r["mass"], r["in_article"], r["around"], r["clean"])}
+
+    def whole(kind, share) -> list[int]:
+        """Articles or main parts, if one has its share of its pages' text;
+        others then need a tenth."""
+        some = {k: r for k, r in tokens.items() if r["kind"] == kind and not around(k)[0] and r["mass"] > r["links"]}
+        if not any(r["mass"] * share >= r["plain"] for r in some.values()):
+            return []
+        return [k for k, r in some.items() if r["mass"] * 10 >= r["plain"]]
+
+    slots = {k for k, r in tokens.items() if r["valid"] and r["holder"] and not around(k)[0]}
+    outer, mass, links = {}, {k: tokens[k]["mass"] for k in slots}, {k: tokens[k]["links"] for k in slots}
+    for k, r in tokens.items():
+        cut = around(k)[0] and not around(r["parent"])[0]
+        if k in slots or cut:
             up = r["parent"]
-            while up and up in tokens and not tokens[up]["holder"]:
+            while up in tokens and up not in slots:
                 up = tokens[up]["parent"]
-            if up in own:
-                own[up] -= r["mass"]
-    of = tokens[0]["pages"] if 0 in tokens else 0
-    best = max(((r["kind"] == ARTICLE, r["kind"] in (MAIN, TEXT),
-                 (r["mass"] if r["kind"] in (ARTICLE, MAIN, TEXT) else own[k]) - r["links"], r["depth"], k)
-                for k, r in tokens.items() if k and r["holder"] and r["valid"] and r["pages"] * 2 >= of and not out(k)
-                and r["mass"] > r["links"]), default=None)
-    return {"site": site, "mains": [best[-1]] if best else [], "kept": sorted(kept)}
+            if up in slots:
+                outer[k] = up
+                mass[up] -= r["mass"]
+                links[up] -= r["links"]
+    running = {k for k in slots if mass[k] > links[k]}
+    content = {k for k in running if mass[k] >= LEAST_TEXT * tokens[k]["pages"]}
+    if running and not content:
+        content = {max(running, key=lambda k: (mass[k], k))}
+    for k in sorted(slots - content, key=lambda k: tokens[k]["depth"]):
+        if outer.get(k) in content and tokens[k]["pages"] < tokens[outer[k]]["pages"] and mass[k] >= links[k]:
+            content.add(k)
+    light = {k for k in slots - content if k in outer.values() and mass[k] < LEAST_TEXT * tokens[k]["pages"]}
+    return {"site": site, "articles": whole(ARTICLE, 4), "mains": whole(MAIN, 2), "slots": sorted(slots), "content": sorted(content),
+            "light": sorted(light), "kept": sorted(kept)}
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """site, ``mains`` (paths of its article slots), ``kept`` (paths whose votes
-    are void) and ``constant`` (holder and hash of template text) for every host
-    with enough pages and (site empty) for all pages together. Reads site, url, html."""
+    """site and the fields of its ``Template`` for every host with enough pages
+    and (site empty) for all pages together. Reads site, url, html."""
     seen = materialize(pages.select("site", "url", "html").mapInArrow(_survey_rows, _ROWS), "html-survey")
-    sums = [F.sum(c).alias(c) for c in ("pages", "occurrences", "v1", "v2", "mass", "links", "in_article", "around", "clean")]
+    sums = [F.sum(c).alias(c) for c in ("pages", "occurrences", "v1", "v2", "mass", "links", "in_article", "around", "clean", "plain")]
     tops = [F.max(c).alias(c) for c in ("kind", "vote", "depth", "holder", "parent")]
     tokens = materialize(seen.where("block is null").groupBy("site", "token").agg(*sums, *tops)
                          .where(f"pages >= {LEAST_PAGES} or token = 0"), "html-tokens")
@@ -475,17 +560,17 @@ def templates(pages: DataFrame) -> DataFrame:
     classes = known.where("occurrences = pages and token != 0").groupBy(*vector).agg(F.count("*").alias("members")).where("members >= 2")
     known = known.join(classes, vector, "left").withColumn("valid", F.col("members").isNotNull())
     fields = ["token", "pages", "v1", "v2", "kind", "vote", "mass", "links", "in_article", "depth", "holder", "parent", "around", "clean",
-              "valid"]
+              "plain", "valid"]
 
     def choose(batches):
         import pyarrow as pa
         for batch in batches:
             found = [_choose(site, rows) for site, rows in zip(*(c.to_pylist() for c in batch.columns))]
             yield pa.RecordBatch.from_pylist(found, pa.schema([
-                ("site", pa.string()), ("mains", pa.list_(pa.int64())), ("kept", pa.list_(pa.int64()))]))
+                ("site", pa.string()), *[(c, pa.list_(pa.int64())) for c in _CHOSEN]]))
 
     chosen = (known.groupBy("site").agg(F.collect_list(F.struct(*fields)).alias("rows"))
-              .mapInArrow(choose, "site string, mains array<long>, kept array<long>"))
+              .mapInArrow(choose, ", ".join(["site string", *[f"{c} array<long>" for c in _CHOSEN]])))
     # Template text, unless it is most of what the pages of its place have.
     places = tokens.where("site != ''").select("site", "token", F.col("pages").alias("of"), "v1", "v2", "around")
     blocks = (seen.where("block is not null").groupBy("site", "token", "block").agg(F.sum("pages").alias("n"), F.sum("mass").alias("mass"))
@@ -504,8 +589,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     sited = pages.withColumn("site_", host())
     found = materialize(templates(sited.select(F.col("site_").alias("site"), "url", "html")), "html-templates")
     shared = found.where("site = ''").collect()
-    shared = (frozenset(shared[0].mains), frozenset(shared[0].kept), frozenset()) if shared else (frozenset(),) * 3
-    named = found.where("site != ''").select(F.col("site").alias("site_"), F.struct("mains", "kept", "constant").alias("template_"))
+    shared = Template(*[frozenset(shared[0][c]) for c in _CHOSEN]) if shared else Template()
+    named = found.where("site != ''").select(F.col("site").alias("site_"), F.struct(*Template._fields).alias("template_"))
     if named.count() <= SENT_HOSTS:
         named = F.broadcast(named)
     work = sited.join(named, "site_", "left").select(*[F.col(f"`{c}`") for c in own], "template_")
@@ -518,9 +603,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
         def text(html, t):
             if t is None:
-                return extract(html, shared[0], cache, *shared[1:])
-            return extract(html, frozenset(t["mains"]), cache, frozenset(t["kept"]),
-                           frozenset((c["token"], c["block"]) for c in t["constant"] or ()))
+                return extract(html, shared, cache)
+            return extract(html, Template(*[frozenset(t[c]) for c in _CHOSEN], frozenset(
+                (c["token"], c["block"]) for c in t["constant"] or ())), cache)
 
         for batch in batches:
             texts = [text(html or "", t) for html, t in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist())]

@@ -379,3 +379,28 @@ def test_listed_words_do_not_drop_the_article(spark, before, after):
     copies = [(f"http://c.org/{i}", "<html><body>" + before + "<p>" + prose(random.Random(1), 40) + after, prose(random.Random(1), 40))
               for i in range(6)]
     assert extracted(spark, copies) == []
+
+
+def test_every_slot_of_every_layout_is_kept(spark):
+    rng, rows = random.Random(4), []
+    page = lambda x: (f"<html><body><div class=x1><a href=/>{prose(rng, 3)}</a></div><div class=x2>{prose(rng, 2)}</div>"
+                      f"{x}<div class=x4><a href=/c>{prose(rng, 30)}</a></div></body></html>")
+    for i in range(12):
+        a, b, c = (prose(rng, rng.randint(n, n + 20)) for n in (8, 30, 30))
+        split = f"<div class=intro><p>{a}</p></div><div class=x5><a href=/>{prose(rng, 9)}</a></div><div class=x3><p>{b}<p>{c}</div>"
+        rows.append((f"http://split.org/{i}", page(split), f"{a}\n{b}\n{c}"))
+        paras = [prose(rng, rng.randint(5, 30)) for _ in range(rng.randint(1, 6))]
+        rows.append((f"http://repeated.org/{i}", page("".join(f"<div class=para>{x}</div>" for x in paras)), "\n".join(paras)))
+        # Three layouts of a third each, and one of a few pages in many.
+        k = i % 3
+        three = f"<div class=lay{k}><div class=top{k}><a href=/>{prose(rng, 4)}</a></div><div class=t{k}><p>{b}<p>{c}</div></div>"
+        rows.append((f"http://three.org/{i}", page(three), f"{b}\n{c}"))
+    for i in range(24):
+        b = prose(rng, 40)
+        k = "few" if i < 5 else "rare" if i == 5 else "most"
+        rows.append((f"http://two.org/{i}", page(f"<div class=w{k}><div class={k}>{b}</div><div class=n{k}>{prose(rng, 1)}</div></div>"),
+                     b if k != "rare" else None))
+    got = extracted(spark, rows)
+    # A layout of one page: its text is there, with what lies beside it.
+    assert [t[1].split("\n")[0] in t[0] and len(t[1]) >= 240 for t in got if t[2] is None] == [True]
+    assert [t for t in got if t[2] is not None] == []
