@@ -1,4 +1,4 @@
-"""Line dedup: winnowing over line hashes, DataFrame functions only.
+"""Line dedup: hashes of whole windows of lines, DataFrame functions only.
 
 A *window* is a run of consecutive lines that just reaches ``run_lines`` lines
 or ``run_words`` words (a line's spaces plus one; none in an empty line); its
@@ -6,12 +6,12 @@ extent depends on its own lines alone. A run of lines repeats if it contains a
 window that occurs earlier in the corpus, and the lines of every later
 occurrence are deleted.
 
-Winnowing: of each window the line with the least hash (the first of ties) is
-its selected minimum, so two equal windows are guaranteed to select the same
-line at the same place. Selected lines are the fingerprints. Only fingerprints
-that are selected at two places or more go on; around those the matches are
-extended both ways to whole windows, which are joined to their first
-occurrence. Overlapping windows of one document merge into the maximal
+This stands in for winnowing: every window is hashed whole, twice, and equal
+windows are found by grouping on both hashes; no fingerprint positions are
+joined and no match is extended from them. Winnowing's selected minimum (of
+each window the line with the least hash, the first of ties) is only a filter
+before that: equal windows select the same line, so windows whose minimum is
+selected at one place only cannot repeat. Overlapping windows of one document merge into the maximal
 repeated run. Groups are reduced before every shuffle and never expanded into
 pairs.
 
