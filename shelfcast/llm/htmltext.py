@@ -273,8 +273,8 @@ class _Survey:
         if not inline and not self.dropped:
             t = self.tokens.get(path)
             if t is None:
-                parent = next((f[1] for f in reversed(self.open) if f[0] is not None), 0)
-                self.tokens[path] = t = [0, PLAIN if tag in _PARAGRAPHS else kind, vote, 0, 0, 0, len(self.open),
+                parent, above = next(((f[1], f[0][DEPTH]) for f in reversed(self.open) if f[0] is not None), (0, 0))
+                self.tokens[path] = t = [0, PLAIN if tag in _PARAGRAPHS else kind, vote, 0, 0, 0, above + 1,
                                          tag not in _UNSLOTTED and not inline, parent, 0, 0, 0]
             t[N] += 1
         self.open.append([t, path, tag, kind, vote, 0, 0, 0])
@@ -495,22 +495,18 @@ def _choose(site: str, rows: list) -> dict:
     """A host's ``Template`` without its text. Rows: tokens of ``LEAST_PAGES``
     pages or more."""
     tokens = {r["token"]: r for r in rows if r["token"]}
-    within: dict[int, tuple] = {}
+    kept = {k for k, r in tokens.items() if (r["vote"] or r["kind"] == HEADER) and void(
+        r["vote"], r["mass"], r["in_article"], r["around"], r["clean"])}
+    # Is a token left out by a vote, and is it in an article? From the outside in.
+    within: dict[int, tuple[bool, bool]] = {}
 
     def around(k) -> tuple[bool, bool]:
-        """Is the token left out by a vote, and is it in an article?"""
-        if k not in tokens:
-            return False, False
-        if k not in within:
-            r = tokens[k]
-            out, article = around(r["parent"])
-            against = r["vote"] or r["kind"] == HEADER and not article
-            out = out or bool(against) and k not in kept
-            within[k] = out, article or r["kind"] == ARTICLE
-        return within[k]
+        return within.get(k, (False, False))
 
-    kept = {k for k, r in tokens.items() if (r["vote"] or r["kind"] == HEADER) and void(
-        r["vote"], r["mass"], r["in_article"], r["around"], r["clean"])}
+    for k, r in sorted(tokens.items(), key=lambda x: x[1]["depth"]):
+        out, article = around(r["parent"])
+        against = r["vote"] or r["kind"] == HEADER and not article
+        within[k] = out or bool(against) and k not in kept, article or r["kind"] == ARTICLE
 
     def whole(kind, share) -> list[int]:
         """Articles or main parts, if one has its share of its pages' text;
