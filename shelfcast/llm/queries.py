@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, htmltext, linededup, quality, reshard, simhash, tokenstore, topk, urlfilter
+from . import bpe, decontam, hardneg, htmltext, linededup, quality, reshard, simhash, tokenstore, topk, urlfilter
 from .common import table
 
 
@@ -73,12 +73,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text", "n_deleted")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(rows.withColumn("label", noisy), lambda vec_id: vec_id % 100 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_simhash_near_dedup, op3_exact_topk, op4_token_binary, op5_flow_resharding,
-    op6_url_filter, op7_bpe, op8_benchmark_decontamination, op9_html_extraction, op10_line_dedup)}
+    op6_url_filter, op7_bpe, op8_benchmark_decontamination, op9_html_extraction, op10_line_dedup,
+    op11_hard_negatives)}
 
 ORACLES = {
     "op3_exact_topk": topk.ORACLE,
     "op6_url_filter": urlfilter.ORACLE,
+    "op11_hard_negatives": hardneg.ORACLE,
     "op10_line_dedup": linededup.oracle_sql("SELECT doc_id, text, n_deleted FROM deduped"),
 }
