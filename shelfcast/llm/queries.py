@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, hardneg, htmltext, linededup, quality, reshard, simhash, tokenstore, topk, urlfilter
+from . import bpe, crosstok, decontam, hardneg, htmltext, linededup, quality, reshard, simhash, tokenstore, topk, urlfilter
 from .common import table
 
 
@@ -79,10 +79,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine(rows.withColumn("label", noisy), lambda vec_id: vec_id % 100 == 0)
 
 
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return crosstok.Alignment(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                              *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))).documents()
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_simhash_near_dedup, op3_exact_topk, op4_token_binary, op5_flow_resharding,
     op6_url_filter, op7_bpe, op8_benchmark_decontamination, op9_html_extraction, op10_line_dedup,
-    op11_hard_negatives)}
+    op11_hard_negatives, op12_cross_tokenizer)}
 
 ORACLES = {
     "op3_exact_topk": topk.ORACLE,
