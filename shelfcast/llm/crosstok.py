@@ -40,6 +40,9 @@ from .bpe import byte_symbols
 from .common import bounded_runs, per_process, replace_columns
 
 RUN_BYTES = 1 << 21
+#: A run's documents at most, and how often a pair is linked in one entry at
+#: most: both fit into a 32-bit number. More links take several entries.
+RUN_DOCS, TIMES_BITS = 1 << 13, 17
 #: The public pre-tokenizer rule of byte-level BPE (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Text of a token of raw bytes in a piece vocabulary, and its mark of a blank.
@@ -180,6 +183,21 @@ def align_run(a: Tables, b: Tables, texts: list[str | None]):
     return counts, groups, pairs.rename_columns(["doc", "a", "b", "times"])
 
 
+def entries(pairs):
+    """(a, b, docs, first): each document of a pair as document << TIMES_BITS |
+    times; ``first`` is 1 once for each document."""
+    import pyarrow as pa
+    times = pairs["times"].to_numpy().astype(np.int64)
+    most = (1 << TIMES_BITS) - 1
+    parts = -(-times // most)
+    at = np.repeat(np.arange(len(times)), parts)
+    first = np.concatenate([[True], at[1:] != at[:-1]]) if len(at) else np.zeros(0, bool)
+    part = np.where(first, times[at] - (parts[at] - 1) * most, most)
+    code = pairs["doc"].to_numpy().astype(np.int64)[at] << TIMES_BITS | part
+    return pa.table({"a": pairs["a"].take(pa.array(at)), "b": pairs["b"].take(pa.array(at)), "docs": pa.array(code.astype(np.int32)),
+                     "first": pa.array(first.astype(np.int32))})
+
+
 class Alignment:
     """The aligned corpus: what each document has, and how ids pair up."""
 
@@ -196,7 +214,7 @@ class Alignment:
         whole = [("run", T.LongType()), ("pos", T.IntegerType()), ("own", kept.schema["own"].dataType)]
         whole += [(c, T.LongType()) for c in RESULTS[:4]]
         whole += [("groups_sha256", T.StringType()), ("groups", T.StringType()), ("a", T.IntegerType()), ("b", T.IntegerType()),
-                  ("n", T.IntegerType()), ("docs", T.ArrayType(T.IntegerType())), ("times", T.ArrayType(T.IntegerType()))]
+                  ("n", T.IntegerType()), ("docs", T.ArrayType(T.IntegerType()))]
         schema = T.StructType([T.StructField(c, t) for c, t in whole])
 
         def work(batches):
@@ -207,7 +225,7 @@ class Alignment:
             run = TaskContext.get().partitionId() << 32
             for batch in batches:
                 kinds = {"own": batch.schema.field("own").type, "groups_sha256": pa.string(), "groups": pa.string(),
-                         "run": pa.int64(), "docs": pa.list_(pa.int32()), "times": pa.list_(pa.int32())}
+                         "run": pa.int64(), "docs": pa.list_(pa.int32())}
                 kinds |= dict.fromkeys(RESULTS[:4], pa.int64()) | dict.fromkeys(("pos", "a", "b", "n"), pa.int32())
 
                 def rows(size, **columns):
@@ -215,18 +233,19 @@ class Alignment:
                         [columns[c].cast(kinds[c]) if c in columns and c != "own" else columns.get(c, pa.nulls(size, kinds[c]))
                          for c, _ in whole], [c for c, _ in whole])
 
-                for part in bounded_runs(batch, 1, RUN_BYTES):
+                slices = (batch.slice(k, RUN_DOCS) for k in range(0, batch.num_rows, RUN_DOCS))
+                for part in (p for s in slices for p in bounded_runs(s, 1, RUN_BYTES)):
                     counts, groups, pairs = align_run(*sides, part.column(1).to_pylist())
                     size, run = part.num_rows, run + 1
                     digests = pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups], pa.string())
                     yield rows(size, run=pa.array([run] * size), pos=pa.array(np.arange(size)), own=part.column(0),
                                groups_sha256=digests, **({"groups": pa.array(groups, pa.string())} if texts else {}),
                                **{c: pa.array(x) for c, x in zip(RESULTS, counts)})
-                    by = pairs.group_by(["a", "b"], use_threads=False).aggregate(
-                        [([], "count_all"), ("doc", "list"), ("times", "list")]).combine_chunks()
+                    by = entries(pairs).group_by(["a", "b"], use_threads=False).aggregate(
+                        [("first", "sum"), ("docs", "list")]).combine_chunks()
                     for found in by.to_batches():
                         yield rows(found.num_rows, run=pa.array([run] * found.num_rows), a=found["a"], b=found["b"],
-                                   n=found["count_all"], docs=found["doc_list"], times=found["times_list"])
+                                   n=found["first_sum"], docs=found["docs_list"])
 
         self._runs = materialize(kept.mapInArrow(work, schema), "crosstok-runs")
         self._names, self._texts = names, texts
@@ -240,9 +259,10 @@ class Alignment:
 
     def documents(self) -> DataFrame:
         """Every input column but text, and ``RESULTS``."""
-        pairs = self._runs.where("a IS NOT NULL").select("run", "a", "b", "docs", "times")
-        linked = pairs.join(self.pair_counts(), ["a", "b"]).select(
-            "run", "documents", "best", F.inline(F.arrays_zip("docs", "times")).alias("pos", "times"))
+        pairs = self._runs.where("a IS NOT NULL").select("run", "a", "b", "docs")
+        linked = pairs.join(self.pair_counts(), ["a", "b"]).select("run", "documents", "best", F.explode("docs").alias("code")).select(
+            "run", F.shiftright("code", TIMES_BITS).alias("pos"), F.col("code").bitwiseAND((1 << TIMES_BITS) - 1).alias("times"),
+            "documents", "best")
         sums = linked.groupBy("run", "pos").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"),
                                                 F.sum(F.col("times") * F.col("documents")).alias("count_sum"))
         rows = self._runs.where("a IS NULL").join(sums, ["run", "pos"], "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crosstok, decontam, hardneg, htmltext, linededup, quality, reshard, simhash, tokenstore, topk, urlfilter
+from . import bpe, crosstok, decontam, hardneg, htmltext, linededup, pii, quality, reshard, simhash, tokenstore, topk, urlfilter
 from .common import table
 
 
@@ -85,10 +85,16 @@ def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
                               *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))).documents()
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2(pii.said("base_spans"), 256).alias("base_sha256"),
+                        pii.said("spans").alias("spans"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_simhash_near_dedup, op3_exact_topk, op4_token_binary, op5_flow_resharding,
     op6_url_filter, op7_bpe, op8_benchmark_decontamination, op9_html_extraction, op10_line_dedup,
-    op11_hard_negatives, op12_cross_tokenizer)}
+    op11_hard_negatives, op12_cross_tokenizer, op13_pii)}
 
 ORACLES = {
     "op3_exact_topk": topk.ORACLE,

@@ -74,9 +74,10 @@ def brute(docs):
     return out, seen, most
 
 
-@pytest.mark.parametrize("run_bytes", [crosstok.RUN_BYTES, 2000])
-def test_alignment_equals_plain_version(spark, monkeypatch, run_bytes):
+@pytest.mark.parametrize("run_bytes, times_bits", [(crosstok.RUN_BYTES, crosstok.TIMES_BITS), (2000, 4)])
+def test_alignment_equals_plain_version(spark, monkeypatch, run_bytes, times_bits):
     monkeypatch.setattr(crosstok, "RUN_BYTES", run_bytes)
+    monkeypatch.setattr(crosstok, "TIMES_BITS", times_bits)          # many entries for a pair that is linked often
     rows = list(enumerate(texts()))
     rows += [(100 + i, rows[20][1]) for i in range(5)]
     docs = spark.createDataFrame(rows, "key int, text string").withColumns(
