@@ -114,74 +114,60 @@ def direct_features(panel: DataFrame, key: str, day: str, y: str, ahead: int, la
 
 def add_rolling(panel: DataFrame, key: str, day: str, y: str, windows=(7, 28),
                 min_mean: int | None = None, min_std: int | None = None,
-                fill_std=None, exclude_current: bool = True, method: str = "prefix") -> DataFrame:
+                fill_std=None, exclude_current: bool = True) -> DataFrame:
     """Rolling mean and sample std over the previous ``k`` rows
     (current row excluded). ``min_mean``/``min_std`` default to ``k`` (a full
     window is required, the daily track); the weekly track uses 1/2 and
     ``fill_std=0``. Requires a dense panel (one row per period, non-null y).
 
-    ``method='prefix'`` (default) differences two running sums (y and y^2)
-    taken with ``lag``: O(1) work per row instead of re-aggregating a sliding
-    frame of k rows, exact for integer-valued demand. ``method='frame'``
-    aggregates the sliding frame directly. Either way every expression shares
-    the lag window's partitioning and sort (one Window exchange)."""
+    Each sliding frame (a few dozen rows) is aggregated by itself: differences
+    of running sums would lose a small spread after a change of level. Every
+    expression shares the lag window's partitioning and sort (one exchange)."""
     w = Window.partitionBy(key).orderBy(day)
-    if method == "frame":
-        cols = []
-        for k in windows:
-            fr = w.rowsBetween(-k, -1) if exclude_current else w.rowsBetween(-(k - 1), 0)
-            n = F.count(y).over(fr)
-            mm = k if min_mean is None else min_mean
-            ms = k if min_std is None else min_std
-            mean = F.when(n >= mm, F.avg(y).over(fr))
-            std = F.when(n >= ms, F.stddev_samp(y).over(fr))
-            if fill_std is not None:
-                std = F.coalesce(std, F.lit(float(fill_std)))
-            cols += [mean.alias(f"roll_mean_{k}"), std.alias(f"roll_std_{k}")]
-        return panel.select("*", *cols)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    # Sums of squares are taken about a whole number near the series' mean, so
-    # that a high level does not swallow a small spread; whole demands stay exact.
-    centre = F.coalesce(F.rint(F.avg(F.col(y).cast("double")).over(Window.partitionBy(key))), F.lit(0.0))
-    yv = F.col(y).cast("double") - F.col("_centre")
-    staged = panel.select("*", centre.alias("_centre")).select("*", F.sum(yv).over(run).alias("_cs"), F.sum(yv * yv).over(run).alias("_cq"),
-                          F.count(yv).over(run).alias("_cn"))
-    shift = 1 if exclude_current else 0
-    lagged = []
-    for k in sorted(set(windows)):
-        lagged += [F.coalesce(F.lag("_cs", k + shift).over(w), F.lit(0.0)).alias(f"_cs{k}"),
-                   F.coalesce(F.lag("_cq", k + shift).over(w), F.lit(0.0)).alias(f"_cq{k}"),
-                   F.coalesce(F.lag("_cn", k + shift).over(w), F.lit(0)).alias(f"_cn{k}")]
-    if shift:
-        lagged += [F.coalesce(F.lag("_cs", 1).over(w), F.lit(0.0)).alias("_cs_end"),
-                   F.coalesce(F.lag("_cq", 1).over(w), F.lit(0.0)).alias("_cq_end"),
-                   F.coalesce(F.lag("_cn", 1).over(w), F.lit(0)).alias("_cn_end")]
-    else:
-        lagged += [F.col("_cs").alias("_cs_end"), F.col("_cq").alias("_cq_end"),
-                   F.col("_cn").alias("_cn_end")]
-    staged = staged.select("*", *lagged)
     cols = []
     for k in windows:
-        n = (F.col("_cn_end") - F.col(f"_cn{k}")).cast("double")
-        sm = F.col("_cs_end") - F.col(f"_cs{k}")
-        sq = F.col("_cq_end") - F.col(f"_cq{k}")
-        mm = k if min_mean is None else min_mean
-        ms = k if min_std is None else min_std
-        mean = F.when(n >= F.lit(max(mm, 1)), sm / n + F.col("_centre"))
-        var = F.greatest(F.lit(0.0), F.try_divide(sq - sm * sm / n, n - F.lit(1.0)))
-        std = F.when(n >= F.lit(max(ms, 2)), F.sqrt(var))
+        fr = w.rowsBetween(-k, -1) if exclude_current else w.rowsBetween(-(k - 1), 0)
+        n = F.count(y).over(fr)
+        std = F.when(n >= (k if min_std is None else min_std), F.stddev_samp(F.col(y).cast("double")).over(fr))
         if fill_std is not None:
             std = F.coalesce(std, F.lit(float(fill_std)))
-        cols += [mean.alias(f"roll_mean_{k}"), std.alias(f"roll_std_{k}")]
-    drop = ["_centre", "_cs", "_cq", "_cn", "_cs_end", "_cq_end", "_cn_end"] + [
-        f"_c{a}{k}" for k in windows for a in "sqn"]
-    return staged.select("*", *cols).drop(*drop)
+        cols += [F.when(n >= (k if min_mean is None else min_mean), F.avg(y).over(fr)).alias(f"roll_mean_{k}"),
+                 std.alias(f"roll_std_{k}")]
+    return panel.select("*", *cols)
 
 
 # Fixed-date national holidays of the source calendar (month, day).
 FIXED_HOLIDAYS = [(1, 1), (4, 21), (5, 1), (9, 7), (10, 12), (11, 2), (11, 15), (12, 25)]
 
 
+# Days from Easter Sunday to the movable feasts of the calendar.
+MOVABLE_FEASTS = {"carnival": -47, "good_friday": -2, "easter": 0, "corpus_christi": 60}
+
+
+def easter(year: Column) -> Column:
+    """Easter Sunday of a Gregorian year in integer arithmetic on columns: the
+    paschal full moon from the golden number and the century's corrections,
+    then the Sunday after it."""
+    def quotient(a, b):
+        return F.floor(a / F.lit(b)).cast("int")
+
+    golden = F.pmod(year, F.lit(19)) + 1
+    century = quotient(year, 100) + 1
+    leap_days = quotient(3 * century, 4) - 12
+    lunar_cycle = quotient(8 * century + 5, 25) - 5
+    sunday = quotient(5 * year, 4) - leap_days - 10
+    epact = F.pmod(11 * golden + 20 + lunar_cycle - leap_days, F.lit(30))
+    epact = F.when((epact == 24) | ((epact == 25) & (golden > 11)), epact + 1).otherwise(epact)
+    moon = F.when(epact > 23, 74 - epact).otherwise(44 - epact)          # days from the last of February
+    return F.date_add(F.make_date(year, F.lit(3), F.lit(1)), moon + 6 - F.pmod(sunday + moon, F.lit(7)))
+
+
+def movable_feast(day: Column, feasts=MOVABLE_FEASTS) -> Column:
+    """Name of the movable feast of a day, null on other days."""
+    gap = F.datediff(day, easter(F.year(day)))
+    return F.coalesce(*[F.when(gap == days, F.lit(name)) for name, days in feasts.items()])
+
+
 def holiday_table(spark, month_days=FIXED_HOLIDAYS) -> DataFrame:
     """W5 input: a tiny (month, day_of_month) table; data, not a library."""
     return spark.createDataFrame(month_days, "h_month int, h_dom int")

@@ -138,3 +138,12 @@ def checks_report(counts: dict[str, DataFrame]) -> DataFrame:
     return both.groupBy("check_name").agg(F.sum("violations").alias("violations")).withColumn(
         "status", F.when(F.col("violations") == 0, F.lit("PASSED")).otherwise(F.lit("FAILED"))).withColumn(
         "details", F.concat(F.col("violations").cast("string"), F.lit(" violations")))
+
+
+def bag_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """How many rows only one of two tables has, repeats counted: a signed
+    union added up by whole rows (one shuffle, map-side partial sums)."""
+    both = left.withColumn("_sign", F.lit(1)).unionByName(right.withColumn("_sign", F.lit(-1)))
+    kept = both.groupBy(*[f"`{c}`" for c in left.columns]).agg(F.sum("_sign").alias("_sign"))
+    more, less = F.greatest("_sign", F.lit(0)), F.greatest(-F.col("_sign"), F.lit(0))
+    return kept.agg(F.coalesce(F.sum(more), F.lit(0)).alias("left_only"), F.coalesce(F.sum(less), F.lit(0)).alias("right_only"))

@@ -96,3 +96,36 @@ FEATURE_CTES = dict(lines=LINES_SQL, act=ACT_SQL, grid=GRID_SQL, dense=DENSE_SQL
             "J3", "S1", "S2", "O2"))
 def q_panel_features(t):
     return features(t)
+
+
+# The computus once more, by its other usual form (remainders of the year).
+EASTER_SQL = """
+SELECT y, make_date(y, (h + l - 7 * m + 114) // 31, (h + l - 7 * m + 114) % 31 + 1) AS easter
+FROM (SELECT *, (a + 11 * h + 22 * l) // 451 AS m
+  FROM (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l
+    FROM (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h
+      FROM (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM years))))"""
+
+
+@query("W5_movable_holidays", "day:d feast:s n_orders:i total:f other_share:f", """
+WITH years AS (SELECT DISTINCT CAST(year(o_orderdate) + k AS INTEGER) AS y
+               FROM orders, range(-15, 16) r(k) WHERE o_orderdate IS NOT NULL),
+e AS (""" + EASTER_SQL + """),
+f AS (SELECT CAST(easter + n AS DATE) AS day, feast FROM e, (VALUES ('carnival', -47), ('good_friday', -2), ('easter', 0),
+      ('corpus_christi', 60)) v(feast, n)),
+o AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n_orders, sum(o_totalprice) AS total FROM orders GROUP BY 1)
+SELECT f.day, f.feast, coalesce(o.n_orders, 0) AS n_orders, o.total,
+  coalesce(o.n_orders, 0) / nullif((SELECT avg(n_orders) FROM o), 0) AS other_share
+FROM f LEFT JOIN o USING (day)""", ops=("W5",))
+def q_movable_holidays(t):
+    """Orders on the movable feasts of every year of the table and of fifteen
+    years around it, against the mean day."""
+    o = t["orders"].where("o_orderdate IS NOT NULL").groupBy(F.to_date("o_orderdate").alias("day")).agg(
+        F.count(F.lit(1)).alias("n_orders"), F.sum("o_totalprice").alias("total"))
+    years = o.select(F.explode(F.sequence(F.year("day") - 15, F.year("day") + 15)).alias("year")).distinct()
+    feasts = F.array(*[F.struct(F.date_add(P.easter(F.col("year")), n).alias("day"), F.lit(name).alias("feast"))
+                       for name, n in P.MOVABLE_FEASTS.items()])
+    mean = o.agg(F.avg("n_orders").alias("mean_orders"))
+    n = F.coalesce("n_orders", F.lit(0))
+    return (years.select(F.inline(feasts)).join(o, "day", "left").join(F.broadcast(mean), how="inner")
+            .select("day", "feast", n.alias("n_orders"), "total", F.try_divide(n, F.col("mean_orders")).alias("other_share")))

@@ -69,13 +69,45 @@ def test_lag_equals_shift_and_rolling(spark):
     assert ((exp.isna() & got.isna()) | ((exp - got).abs() < 1e-9)).all()
 
 
-def test_prefix_rolling_matches_frame(spark):
-    panel = spark.createDataFrame([("k", i, float((i * 7) % 5)) for i in range(60)], "k string, d int, y double")
-    a = P.add_rolling(panel, "k", "d", "y", (7, 28)).orderBy("d").collect()
-    b = P.add_rolling(panel, "k", "d", "y", (7, 28), method="frame").orderBy("d").collect()
-    for x, y in zip(a, b):
-        for c in ("roll_mean_7", "roll_std_7", "roll_mean_28", "roll_std_28"):
-            assert (x[c] is None and y[c] is None) or x[c] == pytest.approx(y[c], abs=1e-9)
+@pytest.mark.parametrize("levels", [(0.0, 0.0), (1e8, 1e8), (0.0, 1e8)])
+def test_rolling_survives_a_change_of_level(spark, levels):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(1)
+    y = pd.Series(np.repeat(levels, 200) + rng.uniform(0, 1, 400))
+    df = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate(y)], "k string, d int, y double")
+    got = P.add_rolling(df, "k", "d", "y").orderBy("d").toPandas()
+    for k in (7, 28):
+        for name, exact in (("mean", y.shift(1).rolling(k).apply(np.mean)), ("std", y.shift(1).rolling(k).apply(lambda v: np.std(v, ddof=1)))):
+            mine = got[f"roll_{name}_{k}"]
+            assert (mine.isna() == exact.isna()).all()
+            assert ((mine - exact).abs() / exact.abs().clip(lower=1)).max() < 1e-6
+
+
+def test_easter_and_movable_feasts(spark):
+    from pyspark.sql import functions as F
+
+    def other_form(y):
+        a, b, c = y % 19, y // 100, y % 100
+        h = (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30
+        r = (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7
+        m = (a + 11 * h + 22 * r) // 451
+        return dt.date(y, (h + r - 7 * m + 114) // 31, (h + r - 7 * m + 114) % 31 + 1)
+
+    got = spark.range(1583, 2600).select(F.col("id").cast("int").alias("y")).select("y", P.easter(F.col("y")).alias("e")).collect()
+    assert all(r.e == other_form(r.y) for r in got)
+    days = spark.createDataFrame([(dt.date(2018, 2, 13),), (dt.date(2018, 3, 30),), (dt.date(2018, 4, 1),), (dt.date(2018, 5, 31),),
+                                  (dt.date(2018, 5, 1),), (None,)], "d date")
+    assert [r[0] for r in days.select(P.movable_feast(F.col("d"))).collect()] == [
+        "carnival", "good_friday", "easter", "corpus_christi", None, None]
+
+
+def test_bag_difference_counts_repeats(spark):
+    from shelfcast.operators.quality import bag_difference
+    a = spark.createDataFrame([(1, None), (1, None), (2, "x")], "k int, v string")
+    b = spark.createDataFrame([(1, None), (3, "y"), (3, "y")], "k int, v string")
+    assert tuple(bag_difference(a, b).first()) == (2, 2) and tuple(bag_difference(a, a).first()) == (0, 0)
+    assert tuple(bag_difference(a.limit(0), b.limit(0)).first()) == (0, 0)
 
 
 def test_dead_zone_truncation(spark):
@@ -85,16 +117,3 @@ def test_dead_zone_truncation(spark):
                                   "k string, day date, n_items double")
     cut = P.activity_cutoff(panel).first()["cutoff"]
     assert cut == base + dt.timedelta(days=99)
-
-
-def test_rolling_std_survives_a_high_level(spark):
-    from pyspark.sql import functions as F
-    from shelfcast.operators import panel as P
-    for level in (0.0, 1e8):
-        df = spark.range(200).select(F.lit(1).alias("k"), F.col("id").alias("d"), (F.lit(level) + (F.col("id") % 3) * 0.125).alias("y"))
-        a = P.add_rolling(df, "k", "d", "y").orderBy("d").collect()
-        b = P.add_rolling(df, "k", "d", "y", method="frame").orderBy("d").collect()
-        for x, z in zip(a, b):
-            for c in ("roll_std_7", "roll_std_28", "roll_mean_7"):
-                assert (x[c] is None) == (z[c] is None)
-                assert x[c] is None or abs(x[c] - z[c]) < 1e-6
