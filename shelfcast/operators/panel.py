@@ -112,6 +112,12 @@ def direct_features(panel: DataFrame, key: str, day: str, y: str, ahead: int, la
     return panel.select("*", *cols)
 
 
+def add_level(panel: DataFrame, key: str, day: str, y: str, out: str, ahead: int) -> DataFrame:
+    """Mean of all that a series has shown up to ``ahead`` periods before a row."""
+    past = Window.partitionBy(key).orderBy(day).rowsBetween(Window.unboundedPreceding, -ahead)
+    return panel.select("*", F.avg(y).over(past).alias(out))
+
+
 def add_rolling(panel: DataFrame, key: str, day: str, y: str, windows=(7, 28),
                 min_mean: int | None = None, min_std: int | None = None,
                 fill_std=None, exclude_current: bool = True) -> DataFrame:

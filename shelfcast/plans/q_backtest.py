@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import forecast as FC
 from ..operators import panel as P
+from ..operators import quantile_boost as QB
+from ..functions import metrics as M
 from ..session import materialize
 from .domain import KEY, LINES_SQL, ORIGIN
 from .q_panel import ACT_SQL, DENSE_SQL, GRID_SQL, line_aggs
@@ -245,3 +247,62 @@ def q_metrics(t):
     p = bt_panel(t)
     scales, active = FC.training_stats(p, bt_folds(p), KEY)
     return FC.backtest_metrics(predictions(t), scales, active, KEY)
+
+
+# Learned quantiles of the units that a seller ships in a week. What a row sees
+# of them is at least a horizon old; four rolling folds of eight weeks.
+LEARN_AHEAD = 8
+LEARN_WEEKS = 104         # training weeks before a fold's train end
+LEARN_FOLDS = [(f"fold_{k + 1}", 8 * (4 - k), 8 * (4 - k) - 1, 8 * (3 - k)) for k in range(4)]
+LEARN_FEATURES = [*(f"lag_{LEARN_AHEAD + k}" for k in (0, 1, 4)), *(f"roll_{s}_{k}" for k in (4, 12) for s in ("mean", "std")),
+                  "level", "month"]
+
+
+def units(t):
+    """Weekly units per seller, dense, up to the last whole week before the origin."""
+    def build():
+        end = F.to_date(F.lit(ORIGIN))
+        week = F.to_date(F.date_trunc("week", "l_shipdate"))
+        u = t["lineitem"].where(F.date_add(week, 6) <= end).groupBy(F.col("l_suppkey").alias(KEY), week.alias("week")).agg(
+            F.sum("l_quantity").alias("units"))
+        last = F.to_date(F.date_trunc("week", F.date_sub(end, 6)))
+        return materialize(P.densify(u, last, KEY, day="week", y="units", carry=(), step_days=7), "units")
+    return t.memo("units", build)
+
+
+def learned(t):
+    """Quantiles of boosted trees and, with the suffix _emp, of each seller's
+    own history, for every test week of every fold."""
+    def build():
+        p = units(t)
+        fold = FC.folds(p, "week", LEARN_FOLDS, 7)
+        rows = P.direct_features(p, KEY, "week", "units", LEARN_AHEAD, lags=(0, 1, 4), windows=(4, 12))
+        rows = P.add_level(rows, KEY, "week", "units", "level", LEARN_AHEAD).withColumn("month", F.month("week"))
+        rows = materialize(rows, "learned-panel")
+        tagged = FC.split(rows, fold, "week", lookback=LEARN_WEEKS * 7)
+        model = QB.fit(tagged.where("role = 'train'"), "fold", "units", LEARN_FEATURES)
+        raw = [f"pred_p{k}_raw" for k in (10, 50, 90)]
+        out = FC.rearrange(model.predict(tagged.where("role = 'test'"), "fold", raw))
+        own = FC.backtest_predictions(p, fold, KEY, "week", "units", lookback=LEARN_WEEKS, season=4, window=8, step_days=7,
+                                      slot=F.lit(0)).select("fold", KEY, "week", *[F.col(f"pred_p{k}").alias(f"emp_p{k}") for k in (10, 50, 90)])
+        return materialize(out.select("fold", KEY, "week", F.col("units").alias("actual"), "pred_p10", "pred_p50", "pred_p90", "crossing")
+                           .join(own, ["fold", KEY, "week"]), "learned")
+    return t.memo("learned", build)
+
+
+@query("M4_learned_quantiles", "fold:s seller_id:i week:d actual:f pred_p10:f pred_p50:f pred_p90:f crossing:i", None,
+       ops=("M4", "M5", "M6"))
+def q_learned(t):
+    return learned(t)
+
+
+@query("M4_learned_against_empirical", "fold:s model:s rows:i coverage:f width:f pinball_p10:f pinball_p50:f pinball_p90:f", None,
+       ops=("M4", "E4", "E5", "E9"))
+def q_learned_metrics(t):
+    a = F.col("actual")
+    both = learned(t).select("fold", "actual", F.explode(F.array(*[F.struct(
+        F.lit(name).alias("model"), *[F.col(f"{column}_p{k}").alias(f"p{k}") for k in (10, 50, 90)])
+        for name, column in (("learned", "pred"), ("empirical", "emp"))])).alias("m")).select("fold", "actual", "m.*")
+    return both.groupBy("fold", "model").agg(
+        F.count(F.lit(1)).alias("rows"), M.coverage(a, "p10", "p90").alias("coverage"), M.interval_width("p10", "p90").alias("width"),
+        *[M.pinball(a, f"p{k}", k / 100).alias(f"pinball_p{k}") for k in (10, 50, 90)])
