@@ -127,7 +127,7 @@ def _plan_sql(final):
 SELECT product_id AS sku_id, store_id, CAST(round_even(on_hand, 0) AS BIGINT) AS current_stock, round_even(unit_cost, 2) AS unit_cost,
   CAST(greatest(round_even(lead_time_mean, 0), 0) AS BIGINT) AS lead_time_days, rank - 1 AS rank_order FROM recs"""), ops=("C11",))
 def q_export_skus(t):
-    return _exported(t, QP.flat_recs(t).select(
+    return _exported(t, QP.flat_recs(t, QP.stored_recs(t)).select(
         F.col("product_id").alias("sku_id"), "store_id", F.bround("on_hand", 0).cast("long").alias("current_stock"),
         F.bround("unit_cost", 2).alias("unit_cost"),
         F.greatest(F.bround("lead_time_mean", 0), F.lit(0.0)).cast("long").alias("lead_time_days"),
@@ -153,7 +153,7 @@ SELECT r.product_id AS sku_id, h.day AS target_date, h.pred_p10 AS p10_demand, h
 FROM hold h JOIN recs r ON r.seller_id = h.seller_id"""), ops=("C11", "M10"))
 def q_export_forecasts(t):
     risk = F.least(F.greatest(F.coalesce("stockout_risk_7d", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    r = QP.recommendations(t).select(KEY, "product_id", "store_id", F.bround(risk, 4).alias("stockout_risk_score"))
+    r = QP.stored_recs(t).select(KEY, "product_id", "store_id", F.bround(risk, 4).alias("stockout_risk_score"))
     return _exported(t, QP.holdout(t).join(r, KEY).select(
         F.col("product_id").alias("sku_id"), F.col("day").alias("target_date"), F.col("pred_p10").alias("p10_demand"),
         F.col("pred_p50").alias("p50_demand"), F.col("pred_p90").alias("p90_demand"), "stockout_risk_score", "store_id",
@@ -173,7 +173,7 @@ SELECT 'PO-' || rec_id AS po_id, product_id AS sku_id, 'PENDING_APPROVAL' AS sta
 FROM recs WHERE status IN ('pending', 'escalated')"""), ops=("C11",))
 def q_export_orders(t):
     status = F.create_map(*[F.lit(x) for kv in ORDER_STATUS.items() for x in kv])
-    return _exported(t, QP.recommendations(t).select(
+    return _exported(t, QP.stored_recs(t).select(
         F.concat(F.lit("PO-"), "rec_id").alias("po_id"), F.col("product_id").alias("sku_id"),
         F.coalesce(status[F.col("status")], F.lit("PENDING_APPROVAL")).alias("status"),
         F.col("recommended_qty").cast("long").alias("ai_recommended_qty"), F.to_json("guardrail_flags").alias("ai_guardrail_flags"),
@@ -190,14 +190,14 @@ def q_export_audit(t):
                                     F.lit(" units")).alias("details")),
                   F.struct(F.lit("verifier").alias("actor_name"), F.col("verdict").alias("action"),
                            F.left(F.array_join("reasons", "; "), F.lit(500)).alias("details")))
-    return _exported(t, QP.recommendations(t).select(F.col("rec_id").alias("entity_id"), F.inline(two)), "audit")
+    return _exported(t, QP.stored_recs(t).select(F.col("rec_id").alias("entity_id"), F.inline(two)), "audit")
 
 
 @query("C11_export_leadtime_forecasts", "sku_id:s origin_date:d store_id:s protection_days:f p10_lt:f p50_lt:f p90_lt:f", _plan_sql(
     "SELECT product_id AS sku_id, date AS origin_date, store_id, protection_days, p10_lt, p50_lt, p_alpha_lt AS p90_lt FROM recs"),
        ops=("C11", "V4"))
 def q_export_leadtime(t):
-    return _exported(t, QP.recommendations(t).select(
+    return _exported(t, QP.stored_recs(t).select(
         F.col("product_id").alias("sku_id"), F.col("date").alias("origin_date"), "store_id", "protection_days", "p10_lt",
         "p50_lt", F.col("p_alpha_lt").alias("p90_lt")), "leadtimes")
 
@@ -211,7 +211,7 @@ SELECT rec_id, coalesce(TRY_CAST(recommended_qty AS DOUBLE), 0.0) AS recommended
   to_json(fl) AS flags_json
 FROM recs""", ops=("C11", "S10", "U4"))
 def q_export(t):
-    r = QP.recommendations(t)
+    r = QP.stored_recs(t)
     num = F.coalesce(F.nanvl(F.col("recommended_qty").try_cast("double"), F.lit(None).cast("double")), F.lit(0.0))
     out = r.select("rec_id", num.alias("recommended_qty"), "net_benefit",
                    F.to_json("evidence").alias("evidence_json"), F.to_json("guardrail_flags").alias("flags_json"))

@@ -14,9 +14,10 @@ from ..operators import inventory as INV
 from ..operators.ordering import running
 from ..operators.panel import lead_time_stats, origin_end
 from . import q_backtest as BT
-from .domain import KEY, LT_COLS, ORIGIN_END_SQL, order_lines
+from .domain import KEY, LT_COLS, ORIGIN, ORIGIN_END_SQL, order_lines
 from .registry import cte, query
-from ..session import materialize
+from ..session import ensure_checkpoint_dir, materialize
+from ..sources.store import TableStore, fingerprint
 
 TOP_N = 50
 SERVICE_ALPHA = 0.9
@@ -24,6 +25,8 @@ REVIEW_DAYS = 1
 MAX_LEAD_DAYS = 28
 CONFIDENCE = 0.91
 MODEL_VERSION = "empirical_q_v1"
+# Part of a stored plan's name: raise it whenever what a plan computes changes.
+PLAN_VERSION = "3"
 # Evidence drivers cited on every recommendation.
 TOP_DRIVERS = ["roll_mean_7", "lag_7", "lt_mean"]
 
@@ -144,8 +147,29 @@ REC_SPEC = ("rec_id:s date:d store_id:s product_id:s seller_id:i rank:i on_hand:
             "verdict:s reasons:s rationale:s")
 
 
-def flat_recs(t) -> DataFrame:
-    return recommendations(t).select(
+def result_store(t) -> TableStore:
+    return TableStore(t.spark, f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/shelfcast-store")
+
+
+def run_id(t) -> str:
+    """The inputs' files and the settings that a plan depends on."""
+    def build():
+        return fingerprint({n: t[n] for n in ("lineitem", "orders", "supplier", "nation")}, MODEL_VERSION, PLAN_VERSION, ORIGIN, str(SERVICE_ALPHA))
+    return t.memo("run_id", build)
+
+
+def month_of(day: str):
+    return (F.year(day) * 100 + F.month(day)).alias("month")
+
+
+def stored_recs(t) -> DataFrame:
+    """The recommendations of these inputs from the stored table; the first
+    reader publishes them, all others scan one month's files."""
+    return result_store(t).stored("recommendations", run_id(t), lambda: recommendations(t).select("*", month_of("date")), ("month",))
+
+
+def flat_recs(t, recs: DataFrame | None = None) -> DataFrame:
+    return (recommendations(t) if recs is None else recs.drop("month")).select(
         "*", F.col("evidence.lead_time_mean").alias("lead_time_mean"),
         F.col("evidence.lead_time_std").alias("lead_time_std"),
         F.array_join("guardrail_flags", ",").alias("flags"),

@@ -148,7 +148,17 @@ FROM hold h JOIN recs r ON r.seller_id = h.seller_id"""
        "WITH " + ",\n".join(f"{k} AS (\n{v}\n)" for k, v in QP.plan_ctes(**QP.REC_CTES).items())
        + CONTRACT_SQL, ops=("M10", "D10"))
 def q_contract(t):
-    r = QP.recommendations(t).select(KEY, "store_id")
+    return contract(t, QP.recommendations(t))
+
+
+def stored_contract(t):
+    """The forecast contract of these inputs from the stored table, by month."""
+    return QP.result_store(t).stored("forecast_contract", QP.run_id(t), lambda: contract(t, QP.stored_recs(t)).select(
+        "*", QP.month_of("date")), ("month",))
+
+
+def contract(t, recs):
+    r = recs.select(KEY, "store_id")
     return (QP.holdout(t).join(r, KEY)
             .select(F.col("day").alias("date"), "store_id", F.col(KEY).cast("string").alias("product_id"),
                     "horizon", F.col("pred_p10").alias("p10"), F.col("pred_p50").alias("p50"),

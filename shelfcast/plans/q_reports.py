@@ -23,7 +23,7 @@ from .registry import query
 
 
 def recs(t):
-    return t.memo("recs", lambda: QP.recommendations(t))
+    return t.memo("recs", lambda: QP.stored_recs(t))
 
 
 def _recs_sql(final: str, **more) -> str:
@@ -213,7 +213,7 @@ SELECT DISTINCT 'pair' AS kind, store_id, product_id, NULL::DATE AS date FROM co
 UNION ALL SELECT DISTINCT 'date', NULL, NULL, date FROM recs""".replace("\n, c2 AS (SELECT 1)", ""),
        **CONTRACT_CTE), ops=("A21", "A22"))
 def q_distinct(t):
-    c = QPOL.q_contract(t)
+    c = QPOL.stored_contract(t)
     pairs = c.select(F.lit("pair").alias("kind"), "store_id", "product_id",
                      F.lit(None).cast("date").alias("date")).distinct()
     dates = recs(t).select(F.lit("date").alias("kind"), F.lit(None).cast("string").alias("store_id"),
@@ -245,9 +245,15 @@ def q_status_filter(t):
 SELECT date, product_id, horizon, p50 FROM contract
 WHERE product_id = (SELECT product_id FROM recs WHERE rank = 1) AND horizon <= 7""", **CONTRACT_CTE), ops=("F8",))
 def q_lookup(t):
-    c = QPOL.q_contract(t)
-    first = recs(t).filter(F.col("rank") == 1).select("product_id")
-    return (c.join(F.broadcast(first), "product_id", "left_semi").filter(F.col("horizon") <= 7)
+    """The first week of the product that ranks first: the rank is looked up in
+    the stored recommendations, product, horizon and month go into the scan."""
+    first = recs(t).filter(F.col("rank") == 1).select("product_id", "date").first()
+    c = QPOL.stored_contract(t)
+    if first is None:
+        return c.limit(0).select("date", "product_id", "horizon", "p50")
+    week = [F.lit(first["date"]), F.date_add(F.lit(first["date"]), 6)]
+    months = [F.year(d) * 100 + F.month(d) for d in week]
+    return (c.filter(F.col("month").between(*months) & (F.col("product_id") == first["product_id"]) & (F.col("horizon") <= 7))
             .select("date", "product_id", "horizon", "p50"))
 
 
@@ -310,7 +316,7 @@ SELECT product_id, row_number() OVER (ORDER BY prio, product_id) AS rank_order F
     UNION ALL SELECT product_id, 1 FROM contract) GROUP BY product_id)""", **CONTRACT_CTE), ops=("U2",))
 def q_rank_order(t):
     first = recs(t).filter(F.col("status") == "escalated").select("product_id")
-    return DC.ordered_union_rank(first, QPOL.q_contract(t).select("product_id"), "product_id")
+    return DC.ordered_union_rank(first, QPOL.stored_contract(t).select("product_id"), "product_id")
 
 
 # The decision log: each user's latest event speaks for the series with the

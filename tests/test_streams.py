@@ -61,3 +61,32 @@ def test_latest_row_survives_a_restart(spark):
     _file(spark, src, "d1", [(500, dt.datetime(2024, 1, 9), 1, "a", 1.0), (3, dt.datetime(2024, 1, 9), 2, "a", 1.0)])
     assert run() == {0: 57, 1: 500, 2: 59}
     assert run() == {0: 57, 1: 500, 2: 59}
+
+
+def test_upserted_table_stays_bounded_and_survives_a_repeated_batch(spark):
+    base = tempfile.mkdtemp(prefix="shelfcast-test-")
+    rows = [[(100 * n + i, dt.datetime(2024, 1, 1), (i * 7 + n) % 40, "ab"[i % 2], float(n)) for i in range(20)] for n in range(7)]
+    frames = [spark.createDataFrame(r, SCHEMA).select("user_id", "event_id", "event_type", "value") for r in rows]
+    table = ST.BucketedTable(spark, base + "/t", "user_id", "event_id", frames[0].schema, buckets=4)
+    assert table.read().count() == 0
+    expected = {}
+    for n, batch in enumerate(frames):
+        table.merge(batch, n)
+        if n in (2, 6):
+            table.merge(batch, n)                   # run again after a failure
+        expected.update({r[2]: r[0] for r in sorted(rows[n])})
+        assert {r.user_id: r.event_id for r in table.read().collect()} == expected
+    folders = [d for d, _, files in os.walk(base + "/t/state") if any(f.endswith(".parquet") for f in files)]
+    assert len(folders) <= 2 * 4 and len(os.listdir(base + "/t/lists")) <= 2
+    table.merge(frames[0].limit(0), 7)              # a batch without rows
+    assert {r.user_id: r.event_id for r in table.read().collect()} == expected
+
+
+def test_late_rows_by_batch(spark):
+    base = tempfile.mkdtemp(prefix="shelfcast-test-")
+    src, root = os.path.join(base, "src"), os.path.join(base, "root")
+    for k, day0 in enumerate((20, 10, 21)):
+        _file(spark, src, f"d{k}", _events(100 * k, 3, day0))
+        _run(spark, src + "/*", root)
+    got = ST.late_by_batch(spark, root, "event_type").orderBy("batch").collect()
+    assert [(r.n_rows, r.n_counted, r.n_late) for r in got] == [(60, 60, 0), (60, 0, 60), (60, 60, 0)]
