@@ -50,6 +50,36 @@ def split(panel: DataFrame, fold_df: DataFrame, day: str = "day", lookback: int
             .withColumn("role", F.when(test, F.lit("test")).otherwise(F.lit("train"))))
 
 
+#: Days of a bin of the interval join.
+BIN_DAYS = 32
+
+
+def rolling_origins(panel: DataFrame, n: int, step_days: int, train_days: int, test_days: int, day: str = "day") -> DataFrame:
+    """F6 for any number of origins: ``origin`` 0..n-1 (0 ends with the last
+    day) with a ``role`` and its days ``first_day``..``last_day``."""
+    k = F.col("origin")
+    end = F.date_sub("_last", (k * step_days + test_days).cast("int"))
+    role = lambda name, a, b: F.struct(F.lit(name).alias("role"), a.alias("first_day"), b.alias("last_day"))
+    return (panel.agg(F.max(day).alias("_last")).where("_last IS NOT NULL")
+            .select("_last", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("origin"))
+            .select("origin", end.alias("train_end"), F.inline(F.array(
+                role("train", F.date_sub(end, train_days - 1), end), role("test", F.date_add(end, 1), F.date_add(end, test_days))))))
+
+
+def interval_join(panel: DataFrame, intervals: DataFrame, day: str = "day", first: str = "first_day", last: str = "last_day",
+                  bin_days: int = BIN_DAYS) -> DataFrame:
+    """Every row of ``panel`` with every interval that holds its day, columns
+    of both. Intervals are dealt into bins of days and joined by bin number, so
+    the join is an equality join whatever the number of intervals; the exact
+    days are checked after it. The panel's scan gets the days of all intervals
+    together as a plain filter."""
+    span = intervals.agg(F.min(first).alias("a"), F.max(last).alias("b")).first()
+    bin_of = lambda c: F.floor(F.unix_date(c) / bin_days)
+    dealt = intervals.select("*", F.explode(F.sequence(bin_of(F.col(first)), bin_of(F.col(last)))).alias("_bin"))
+    rows = panel.where(F.col(day).between(F.lit(span.a), F.lit(span.b))).withColumn("_bin", bin_of(F.col(day)))
+    return rows.join(dealt, "_bin").where(F.col(day).between(F.col(first), F.col(last))).drop("_bin")
+
+
 def horizon(day: str = "day", train_end: str = "train_end", step_days: int = 1) -> Column:
     """Periods since train end (1..h), by date, not row ordinal (Q4)."""
     gap = F.datediff(F.col(day), F.col(train_end))

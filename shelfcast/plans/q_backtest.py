@@ -306,3 +306,21 @@ def q_learned_metrics(t):
     return both.groupBy("fold", "model").agg(
         F.count(F.lit(1)).alias("rows"), M.coverage(a, "p10", "p90").alias("coverage"), M.interval_width("p10", "p90").alias("width"),
         *[M.pinball(a, f"p{k}", k / 100).alias(f"pinball_p{k}") for k in (10, 50, 90)])
+
+
+ORIGINS, ORIGIN_STEP, ORIGIN_TRAIN, ORIGIN_TEST = 100, 7, 56, 14
+
+
+@query("F6_rolling_origins", "origin:i train_end:d role:s n_rows:i n_series:i total:f", cte(**bt_ctes()) + f"""
+, o AS (SELECT k AS origin, CAST(m.last_day - CAST(k * {ORIGIN_STEP} + {ORIGIN_TEST} AS INTEGER) AS DATE) AS train_end
+        FROM (SELECT max(day) AS last_day FROM bpanel) m, range({ORIGINS}) r(k)),
+i AS (SELECT origin, train_end, 'train' AS role, train_end - {ORIGIN_TRAIN - 1} AS a, train_end AS b FROM o
+      UNION ALL SELECT origin, train_end, 'test', train_end + 1, train_end + {ORIGIN_TEST} FROM o)
+SELECT origin, train_end, role, count(*) AS n_rows, count(DISTINCT seller_id) AS n_series, sum(n_items) AS total
+FROM bpanel p JOIN i ON p.day BETWEEN i.a AND i.b GROUP BY ALL""", ops=("F6",))
+def q_rolling_origins(t):
+    """Train and test rows of a hundred weekly origins from one binned join."""
+    p = bt_panel(t)
+    i = FC.rolling_origins(p, ORIGINS, ORIGIN_STEP, ORIGIN_TRAIN, ORIGIN_TEST)
+    return FC.interval_join(p, i).groupBy("origin", "train_end", "role").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct(KEY).alias("n_series"), F.sum("n_items").alias("total"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
-from ..sources.files import PARTS_SCHEMAS, bulk_load, load_csv_dir, read_csv_table, write_table
+from ..sources.files import PARTS_SCHEMAS, bulk_load, load_csv_dir, read_csv_checked, read_csv_table, write_table
 from . import q_backtest as BT
 from . import q_parts as PARTS
 from . import q_plan as QP
@@ -226,3 +226,29 @@ def q_forbidden(t):
     cols = features(t).columns          # schema only: no data is read
     bad = [c for c in cols if any(w in c.lower() for w in ("discount", "promo", "weather"))]
     return t.spark.createDataFrame([(len(cols), len(bad))], "n_columns long, n_forbidden long")
+
+
+RAW_ORDERS = T.StructType([T.StructField("order_id", T.LongType()), T.StructField("customer_id", T.LongType()),
+                           T.StructField("price", T.DoubleType()), T.StructField("purchased", T.DateType())])
+
+
+@query("C2_csv_rejects", "outcome:s n_rows:i total:f", """
+WITH o AS (SELECT *, CASE WHEN o_orderkey % 83 = 0 THEN 'number of fields'
+    WHEN o_orderkey % 97 = 0 AND o_orderkey % 89 = 0 THEN 'price,purchased' WHEN o_orderkey % 97 = 0 THEN 'price'
+    WHEN o_orderkey % 89 = 0 THEN 'purchased' ELSE 'accepted' END AS outcome FROM orders)
+SELECT outcome, count(*) AS n_rows, CASE WHEN outcome = 'accepted' THEN sum(round_even(o_totalprice, 2)) END AS total FROM o GROUP BY outcome
+UNION ALL SELECT 'lines', count(*), NULL FROM o""", ops=("C1", "C2", "C4"))
+def q_csv_rejects(t):
+    """Orders as CSV lines, some with a price or date that is none or with a
+    field too many: accepted rows and rejects by reason, beside all lines."""
+    k = F.col("o_orderkey")
+    line = F.concat_ws(",", k, "o_custkey", F.when(k % 97 == 0, F.lit("n/a")).otherwise(F.bround("o_totalprice", 2).cast("string")),
+                       F.when(k % 89 == 0, F.lit("31.31.")).otherwise(F.to_date("o_orderdate").cast("string")),
+                       F.when(k % 83 == 0, F.lit("more")))
+    path = f"{_dir(t, 'raw')}/orders_lines"
+    t["orders"].select(line.alias("value")).write.mode("overwrite").text(path)
+    ok, bad = read_csv_checked(t.spark, path, RAW_ORDERS, header=False)
+    lines = t.spark.read.text(path).agg(F.lit("lines").alias("outcome"), F.count(F.lit(1)).alias("n_rows"))
+    parts = [ok.agg(F.lit("accepted").alias("outcome"), F.count(F.lit(1)).alias("n_rows"), F.sum("price").alias("total")),
+             bad.groupBy(F.array_join("reasons", ",").alias("outcome")).agg(F.count(F.lit(1)).alias("n_rows")), lines]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

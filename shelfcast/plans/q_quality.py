@@ -311,3 +311,30 @@ def _future_sql():
 def q_future(t):
     from .q_panel import features
     return P.future_rows(features(t), "day", ORIGIN)
+
+
+@query("A24_A25_monthly_sketches", "month:i n_rows:i n_customers:i distinct_ok:i p10_ok:i p50_ok:i p90_ok:i", """
+SELECT year(o_orderdate) * 100 + month(o_orderdate) AS month, count(*) AS n_rows, count(DISTINCT o_custkey) AS n_customers,
+  1 AS distinct_ok, 1 AS p10_ok, 1 AS p50_ok, 1 AS p90_ok FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1""",
+       ops=("A24", "A25"))
+def q_sketches(t):
+    """Customers and price quantiles by month from merged daily sketches, and
+    whether each is within its error bound of the exact answer."""
+    o = t["orders"].where("o_orderdate IS NOT NULL")
+    month = lambda c: F.year(c) * 100 + F.month(c)
+    daily = materialize(Q.daily_sketches(o, F.to_date("o_orderdate"), "o_custkey", "o_totalprice"), "daily_sketches")
+    est = Q.merged_sketches(daily, month("day"), "month")
+    rows = o.select(month("o_orderdate").alias("month"), "o_custkey", F.col("o_totalprice").alias("v")).join(
+        est.drop("n_rows"), "month")
+    # The rank of an estimate lies between the shares below it and up to it.
+    share = lambda c: F.avg(c.cast("double"))
+    exact = rows.groupBy("month").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("o_custkey").alias("n_customers"), F.max("n_distinct").alias("n_distinct"),
+        *[share(F.col("v") < F.col(p)).alias(f"{p}_below") for p in ("p10", "p50", "p90")],
+        *[share(F.col("v") <= F.col(p)).alias(f"{p}_upto") for p in ("p10", "p50", "p90")])
+    def near(p, q):
+        slack = F.lit(Q.KLL_RANK_ERROR) + 1 / F.col("n_rows")
+        return ((F.col(f"{p}_below") <= q + slack) & (F.col(f"{p}_upto") >= q - slack)).cast("int").alias(f"{p}_ok")
+    return exact.select("month", "n_rows", "n_customers",
+                        (F.abs(F.col("n_distinct") - F.col("n_customers")) <= Q.HLL_ERROR * F.col("n_customers")).cast("int").alias("distinct_ok"),
+                        near("p10", 0.1), near("p50", 0.5), near("p90", 0.9))

@@ -66,6 +66,25 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType,
     return df
 
 
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """C1/C2 with rejects: (accepted rows with the declared types, rejects with
+    ``record``, the line as read, and ``reasons``). A line is rejected if it
+    has not as many fields as the schema, or names of columns whose text is no
+    value of their type are its reasons; empty fields are null. Accepted and
+    rejected rows together are all lines. The file is read as text columns
+    once per side; nothing is inferred."""
+    text = T.StructType([T.StructField(f.name, S) for f in schema] + [T.StructField("_line", S)])
+    raw = (spark.read.schema(text).option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line")
+           .option("columnPruning", False).option("nullValue", "").csv(path))
+    bad = [F.when(F.col(f"`{f.name}`").isNotNull() & F.col(f"`{f.name}`").try_cast(f.dataType).isNull(), F.lit(f.name)) for f in schema]
+    wrong = F.when(F.col("_line").isNotNull(), F.array(F.lit("number of fields"))).otherwise(
+        F.filter(F.array(*bad), lambda x: x.isNotNull()))
+    judged = raw.withColumn("_reasons", wrong)
+    line = F.coalesce("_line", F.to_csv(F.struct(*[F.col(f"`{f.name}`") for f in schema])))
+    return (judged.where(F.size("_reasons") == 0).select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema]),
+            judged.where(F.size("_reasons") > 0).select(line.alias("record"), F.col("_reasons").alias("reasons")))
+
+
 def read_json_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A JSON array of records (C5): multi-line, declared schema."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
