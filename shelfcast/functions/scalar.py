@@ -24,9 +24,14 @@ def short_id(c, keep: int = 4, limit: int = 10) -> Column:
 
 
 def safe_double(c, default: float = 0.0) -> Column:
-    """Parse to double, default on NULL or garbage."""
-    return F.coalesce(F.expr(f"try_cast({c} AS double)") if isinstance(c, str) else
-                      c.try_cast("double"), F.lit(default))
+    """Parse to double; ``default`` for null, garbage and what is no finite number."""
+    x = _c(c).try_cast("double")
+    return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), x).otherwise(F.lit(default))
+
+
+def whole_text(x: Column) -> Column:
+    """A number as text, without a fraction if it is whole."""
+    return F.when((x == F.floor(x)) & (F.abs(x) < 1e15), x.cast("bigint").cast("string")).otherwise(x.cast("string"))
 
 
 def md5_mod(c, n: int = 10000) -> Column:
@@ -95,3 +100,9 @@ def backfill_name(name, email) -> Column:
     """Keep a non-empty name, else the capitalised local part of the email."""
     return F.coalesce(F.nullif(_c(name), F.lit("")),
                       F.initcap(F.split_part(_c(email), F.lit("@"), F.lit(1))))
+
+
+def days_band(c) -> Column:
+    """Colour band of the days that stock lasts: up to 3, up to 7, longer."""
+    d = _c(c)
+    return F.when(d <= 3, F.lit("bad")).when(d <= 7, F.lit("warning")).when(d.isNotNull(), F.lit("good"))

@@ -60,11 +60,10 @@ BPANEL_SQL = """
 SELECT d.seller_id, d.day, d.n_items,
        lag(d.n_items, 7) OVER (PARTITION BY d.seller_id ORDER BY d.day) AS lag_7
 FROM dense d, cutoff c WHERE d.day <= c.cutoff"""
-FOLDS_SQL = """
+FOLDS_SQL = f"""
 SELECT f.fold, CAST(m.last_day - f.a AS DATE) AS train_end, CAST(m.last_day - f.b AS DATE) AS test_start,
        CAST(m.last_day - f.c AS DATE) AS test_end, m.first_day AS calendar_start
-FROM (VALUES ('fold_1', 56, 55, 42), ('fold_2', 42, 41, 28), ('fold_3', 28, 27, 14),
-             ('holdout', 14, 13, 0)) f(fold, a, b, c),
+FROM (VALUES {', '.join(map(str, FC.DAILY_FOLDS))}) f(fold, a, b, c),
      (SELECT max(day) AS last_day, min(day) AS first_day FROM bpanel) m"""
 TEST_SQL = """
 SELECT f.fold, p.seller_id, p.day, datediff('day', f.train_end, p.day) AS horizon,

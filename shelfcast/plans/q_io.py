@@ -252,3 +252,48 @@ def q_csv_rejects(t):
     parts = [ok.agg(F.lit("accepted").alias("outcome"), F.count(F.lit(1)).alias("n_rows"), F.sum("price").alias("total")),
              bad.groupBy(F.array_join("reasons", ",").alias("outcome")).agg(F.count(F.lit(1)).alias("n_rows")), lines]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+@query("C11_export_stores", "store_id:s store_name:s", _plan_sql("SELECT DISTINCT store_id, store_id AS store_name FROM recs"), ops=("C11",))
+def q_export_stores(t):
+    return _exported(t, QP.stored_recs(t).select("store_id", F.col("store_id").alias("store_name")).distinct(), "stores")
+
+
+# Column names of the order table's export are fixed values; the reviewer's
+# columns stay empty until a person has decided.
+REVIEW_COLUMNS = {"human_approved_qty": "bigint", "reviewer_user_id": "string", "human_feedback": "string",
+                  "reviewed_at": "timestamp_ntz", "executed_at": "timestamp_ntz"}
+ORDER_NUMBERS = ("on_hand", "reorder_point", "safety_stock", "service_level", "days_to_stockout", "stockout_risk_7d",
+                 "cost_if_ignored", "cost_of_action", "net_benefit")
+
+
+@query("C11_export_order_economics", "po_id:s rec_id:s store_id:s decision_date:d " + " ".join(f"{c}:f" for c in ORDER_NUMBERS)
+       + " proposer:s verification:s " + " ".join(f"{c}:{'i' if k == 'bigint' else 't' if k == 'timestamp_ntz' else 's'}"
+                                                    for c, k in REVIEW_COLUMNS.items()), _plan_sql(f"""
+SELECT 'PO-' || rec_id AS po_id, rec_id, store_id, date AS decision_date, {', '.join(ORDER_NUMBERS)},
+  '{{"recommendation":"' || CASE WHEN net_benefit > 0 THEN 'APPROVE' ELSE 'HOLD' END || '"}}' AS proposer,
+  '{{"verdict":"' || verdict || '","final_decision":"' || final_decision || '"}}' AS verification,
+  {', '.join(f'NULL AS {c}' for c in REVIEW_COLUMNS)} FROM recs"""), ops=("C11",))
+def q_export_order_economics(t):
+    """The columns of the order table beside those of the drafts' export."""
+    proposal = F.when(F.col("net_benefit") > 0, F.lit("APPROVE")).otherwise(F.lit("HOLD"))
+    return _exported(t, QP.stored_recs(t).select(
+        F.concat(F.lit("PO-"), "rec_id").alias("po_id"), "rec_id", "store_id", F.col("date").alias("decision_date"), *ORDER_NUMBERS,
+        F.to_json(F.struct(proposal.alias("recommendation"))).alias("proposer"),
+        F.to_json(F.struct("verdict", "final_decision")).alias("verification"),
+        *[F.lit(None).cast(k).alias(c) for c, k in REVIEW_COLUMNS.items()]), "economics")
+
+
+@query("C11_export_generation_log", "log_id:s po_id:s model_version:s input_context:s generated_rationale:s prompt_tokens:i "
+       "completion_tokens:i", _plan_sql(f"""
+SELECT 'LOG-' || rec_id AS log_id, 'PO-' || rec_id AS po_id, '{QP.MODEL_VERSION}' AS model_version,
+  '{{"recommended_qty":' || CAST(CAST(recommended_qty AS BIGINT) AS VARCHAR) || ',"days_to_stockout":' || CAST(days_to_stockout AS VARCHAR)
+  || ',"verdict":"' || verdict || '"}}' AS input_context, rationale AS generated_rationale, NULL AS prompt_tokens, NULL AS completion_tokens
+FROM recs"""), ops=("C11", "U1"))
+def q_export_generation_log(t):
+    context = F.struct(F.col("recommended_qty").cast("bigint").alias("recommended_qty"), "days_to_stockout", "verdict")
+    none = F.lit(None).cast("bigint")
+    return _exported(t, QP.stored_recs(t).select(
+        F.concat(F.lit("LOG-"), "rec_id").alias("log_id"), F.concat(F.lit("PO-"), "rec_id").alias("po_id"),
+        F.lit(QP.MODEL_VERSION).alias("model_version"), F.to_json(context).alias("input_context"),
+        F.col("rationale").alias("generated_rationale"), none.alias("prompt_tokens"), none.alias("completion_tokens")), "genlog")

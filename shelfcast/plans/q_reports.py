@@ -411,3 +411,10 @@ WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders
        ops=("C10",))
 def q_schema(t):
     return schema_rows(t.spark, {n: t[n] for n in DRIVER_TABLES}).drop("data_type")
+
+
+@query("S15_days_bands", "rec_id:s days_to_stockout:i days_band:s", _recs_sql("""
+SELECT rec_id, days_to_stockout, CASE WHEN days_to_stockout <= 3 THEN 'bad' WHEN days_to_stockout <= 7 THEN 'warning' ELSE 'good' END AS days_band
+FROM recs"""), ops=("S15",))
+def q_days_bands(t):
+    return recs(t).select("rec_id", "days_to_stockout", S.days_band("days_to_stockout").alias("days_band"))

@@ -52,10 +52,10 @@ SLOT_SQL = f"(((datediff('day', DATE '{SLOT_START}', week) // 7) % 4 + 4) % 4)"
 WB_SQL = """
 SELECT series_id, week, consumption_qty AS y,
   lag(consumption_qty, 4) OVER (PARTITION BY series_id ORDER BY week) AS lag_4 FROM wdense"""
-WFOLDS_SQL = """
+WFOLDS_SQL = f"""
 SELECT f.fold, CAST(m.w1 - 7 * f.a AS DATE) AS train_end, CAST(m.w1 - 7 * f.b AS DATE) AS test_start,
   CAST(m.w1 - 7 * f.c AS DATE) AS test_end, m.w0 AS calendar_start
-FROM (VALUES ('fold_1', 6, 5, 4), ('fold_2', 4, 3, 2), ('fold_3', 2, 1, 0)) f(fold, a, b, c),
+FROM (VALUES {', '.join(map(str, FC.WEEKLY_FOLDS))}) f(fold, a, b, c),
   (SELECT max(week) AS w1, min(week) AS w0 FROM wb) m"""
 WTEST_SQL = f"""
 SELECT f.fold, p.series_id, p.week, datediff('day', f.train_end, p.week) // 7 AS horizon, p.y AS actual, f.train_end,
