@@ -50,11 +50,26 @@ def count_violations(df: DataFrame, rules: dict[str, Column], table: str) -> Dat
                        (F.lit(100.0) * F.col("violations") / F.greatest("_rows", F.lit(1))).alias("pct"))
 
 
-def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str,
-            name: str) -> DataFrame:
-    """Child rows whose key has no parent (left anti join)."""
-    o = child.join(parent, child[child_key] == parent[parent_key], "left_anti")
-    return o.agg(F.count(F.lit(1)).alias("orphans")).select(F.lit(name).alias("relation"), "orphans")
+def all_orphans(tables: dict[str, DataFrame], relations: list[tuple[str, str, str, str, str]]) -> DataFrame:
+    """D7/J6 for many relations (name, child table, its key, parent table, its
+    key) at once: one scan of each child deals its keys out by relation, the
+    parents' keys join them in one union, and one aggregate by (relation, key)
+    finds the keys without a parent. Keys are counted before the shuffle, so a
+    hot key costs a row for each task. A null key is an orphan."""
+    spark = next(iter(tables.values())).sparkSession
+    key = lambda c: F.col(c).cast("string").alias("key")
+
+    def side(of: int, column: int, rows: int):
+        for table in dict.fromkeys(r[of] for r in relations):
+            own = [F.struct(F.lit(r[0]).alias("relation"), key(r[column])) for r in relations if r[of] == table]
+            yield tables[table].select(F.inline(F.array(*own))).withColumns({"n": F.lit(rows), "parents": F.lit(1 - rows)})
+
+    parents = [d.where("key IS NOT NULL") for d in side(3, 4, 0)]
+    keys = reduce(DataFrame.unionByName, [*side(1, 2, 1), *parents]).groupBy("relation", "key").agg(
+        F.sum("n").alias("n"), F.max("parents").alias("parents"))
+    found = keys.where("parents = 0").groupBy("relation").agg(F.sum("n").alias("n"))
+    names = spark.createDataFrame([(r[0],) for r in relations], "relation string")
+    return names.join(found, "relation", "left").select("relation", F.coalesce("n", F.lit(0)).alias("orphans"))
 
 
 def continuity(panel: DataFrame, keys, date: str, step_days: int = 7) -> DataFrame:

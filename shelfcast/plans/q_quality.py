@@ -128,8 +128,7 @@ REL = [("lineitem_to_orders", "lineitem", "l_orderkey", "orders", "o_orderkey"),
                             f"WHERE NOT EXISTS (SELECT 1 FROM {p} y WHERE y.{pk} = x.{ck})"
                             for n, c, ck, p, pk in REL), ops=("D7", "J6"))
 def q_orphans(t):
-    return reduce(DataFrame.unionByName, [Q.orphans(t[c].select(ck), t[p].select(pk), ck, pk, n)
-                                          for n, c, ck, p, pk in REL])
+    return Q.all_orphans({n: t[n] for r in REL for n in (r[1], r[3])}, REL)
 
 
 def _orphan_sql():

@@ -60,3 +60,11 @@ def test_sketches_merge_to_their_bounds(spark):
         assert abs(r.n_distinct - 7001) < Q.HLL_ERROR * 7001
         for q, v in ((0.1, r.p10), (0.5, r.p50), (0.9, r.p90)):
             assert abs(v / 60000 - q) <= Q.KLL_RANK_ERROR
+
+
+def test_orphans_of_many_relations(spark):
+    child = spark.createDataFrame([(1, 1), (2, 9), (9, None), (9, 2)], "a long, b int")
+    parent = spark.createDataFrame([(1,), (2,), (None,)], "k long")
+    tables = {"c": child, "p": parent, "e": parent.limit(0)}
+    got = Q.all_orphans(tables, [("a", "c", "a", "p", "k"), ("b", "c", "b", "p", "k"), ("none", "e", "k", "p", "k"), ("no parents", "p", "k", "e", "k")])
+    assert {r.relation: r.orphans for r in got.collect()} == {"a": 2, "b": 2, "none": 0, "no parents": 3}
