@@ -177,17 +177,6 @@ def backtest_predictions(panel: DataFrame, fold_df: DataFrame, key: str, day: st
     return rearrange(res)
 
 
-def active_series(panel: DataFrame, fold_df: DataFrame, key: str, day: str = "day",
-                  y: str = "n_items", min_daily: float = 0.10) -> DataFrame:
-    """Series whose mean over the WHOLE training calendar (zeros before
-    the series' first day included, Q3) is >= ``min_daily``."""
-    tr = panel.join(F.broadcast(fold_df), F.col(day) <= F.col("train_end"), "inner")
-    n_days = F.datediff("train_end", "calendar_start") + 1
-    return (tr.groupBy("fold", key, "train_end", "calendar_start").agg(F.sum(y).alias("_s"))
-            .select("fold", key, (F.col("_s") / n_days).alias("train_mean"))
-            .filter(F.col("train_mean") >= min_daily))
-
-
 def training_stats(panel: DataFrame, fold_df: DataFrame, key: str, day: str = "day", y: str = "n_items",
                    y_lag: str = "lag_7", min_daily: float = 0.10, step_days: int = 1):
     """MASE scale per fold (E2) and the active-series set (A6) from running

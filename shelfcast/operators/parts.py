@@ -116,11 +116,11 @@ def latest_n(df: DataFrame, keys, order: Column, tie: Column, n: int, salt_col:
 
 
 def planner(df: DataFrame, risk: str, p50: str, p90: str, on_hand: str | None = None,
-            threshold: float = 0.5) -> DataFrame:
-    """Keep risk > threshold, order up to P90 from on-hand (default 0),
-    drop non-positive quantities."""
+            threshold: float = 0.5, moq=0.0, pack=1.0, cap=None) -> DataFrame:
+    """Keep risk > threshold, order up to P90 from on-hand (default 0)
+    under the quantity rules of V3 (whole packs, least order, cap; qty_flags
+    names those that applied), drop non-positive quantities."""
+    from .inventory import order_quantity
     oh = F.coalesce(F.col(on_hand), F.lit(0.0)) if on_hand else F.lit(0.0)
-    q = F.greatest(F.lit(0.0), F.col(p90) - oh)
-    return (df.filter(F.col(risk) > threshold)
-            .withColumn("recommended_qty", F.bround(q, 2))
-            .filter(F.col("recommended_qty") > 0))
+    planned = order_quantity(df.filter(F.col(risk) > threshold), p90, oh, moq, pack, cap)
+    return planned.withColumnRenamed("final_qty", "recommended_qty").filter(F.col("recommended_qty") > 0)

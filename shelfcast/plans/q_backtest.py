@@ -235,7 +235,7 @@ def q_quantiles(t):
        cte(**bt_ctes(active=ACTIVE_SQL)) + "\nSELECT * FROM active", ops=("A6",))
 def q_active(t):
     p = bt_panel(t)
-    return FC.active_series(p, bt_folds(p), KEY)
+    return FC.training_stats(p, bt_folds(p), KEY)[1]
 
 
 @query("E10_backtest_metrics", "fold:s model:s metric:s value:f",
