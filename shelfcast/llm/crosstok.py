@@ -8,7 +8,7 @@ within each document, and the two tables of token ends are joined by Acero on
 ends, every row of the outer join is the overlap of exactly one token of each
 side (the next end of either side is that of the token which covers it), so the
 rows are the links. ``Table.group_by`` counts the links of each document and
-makes of each run one row for a pair of ids: in which documents and how often.
+lists for each run its pairs of ids: in which documents and how often.
 
 Spark adds the partial counts of all runs up to the number of documents that
 hold a pair, marks the best partners of every id of the first tokenizer, joins
@@ -213,8 +213,9 @@ class Alignment:
                            F.col("text").cast("string").alias("text"))
         whole = [("run", T.LongType()), ("pos", T.IntegerType()), ("own", kept.schema["own"].dataType)]
         whole += [(c, T.LongType()) for c in RESULTS[:4]]
-        whole += [("groups_sha256", T.StringType()), ("groups", T.StringType()), ("a", T.IntegerType()), ("b", T.IntegerType()),
-                  ("n", T.IntegerType()), ("docs", T.ArrayType(T.IntegerType()))]
+        whole += [("groups_sha256", T.StringType()), ("groups", T.StringType()), ("pairs", T.ArrayType(T.StructType([
+            T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("n", T.IntegerType()),
+            T.StructField("docs", T.ArrayType(T.IntegerType()))])))]
         schema = T.StructType([T.StructField(c, t) for c, t in whole])
 
         def work(batches):
@@ -224,9 +225,9 @@ class Alignment:
             sides = _sides(key, *sent.value)
             run = TaskContext.get().partitionId() << 32
             for batch in batches:
+                pair = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32()), ("docs", pa.list_(pa.int32()))])
                 kinds = {"own": batch.schema.field("own").type, "groups_sha256": pa.string(), "groups": pa.string(),
-                         "run": pa.int64(), "docs": pa.list_(pa.int32())}
-                kinds |= dict.fromkeys(RESULTS[:4], pa.int64()) | dict.fromkeys(("pos", "a", "b", "n"), pa.int32())
+                         "run": pa.int64(), "pos": pa.int32(), "pairs": pa.list_(pair)} | dict.fromkeys(RESULTS[:4], pa.int64())
 
                 def rows(size, **columns):
                     return pa.RecordBatch.from_arrays(
@@ -243,29 +244,43 @@ class Alignment:
                                **{c: pa.array(x) for c, x in zip(RESULTS, counts)})
                     by = entries(pairs).group_by(["a", "b"], use_threads=False).aggregate(
                         [("first", "sum"), ("docs", "list")]).combine_chunks()
-                    for found in by.to_batches():
-                        yield rows(found.num_rows, run=pa.array([run] * found.num_rows), a=found["a"], b=found["b"],
-                                   n=found["first_sum"], docs=found["docs_list"])
+                    columns = [by[c].combine_chunks().cast(pair.field(f).type) for f, c in
+                               (("a", "a"), ("b", "b"), ("n", "first_sum"), ("docs", "docs_list"))]
+                    held = pa.StructArray.from_arrays(columns, fields=list(pair))
+                    yield rows(1, run=pa.array([run]), pairs=pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held))
 
         self._runs = materialize(kept.mapInArrow(work, schema), "crosstok-runs")
         self._names, self._texts = names, texts
 
+    def _pairs(self) -> DataFrame:
+        """The pairs of each run by number ``i``."""
+        return self._runs.where("pairs IS NOT NULL").select("run", F.posexplode("pairs").alias("i", "p")).select(
+            "run", "i", "p.a", "p.b", "p.n")
+
     def pair_counts(self) -> DataFrame:
         """a, b, documents (how many hold the two ids linked), best (no partner
         of ``a`` is in more documents)."""
-        counts = self._runs.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("documents"))
+        counts = self._pairs().groupBy("a", "b").agg(F.sum("n").alias("documents"))
         most = F.max("documents").over(Window.partitionBy("a"))
         return counts.withColumn("best", F.col("documents") == most)
 
     def documents(self) -> DataFrame:
-        """Every input column but text, and ``RESULTS``."""
-        pairs = self._runs.where("a IS NOT NULL").select("run", "a", "b", "docs")
-        linked = pairs.join(self.pair_counts(), ["a", "b"]).select("run", "documents", "best", F.explode("docs").alias("code")).select(
+        """Every input column but text, and ``RESULTS``.
+
+        The runs' pairs are looked up without their documents; what was found
+        goes back to its run, one row a run on both sides, so the sums by
+        document stay within the run and add no shuffle of their own."""
+        known = self._pairs().join(self.pair_counts(), ["a", "b"]).groupBy("run").agg(
+            F.array_sort(F.collect_list(F.struct("i", "documents", "best"))).alias("known"))
+        runs = self._runs.where("pairs IS NOT NULL").select("run", "pairs")
+        linked = runs.join(known, "run").select("run", F.inline(F.arrays_zip(
+            F.col("pairs.docs").alias("docs"), F.col("known.documents").alias("documents"), F.col("known.best").alias("best")))).select(
+            "run", "documents", "best", F.explode("docs").alias("code")).select(
             "run", F.shiftright("code", TIMES_BITS).alias("pos"), F.col("code").bitwiseAND((1 << TIMES_BITS) - 1).alias("times"),
             "documents", "best")
         sums = linked.groupBy("run", "pos").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"),
                                                 F.sum(F.col("times") * F.col("documents")).alias("count_sum"))
-        rows = self._runs.where("a IS NULL").join(sums, ["run", "pos"], "left")
+        rows = self._runs.where("pairs IS NULL").join(sums, ["run", "pos"], "left")
         zero = F.lit(0).cast("long")
         return rows.select(*[F.col(f"own.c{i}").alias(c) for i, c in enumerate(self._names)], *RESULTS[:4],
                            F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"),
