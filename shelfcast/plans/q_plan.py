@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import inventory as I
 from ..operators import decisions as DC
+from ..operators import forecast as FC
 from ..operators import inventory as INV
 from ..operators.ordering import running
 from ..operators.panel import lead_time_stats, origin_end
@@ -32,7 +33,12 @@ TOP_DRIVERS = ["roll_mean_7", "lag_7", "lt_mean"]
 
 
 def holdout(t) -> DataFrame:
-    return t.memo("holdout", lambda: BT.predictions(t).filter(F.col("fold") == "holdout"))
+    """Predictions of the holdout alone: a plan needs no other fold."""
+    def build():
+        p = BT.bt_panel(t)
+        last = BT.bt_folds(p).filter(F.col("fold") == "holdout")
+        return materialize(FC.backtest_predictions(p, last, KEY), "holdout")
+    return t.memo("holdout", build)
 
 
 def series_info(t) -> DataFrame:
