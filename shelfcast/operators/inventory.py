@@ -39,26 +39,57 @@ def order_quantity(df: DataFrame, order_up_to, position, moq=0.0, pack=1.0, cap=
                      flags.alias("qty_flags"))
 
 
+#: Width of the range frame in which a window of P rows is P steps of ceil(_FRAME / P).
+_FRAME = 1 << 40
+
+
 def rolling_window_totals(panel: DataFrame, params: DataFrame, key: str, day: str, y: str,
                           until: Column | None = None) -> DataFrame:
     """Sum of ``y`` over each full window of ``protection_days`` consecutive
     days per series (V4 input). Per-series window lengths vary, so the sums
-    are prefix-sum differences ``cum(t) - cum(t - P)``, the earlier prefix
-    fetched by an equality join on (series, row number): any window length,
-    constant memory per row."""
+    are prefix-sum differences ``cum(t) - cum(t - P)``. The earlier prefix is
+    the last one at least P rows back: rows are spaced so that P steps fill one
+    range frame of a fixed width. Any window length, one shuffle by ``key``."""
     w = Window.partitionBy(key).orderBy(day)
     p = panel.select(key, day, y)
     if until is not None:
         p = p.filter(until)
     p = p.join(params.select(key, "protection_days"), key, "inner")
     cum = F.sum(y).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    staged = p.select(key, day, "protection_days", cum.alias("_cum"),
-                      F.row_number().over(w).alias("_rn"))
-    earlier = staged.select(key, (F.col("_rn") + F.col("protection_days")).alias("_rn"), F.col("_cum").alias("_prev"))
-    return (staged.filter(F.col("_rn") >= F.col("protection_days")).join(earlier, [key, "_rn"], "left")
+    staged = p.select(key, day, "protection_days", cum.alias("_cum"), F.row_number().over(w).alias("_rn"))
+    days = F.col("protection_days").cast("long")
+    staged = staged.filter(days > 0).withColumn("_at", F.col("_rn") * F.floor((F.lit(_FRAME) + days - 1) / days))
+    back = Window.partitionBy(key).orderBy("_at").rangeBetween(Window.unboundedPreceding, -_FRAME)
+    return (staged.withColumn("_prev", F.last("_cum").over(back)).filter(F.col("_rn") >= F.col("protection_days"))
             .select(key, day, "protection_days", (F.col("_cum") - F.coalesce("_prev", F.lit(0.0))).alias("total")))
 
 
+def window_total_counts(panel: DataFrame, params: DataFrame, key: str, day: str = "day", y: str = "n_items",
+                        until: Column | None = None) -> DataFrame:
+    """How often each total occurs among the full windows of ``protection_days``
+    days of a series (``total``, ``n``). A total changes only where a day with
+    demand enters or leaves its window, so only those days (``y`` not 0) are
+    shuffled and sorted, and a total counts for the days up to the next
+    change. ``panel`` has one row per series and day without gaps."""
+    at = F.unix_date(day) if panel.schema[day].dataType.typeName() == "date" else F.col(day)
+    p = panel if until is None else panel.filter(until)
+    p = p.select(key, at.cast("long").alias("_at"), F.col(y).cast("double").alias("_y"))
+    span = p.groupBy(key).agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    days = F.col("protection_days").cast("long")
+    ends = span.join(params.select(key, "protection_days"), key).select(
+        key, "protection_days", days.alias("_days"), (F.col("_first") + days - 1).alias("_begin"), "_last").where(
+        "_days > 0 AND _begin <= _last")
+    moves = F.array(F.struct(F.greatest("_at", "_begin").alias("_at"), F.col("_y").alias("_d")),
+                    F.struct((F.col("_at") + F.col("_days")).alias("_at"), (-F.col("_y")).alias("_d")))
+    changes = p.where("_y <> 0").join(ends, key).select(key, "protection_days", "_last", F.inline(moves)).where("_at <= _last")
+    start = ends.select(key, "protection_days", "_last", F.col("_begin").alias("_at"), F.lit(0.0).alias("_d"))
+    order = Window.partitionBy(key).orderBy("_at")
+    until_next = F.coalesce(F.lead("_at").over(order), F.col("_last") + 1) - F.col("_at")
+    totals = changes.unionByName(start).select(
+        key, "protection_days", F.sum("_d").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("total"), until_next.alias("_n"))
+    return totals.where("_n > 0").groupBy(key, "protection_days", "total").agg(F.sum("_n").alias("n"))
+
+
 def interval_quantiles(panel: DataFrame, params: DataFrame, key: str, day: str = "day",
                        y: str = "n_items", alpha: float | Column = 0.9,
                        until: Column | None = None, approx: bool = False) -> DataFrame:
@@ -67,15 +98,24 @@ def interval_quantiles(panel: DataFrame, params: DataFrame, key: str, day: str =
     full (L+R)-day window in the series' history -- never the sum of daily
     quantiles. ``params`` holds ``protection_days`` per series. ``approx``
     switches to ``percentile_approx`` for continuous, very large groups."""
+    if not approx:
+        return quantiles_of_counts(window_total_counts(panel, params, key, day, y, until), key, alpha)
     tot = rolling_window_totals(panel, params, key, day, y, until)
-    qs = F.array(F.lit(0.1), F.lit(0.5), _c(alpha))
-    if approx:
-        q = F.percentile_approx("total", qs, 10000).cast("array<double>")
-    else:
-        q = F.percentile("total", qs)
-    return (tot.groupBy(key, "protection_days")
-            .agg(q.alias("_q"), F.avg("total").alias("mean_lt"), F.count(F.lit(1)).alias("n_windows"))
-            .select(key, F.col("protection_days").cast("double").alias("protection_days"),
+    q = F.percentile_approx("total", F.array(F.lit(0.1), F.lit(0.5), _c(alpha)), 10000).cast("array<double>")
+    return _interval_columns(tot.groupBy(key, "protection_days").agg(
+        q.alias("_q"), F.avg("total").alias("mean_lt"), F.count(F.lit(1)).alias("n_windows")), key)
+
+
+def quantiles_of_counts(counts: DataFrame, key: str, alpha: float | Column = 0.9) -> DataFrame:
+    """``interval_quantiles`` from the counts of window totals."""
+    n = F.sum("n")
+    q = F.percentile("total", F.array(F.lit(0.1), F.lit(0.5), _c(alpha)), F.col("n"))
+    return _interval_columns(counts.groupBy(key, "protection_days").agg(
+        q.alias("_q"), (F.sum(F.col("total") * F.col("n")) / n).alias("mean_lt"), n.alias("n_windows")), key)
+
+
+def _interval_columns(df: DataFrame, key: str) -> DataFrame:
+    return (df.select(key, F.col("protection_days").cast("double").alias("protection_days"),
                     F.col("_q")[0].alias("p10_lt"), F.col("_q")[1].alias("p50_lt"),
                     F.col("_q")[2].alias("p_alpha_lt"), "mean_lt", "n_windows"))
 

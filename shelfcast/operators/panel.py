@@ -70,22 +70,34 @@ def lead_time_stats(lines: DataFrame, origin, key: str, status: str, delivered_v
 
 
 def densify(activity: DataFrame, origin, key, day: str = "day", y: str = "n_items",
-            carry=("avg_price", "avg_freight"), step_days: int = 1) -> DataFrame:
+            carry=("avg_price", "avg_freight"), step_days: int = 1, lags=()) -> DataFrame:
     """Dense series x day grid from each series' own first day through
     the origin, zero-filled. Each activity row generates itself plus the empty
     days up to the next activity row (``lead`` in one window), so no calendar
-    cross join and no join back to the activity: one shuffle by ``key``."""
+    cross join and no join back to the activity: one shuffle by ``key``.
+
+    ``lags`` adds lag_k of ``y`` (W1) from the same window: the value k periods
+    back is one of the last k activity rows' or 0, so only the activity is
+    sorted, never the dense rows."""
     keys = [key] if isinstance(key, str) else list(key)
     w = Window.partitionBy(*keys).orderBy(day)
     nxt = F.lead(day).over(w)
     gap_end = F.coalesce(F.date_sub(nxt, step_days), _d(origin))
     step = F.expr(f"INTERVAL {step_days} DAYS")
-    g = (activity.select("*", gap_end.alias("_end"))
+    known = ["*", gap_end.alias("_end")]
+    if lags:
+        near = F.collect_list(F.struct(F.col(day), F.col(y))).over(w.rowsBetween(-max(lags), 0))
+        known += [F.map_from_entries(near).alias("_near"), F.first(day).over(w).alias("_first")]
+    g = (activity.select(*known)
          .select("*", F.explode(F.sequence(F.col(day), F.col("_end"), step)).alias("_d")))
     active = F.col("_d") == F.col(day)
     out = [*[F.col(k) for k in keys], F.col("_d").alias(day),
            F.when(active, F.col(y)).otherwise(F.lit(0.0)).alias(y)]
     out += [F.when(active, F.col(c)).alias(c) for c in carry]
+    for k in lags:
+        back = F.date_sub("_d", k * step_days)
+        value = F.when(F.map_contains_key("_near", back), F.try_element_at("_near", back)).otherwise(F.lit(0.0))
+        out.append(F.when(back >= F.col("_first"), value).alias(f"lag_{k}"))
     return g.select(*out)
 
 

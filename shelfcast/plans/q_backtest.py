@@ -24,7 +24,7 @@ def demand(t, origin=ORIGIN):
     """Dense daily demand panel with lag_7 (for the MASE scale)."""
     def build():
         act = activity(t, origin).select(KEY, "day", "n_items")
-        return P.add_lags(P.densify(act, origin, KEY, carry=()), KEY, "day", "n_items", (7,))
+        return P.densify(act, origin, KEY, carry=(), lags=(7,))
     return t.memo(f"demand_{origin}", build)
 
 

@@ -87,7 +87,28 @@ def plan_base(t, alpha=SERVICE_ALPHA):
     return t.memo(f"plan_base_{alpha}", lambda: materialize(_plan_base(t, alpha), f"plan_base_{alpha}"))
 
 
+def plan_series(t):
+    """What a plan knows of each series before the service level enters."""
+    return t.memo("plan_series", lambda: materialize(_plan_series(t), "plan_series"))
+
+
+def window_counts(t):
+    """Totals of every series' protection windows up to the train end, with
+    their counts: all service levels take their quantiles from them."""
+    def build():
+        base = plan_series(t)
+        hist = BT.bt_panel(t).join(base.select(KEY, F.col("train_end").alias("_te")), KEY)
+        return materialize(INV.window_total_counts(hist, base.select(KEY, "protection_days"), KEY, until=F.col("day") <= F.col("_te")),
+                           "window_counts")
+    return t.memo("window_counts", build)
+
+
 def _plan_base(t, alpha):
+    iq = INV.quantiles_of_counts(window_counts(t), KEY, alpha)
+    return plan_series(t).join(iq.drop("protection_days"), KEY, "left")
+
+
+def _plan_series(t):
     fc = holdout(t)
     ranks = ranked_series(fc)
     f = (fc.groupBy(KEY).agg(F.min("day").alias("date"), F.min("train_end").alias("train_end"),
@@ -97,15 +118,10 @@ def _plan_base(t, alpha):
     info = series_info(t)
     lead = F.least(F.greatest(F.bround("lt_mean", 0), F.lit(1.0)), F.lit(float(MAX_LEAD_DAYS)))
     daily = F.greatest(F.col("_med_p50"), F.lit(0.01))
-    base = ranks.join(f, KEY).join(info, KEY).select(
+    return ranks.join(f, KEY).join(info, KEY).select(
         "*", daily.alias("daily_p50"), F.bround(F.lit(7.0) * daily, 2).alias("on_hand"),
         I.protection_interval_days(lead.cast("int"), REVIEW_DAYS).alias("protection_days"),
         I.unit_cost("price").alias("unit_cost"), I.unit_margin("price").alias("unit_margin"))
-    base = materialize(base, "plan_series")
-    hist = BT.bt_panel(t).join(base.select(KEY, F.col("train_end").alias("_te")), KEY)
-    iq = INV.interval_quantiles(hist, base.select(KEY, "protection_days"), KEY, alpha=alpha,
-                                until=F.col("day") <= F.col("_te"))
-    return base.join(iq.drop("protection_days"), KEY, "left")
 
 
 def recommendations(t, alpha=SERVICE_ALPHA) -> DataFrame:

@@ -1,10 +1,15 @@
 """Closed-form inventory cases (V1-V5, V7, V8)."""
 
+import collections
+import datetime as dt
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from shelfcast.functions import inventory as I
 from shelfcast.operators import inventory as INV
+from shelfcast.operators import panel as P
 
 
 def test_protection_interval_and_rop(spark):
@@ -84,3 +89,32 @@ def test_window_totals_have_no_longest_window(spark):
     params = spark.createDataFrame([(1, 35)], "k int, protection_days int")
     got = INV.rolling_window_totals(panel, params, "k", "day", "y").collect()
     assert len(got) == 120 - 34 and {r.total for r in got} == {70.0}
+
+
+def test_window_totals_are_counted_without_a_second_shuffle(spark):
+    """Counts equal those of every window by itself, for sparse and short series."""
+    rng = random.Random(5)
+    rows = [(k, dt.date(2001, 1, 1) + dt.timedelta(days=i), float(rng.choice((0, 0, 0, 1, 4)))) for k, n in ((1, 80), (2, 9), (3, 2), (4, 30))
+            for i in range(n)]
+    panel = spark.createDataFrame(rows, "k int, day date, y double")
+    need = {1: 7, 2: 9, 3: 5, 4: 1}
+    params = spark.createDataFrame(list(need.items()), "k int, protection_days int")
+    want = collections.Counter()
+    for k, p in need.items():
+        ys = [y for s, _, y in rows if s == k]
+        want.update((k, sum(ys[i:i + p])) for i in range(len(ys) - p + 1))
+    counts = INV.window_total_counts(panel, params, "k", "day", "y")
+    assert {(r.k, r.total): r.n for r in counts.collect()} == dict(want)
+    totals = INV.rolling_window_totals(panel, params, "k", "day", "y")
+    assert collections.Counter((r.k, r.total) for r in totals.collect()) == want
+    plan = totals._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
+def test_lags_come_with_the_dense_rows(spark):
+    days = [(1, 0, 2.0), (1, 3, 5.0), (1, 4, 1.0), (1, 20, 7.0), (2, 18, 4.0)]
+    act = spark.createDataFrame([(k, dt.date(2001, 1, 1) + dt.timedelta(days=d), y) for k, d, y in days], "k int, day date, n_items double")
+    got = P.densify(act, "2001-01-25", "k", carry=(), lags=(1, 7))
+    plain = P.add_lags(P.densify(act, "2001-01-25", "k", carry=()), "k", "day", "n_items", (1, 7))
+    first = lambda r: r[:2]
+    assert sorted(map(tuple, got.collect()), key=first) == sorted(map(tuple, plain.collect()), key=first)
