@@ -3,8 +3,9 @@
 Old shards supply their bytes, new shards demand equal capacities; bytes that
 stay in their shard cost nothing, bytes that move cost one each. A minimum-cost
 flow over the shards says how many bytes each old shard sends to each new one
-and so moves the fewest bytes; blocks of documents then fill those amounts, and
-only documents whose shard changes are written anew.
+and so moves the fewest bytes; blocks of documents then fill those amounts.
+``Plan.write`` lays out every document in the new shards; ``Plan.move``, for old
+shards that lie in place already, writes only those whose shard changes.
 
 Within an old shard documents lie in blocks by falling size class, so that
 every border between two new shards falls among small documents. Offsets are
@@ -160,13 +161,21 @@ class Plan:
         return self._placed(base, self.blocks).withColumn(
             "slot", (F.element_at("firsts", F.col("shard")) + F.row_number().over(order) - 1).cast("long")).select(*names)
 
+    def _written(self, rows: DataFrame, root: str | None) -> DataFrame:
+        spark = rows.sparkSession
+        root = root or f"{ensure_checkpoint_dir(spark).rstrip('/')}/reshard-{uuid.uuid4().hex}"
+        rows.write.partitionBy("shard").parquet(root)
+        return spark.read.schema(rows.schema).parquet(root)
+
     def move(self, docs: DataFrame, root: str | None = None) -> DataFrame:
         """Writes the documents whose shard changes to ``root``/shard=K and
         returns them as read from there. What stays is not touched."""
-        root = root or f"{ensure_checkpoint_dir(docs.sparkSession).rstrip('/')}/reshard-{uuid.uuid4().hex}"
-        moved = self.assign(docs).where("shard != old_shard")
-        moved.write.partitionBy("shard").parquet(root)
-        return docs.sparkSession.read.schema(moved.schema).parquet(root)
+        return self._written(self.assign(docs).where("shard != old_shard"), root)
+
+    def write(self, docs: DataFrame, root: str | None = None) -> DataFrame:
+        """Writes every document, moved or not, to ``root``/shard=K and returns
+        the whole new layout as read from there."""
+        return self._written(self.assign(docs), root)
 
 
 def old_layout(n_old: int = OLD_SHARDS) -> Column:

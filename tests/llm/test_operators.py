@@ -189,6 +189,18 @@ def test_resharding_places_every_row(spark, docs, empty):
     assert reshard.Plan(empty, reshard.old_layout(4), 4, 6).assign(empty).count() == 0
 
 
+def test_resharding_reports_every_row_from_the_new_shards(spark, tmp_path):
+    from shelfcast.llm import queries
+    rows = [(i, None if i % 50 == 0 else "y" * (i % 90), "en", "s", i % 90) for i in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op5_flow_resharding(spark, str(tmp_path))
+    files = out.inputFiles()
+    assert files and all("/shard=" in f for f in files)
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == len(rows) and any(r.shard == r.old_shard for r in got.values())
+    assert all(got[i].size == len(t or "") + 8 for i, t, *_ in rows)
+
+
 def test_resharding_is_near_even(spark):
     rng = random.Random(2)
     frame = spark.createDataFrame([(i, "x" * rng.randint(1, 400)) for i in range(3000)], "doc_id long, text string")
