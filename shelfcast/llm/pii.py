@@ -14,10 +14,9 @@ to the next lower one; a candidate of another form at or above it is added.
 One pass over the texts stores candidates with their features as arrays of the
 document's row, so nothing is exploded for scoring, and no text is shuffled.
 The trees grow level by level from sums of gradients by (kind, node, feature,
-value) over the distinct feature vectors; features have few values, and at most
-``VECTORS`` vectors, those of the least hashes, are learnt from (the bound of
-the labelled rows). A vector counts 1 + ln(its occurrences), so that a large
-group of copies does not decide. A finished tree is a SQL expression.
+value) over all distinct feature vectors of the corpus; features have few
+values, so the vectors are far fewer than the candidates. A vector counts
+1 + ln(its occurrences), so that a large group of copies does not decide. A finished tree is a SQL expression.
 
 Spans count code points, the end exclusive. Defined results: null text counts
 as empty and has no spans; each row is judged by itself, so repeated rows get
@@ -76,7 +75,6 @@ CUES = {
 BEFORE, AFTER = 32, 8
 
 PRECISION = 0.9
-VECTORS = 1 << 16
 ROUNDS, RATE, SHRINK = 8, 0.5, 1.0
 #: Every how many-th of the documents calibrates thresholds (by text hash).
 FOLDS = 5
@@ -233,8 +231,7 @@ def fit(vectors: DataFrame) -> Trees:
     """Learn from distinct vectors: kind, held (calibration fold), base, x, n."""
     trees = Trees()
     rows = vectors.select("kind", "held", F.col("base").cast("int").alias("y"), "x", (1 + F.log("n")).alias("w"))
-    # At most VECTORS rows: one task without a shuffle.
-    train = rows.where(~F.col("held")).coalesce(1)
+    train = rows.where(~F.col("held"))
     for r in train.groupBy("kind").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("y")).collect():
         share = min(max(r.y / r.w, 1e-3), 1 - 1e-3)
         trees.start[r.kind] = math.log(share / (1 - share))
@@ -272,7 +269,7 @@ def fit(vectors: DataFrame) -> Trees:
                 leaves += [round(-RATE * g / (h + SHRINK), 9) for g, h in part]
             trees.trees[k].append((split, inner, leaves))
 
-    held = rows.where("held").coalesce(1).select("kind", "y", "w", F.round(trees.margin(F.col("kind"), F.col("x")), 9).alias("margin"))
+    held = rows.where("held").select("kind", "y", "w", F.round(trees.margin(F.col("kind"), F.col("x")), 9).alias("margin"))
     seen = held.groupBy("kind", "margin").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("y")).collect()
     for k in trees.start:
         w = y = 0.0
@@ -299,14 +296,14 @@ def _candidate_rows(docs: DataFrame, names: list[str]) -> DataFrame:
 
 
 def vectors_of(rows: DataFrame) -> DataFrame:
-    """Distinct feature vectors of all candidates with their occurrences."""
+    """Every distinct feature vector of all candidates with its occurrences."""
     def numbered(n: int, kind: str) -> Column:
         return F.transform(kind, lambda c: F.struct(F.lit(n).alias("kind"), c["base"].alias("base"), c["x"].alias("x")))
 
     each = F.concat(*[numbered(n, k) for n, k in enumerate(KINDS)])
     keys = ["kind", "held", "base", "x"]
     counted = rows.select("held", F.inline(each)).groupBy(*keys).agg(F.count("*").alias("n"))
-    return materialize(counted.orderBy(F.xxhash64(*keys), *keys).limit(VECTORS), "pii-vectors")
+    return materialize(counted, "pii-vectors")
 
 
 def _all_spans(rows: DataFrame, trees: Trees | None) -> Column:

@@ -126,3 +126,11 @@ def test_running_results(spark):
 def test_nothing_to_find(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert pii.redact(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_trees_learn_from_every_vector(spark):
+    n = 70_000
+    one = F.array(F.struct(F.lit(False).alias("base"), F.array((F.col("id") % 300).cast("int"), (F.col("id") / 300).cast("int")).alias("x")))
+    rows = spark.range(n).select(F.lit(False).alias("held"), one.alias("email"),
+                                 *[F.slice(one, 1, 0).alias(k) for k in pii.KINDS if k != "email"])
+    assert pii.vectors_of(rows).count() == n
