@@ -71,3 +71,21 @@ def test_as_of_join_takes_the_last_row_before_each_anchor(spark):
         assert got[i] == (last[2], last[3], day(last[1])), (i, k, n)
     near = SC.as_of_join(left, right, "key", "at", "day", ["x"], found="found", most_days=3)
     assert {r.id: r.x for r in near.collect() if r.x is not None} == {1: 1.0, 2: 1.0, 7: 4.0}
+
+
+def test_tree_growing_passes_stay_small_and_exact(spark, monkeypatch):
+    """Leaf quantiles come from counts by binary digits, never from all of a
+    group's distinct values, and equal the exact ones."""
+    rng = random.Random(3)
+    rows = [("a", float(rng.randint(0, 1)), rng.choice((1, -1)) * rng.random() * 10 ** rng.randint(-3, 5)) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "fold string, x double, y double")
+    for few in (QB.FEW, 3):
+        monkeypatch.setattr(QB, "FEW", few)
+        model = QB.fit(df, "fold", "y", ["x"], rounds=1, rate=1.0)
+        ys = sorted(y for _, _, y in rows)
+        for q, level in enumerate((0.1, 0.5, 0.9)):
+            at = (len(ys) - 1) * level
+            low, high = ys[int(at)], ys[min(int(at) + 1, len(ys) - 1)]
+            assert model.start[0, q] == pytest.approx(low + (high - low) * (at - int(at)), rel=1e-12)
+    import inspect
+    assert "percentile(" not in inspect.getsource(QB.fit)
