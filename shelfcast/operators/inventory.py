@@ -65,23 +65,24 @@ def rolling_window_totals(panel: DataFrame, params: DataFrame, key: str, day: st
 
 
 def window_total_counts(panel: DataFrame, params: DataFrame, key: str, day: str = "day", y: str = "n_items",
-                        until: Column | None = None) -> DataFrame:
+                        until: Column | None = None, last: str | None = None) -> DataFrame:
     """How often each total occurs among the full windows of ``protection_days``
     days of a series (``total``, ``n``). A total changes only where a day with
     demand enters or leaves its window, so only those days (``y`` not 0) are
     shuffled and sorted, and a total counts for the days up to the next
-    change. ``panel`` has one row per series and day without gaps."""
-    at = F.unix_date(day) if panel.schema[day].dataType.typeName() == "date" else F.col(day)
+    change. ``panel`` has one row per series and day without gaps, or, with
+    ``last`` (a column: the last day of the row's series), only its first day and the days with demand."""
+    number = lambda c: (F.unix_date(c) if panel.schema[c].dataType.typeName() == "date" else F.col(c)).cast("long")
     p = panel if until is None else panel.filter(until)
-    p = p.select(key, at.cast("long").alias("_at"), F.col(y).cast("double").alias("_y"))
-    span = p.groupBy(key).agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    p = p.select(key, number(day).alias("_at"), F.col(y).cast("double").alias("_y"), number(last or day).alias("_end"))
+    span = p.groupBy(key).agg(F.min("_at").alias("_first"), F.max("_end").alias("_last"))
     days = F.col("protection_days").cast("long")
     ends = span.join(params.select(key, "protection_days"), key).select(
         key, "protection_days", days.alias("_days"), (F.col("_first") + days - 1).alias("_begin"), "_last").where(
         "_days > 0 AND _begin <= _last")
     moves = F.array(F.struct(F.greatest("_at", "_begin").alias("_at"), F.col("_y").alias("_d")),
                     F.struct((F.col("_at") + F.col("_days")).alias("_at"), (-F.col("_y")).alias("_d")))
-    changes = p.where("_y <> 0").join(ends, key).select(key, "protection_days", "_last", F.inline(moves)).where("_at <= _last")
+    changes = p.where("_y <> 0").drop("_end").join(ends, key).select(key, "protection_days", "_last", F.inline(moves)).where("_at <= _last")
     start = ends.select(key, "protection_days", "_last", F.col("_begin").alias("_at"), F.lit(0.0).alias("_d"))
     order = Window.partitionBy(key).orderBy("_at")
     until_next = F.coalesce(F.lead("_at").over(order), F.col("_last") + 1) - F.col("_at")

@@ -16,8 +16,9 @@ ALPHAS = (0.9, 0.95, 0.99)
 
 def train_mean(t, base):
     """A5: mean demand per series before its first forecast day (own span)."""
-    p = BT.bt_panel(t).join(base.select(KEY, "date"), KEY)
-    return p.filter(F.col("day") < F.col("date")).groupBy(KEY).agg(F.avg("n_items").alias("train_mean"))
+    p = BT.bt_activity(t).join(base.select(KEY, "date"), KEY)
+    days = F.datediff(F.first("date"), F.min("day"))
+    return p.filter(F.col("day") < F.col("date")).groupBy(KEY).agg((F.sum("n_items") / days).alias("train_mean"))
 
 
 def replay_input(t, base):

@@ -60,8 +60,7 @@ FROM pm m JOIN pm q ON q.fold = m.fold AND q.model = 'q_p50' WHERE m.model = 'ma
 @query("A10_forecast_lift", "lift_pct:f", _lift_sql(), ops=("A10",))
 def q_lift(t):
     from . import q_backtest as BT
-    p = BT.bt_panel(t)
-    scales, active = FC.training_stats(p, BT.bt_folds(p), KEY)
+    scales, active = FC.training_stats(BT.bt_activity(t), BT.activity_folds(t), KEY)
     m = FC.backtest_metrics(BT.predictions(t), scales, active, KEY)
     w = (m.filter(F.col("metric") == "wape").groupBy("fold")
          .agg(F.first(F.when(F.col("model") == "ma", F.col("value")), ignorenulls=True).alias("ma"),
