@@ -33,19 +33,28 @@ def category_codes(df: DataFrame, col: str, out: str | None = None) -> DataFrame
             .withColumn(out, F.coalesce(F.col(out), F.lit(-1))))
 
 
+#: Arguments of ``densify`` for the features of a weekly panel.
+WEEKLY = dict(lags=(1, 2, 4, 8, 12), windows=(4, 8, 12), min_mean=1, min_std=2, fill_std=0.0, step_days=7)
+
+
 def weekly_features(panel: DataFrame, key: str, week: str, y: str, lags=(1, 2, 4, 8, 12),
                     windows=(4, 8, 12), lag_domain=()) -> DataFrame:
     """W1/W3/W4/W7 on the weekly panel: lags, rolling mean (min 1) and std
     (min 2, NULL -> 0) of previous weeks, calendar, lagged domain columns.
-    One partitioning by ``key`` serves every window."""
+    One partitioning by ``key`` serves every window. A panel that
+    ``densify`` made with ``WEEKLY`` has all but the calendar: its dense rows
+    are not sorted again."""
     from .panel import add_rolling
     w = Window.partitionBy(key).orderBy(week)
+    d = F.col(week)
+    calendar = [F.weekofyear(d).alias("week_of_year"), F.month(d).alias("month"), F.quarter(d).alias("quarter")]
+    names = [f"lag_{k}" for k in lags] + [f"roll_{s}_{k}" for k in windows for s in ("mean", "std")] + [f"{c}_lag1" for c in lag_domain]
+    if set(names) <= set(panel.columns):
+        return panel.select("*", *calendar)
     cols = [F.lag(y, k).over(w).alias(f"lag_{k}") for k in lags]
     cols += [F.lag(c, 1).over(w).alias(f"{c}_lag1") for c in lag_domain]
-    d = F.col(week)
-    cols += [F.weekofyear(d).alias("week_of_year"), F.month(d).alias("month"), F.quarter(d).alias("quarter")]
     rolled = add_rolling(panel, key, week, y, windows, min_mean=1, min_std=2, fill_std=0.0)
-    return rolled.select("*", *cols)
+    return rolled.select("*", *cols, *calendar)
 
 
 def extend_future(panel: DataFrame, key: str, week: str, y: str, steps=(7, 14),

@@ -54,7 +54,7 @@ def weekly_extract(t):
     wk = F.to_date(F.date_trunc("week", "l_shipdate"))
     g = (li.groupBy(F.col("l_partkey").alias("part_id"), wk.alias("week"))
          .agg(F.sum("l_quantity").alias("consumption_qty"), F.count(F.lit(1)).cast("double").alias("n_lines"),
-              F.max(F.when(F.col("l_returnflag") == "R", F.lit("Yes")).otherwise(F.lit("No"))).alias("_ret")))
+              F.max(F.coalesce(F.col("l_returnflag") == "R", F.lit(False))).alias("_ret")))
     return g.select(F.lit(SITE).alias("site_id"), "part_id",
                     F.concat_ws("_", F.lit(SITE), F.col("part_id").cast("string")).alias("series_id"),
                     "week", "consumption_qty", "n_lines", PT.flag01("_ret").alias("had_return"))
@@ -64,7 +64,7 @@ def weekly_panel(t):
     def build():
         ext = weekly_extract(t).select("part_id", "week", "consumption_qty", "n_lines", "had_return")
         d = P.densify(ext, WEEK_ORIGIN, "part_id", day="week", y="consumption_qty",
-                      carry=("n_lines", "had_return"), step_days=7)
+                      carry=("n_lines", "had_return"), carry_lags=("n_lines",), **PT.WEEKLY)
         d = d.withColumn("n_lines", F.coalesce("n_lines", F.lit(0.0))).withColumn(
             "had_return", F.coalesce("had_return", F.lit(0)))
         return named(PT.weekly_features(d, "part_id", "week", "consumption_qty", lag_domain=("n_lines",)))
@@ -142,7 +142,8 @@ def q_continuity(t):
 SELECT * FROM wfeat WHERE (series_id, week) IN (SELECT (series_id, max(week)) FROM wfeat GROUP BY series_id)""",
        ops=("W12", "J10"))
 def q_latest(t):
-    return PT.latest_row(weekly_panel(t), "part_id", "week")
+    # Every part's rows run to the origin: none of its earlier weeks can be the last.
+    return PT.latest_row(weekly_panel(t).where(F.col("week") == F.to_date(F.lit(WEEK_ORIGIN))), "part_id", "week")
 
 
 @query("W13_next_period_features", WFEAT_SPEC.replace("had_return:i ", ""), cte(**W_CTES) + """

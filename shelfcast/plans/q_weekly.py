@@ -16,7 +16,7 @@ from ..operators import panel as P
 from ..operators import parts as PT
 from ..session import materialize
 from .q_backtest import METRICS_SQL, POINT_SQL, QM_SQL, QR_SQL
-from .q_parts import SITE, W_CTES, WEEK_ORIGIN, named, parts_master, weekly_panel
+from .q_parts import SITE, W_CTES, WEEK_ORIGIN, named, parts_master, weekly_extract
 from .registry import cte, query
 
 KEY = "part_id"
@@ -29,22 +29,28 @@ def slot():
     return F.pmod(weeks, F.lit(SEASON))
 
 
-def panel(t):
-    return t.memo("weekly_bt_panel", lambda: materialize(
-        weekly_panel(t).select(KEY, "week", "consumption_qty", "lag_4"), "weekly_bt_panel"))
+def activity(t):
+    """The weeks in which a part was shipped: all other weeks up to the origin have no demand."""
+    return t.memo("weekly_activity", lambda: materialize(
+        weekly_extract(t).select(KEY, "week", "consumption_qty"), "weekly_activity"))
+
+
+def _span(t):
+    first = F.min("week")
+    return activity(t).agg(first.alias("_first"), F.when(first.isNotNull(), F.to_date(F.lit(WEEK_ORIGIN))).alias("_last"))
 
 
 def folds(t):
-    return FC.folds(panel(t), "week", FC.WEEKLY_FOLDS, STEP)
+    return t.memo("weekly_folds", lambda: materialize(FC.folds_of_span(_span(t), FC.WEEKLY_FOLDS, STEP), "weekly_folds"))
 
 
 def _predict(p, fold_df):
     return FC.backtest_predictions(p, fold_df, KEY, "week", "consumption_qty", season=SEASON, window=WINDOW,
-                                   step_days=STEP, slot=slot())
+                                   step_days=STEP, slot=slot(), cycle=SEASON)
 
 
 def predictions(t):
-    return t.memo("weekly_preds", lambda: materialize(_predict(panel(t), folds(t)), "weekly_preds"))
+    return t.memo("weekly_preds", lambda: materialize(_predict(activity(t), folds(t)), "weekly_preds"))
 
 
 # ---------------------------------------------------------------- SQL pieces
@@ -107,7 +113,7 @@ def q_predictions(t):
        cte(**PRED_CTES, active=WACTIVE_SQL, scale=WSCALE_SQL, pm=POINT_SQL, qm=QM_SQL) + METRICS_SQL,
        ops=("E1", "E2", "E3", "E4", "E5", "E6", "E7", "E8", "E9", "E10"))
 def q_metrics(t):
-    scales, active = FC.training_stats(panel(t), folds(t), KEY, "week", "consumption_qty", "lag_4", step_days=STEP)
+    scales, active = FC.training_stats(activity(t), folds(t), KEY, "week", "consumption_qty", SEASON, step_days=STEP)
     return FC.backtest_metrics(predictions(t), scales, active, KEY)
 
 
@@ -140,7 +146,7 @@ STOCK = ("on_hand_qty", "backorder_qty", "blocked_qty")
 
 def part_features(t):
     d = P.densify(stock_columns(t), WEEK_ORIGIN, KEY, day="week", y="consumption_qty",
-                  carry=(*STOCK, "planned_maintenance"), step_days=STEP)
+                  carry=(*STOCK, "planned_maintenance"), carry_lags=STOCK, **PT.WEEKLY)
     d = d.fillna(0.0, subset=list(STOCK)).fillna(0, subset=["planned_maintenance"])
     f = PT.weekly_features(d, KEY, "week", "consumption_qty", lag_domain=STOCK)
     f = f.withColumns({"day_of_month": F.dayofmonth("week"), "day_of_week": F.weekday("week")})
@@ -213,8 +219,7 @@ SELECT f.series_id, f.week, f.horizon, q[1] AS p10, q[2] AS p50, q[3] AS p90 FRO
 def q_next_forecast(t):
     """P10, P50 and P90 of the two weeks after the origin: the weekly model
     trained on everything up to the origin."""
-    p = panel(t).select(KEY, "week", "consumption_qty")
-    both = PT.extend_future(p, KEY, "week", "consumption_qty").drop("is_future")
-    fold = FC.folds(p, "week", [("next", 0, -1, -2)], STEP)
-    out = _predict(both, fold)
+    # Its two test weeks, after the last, are laid out by the fold.
+    fold = FC.folds_of_span(_span(t), [("next", 0, -1, -2)], STEP)
+    out = _predict(activity(t), fold)
     return named(out).select("series_id", "week", "horizon", *[F.col(f"pred_{q}").alias(q) for q in ("p10", "p50", "p90")])
