@@ -1,6 +1,7 @@
 """Learned quantiles, permutation importance and as-of joins on small cases."""
 
 import datetime as dt
+import hashlib
 import random
 
 import pytest
@@ -57,6 +58,37 @@ def test_permutation_keeps_the_values_of_a_column(spark):
     assert moved.where("v <> v_permuted").count() > 400
 
 
+def test_permutation_follows_the_hashes_and_sorts_no_rows(spark):
+    """Each row takes the value of the row before it by md5 in its bucket, nulls
+    too; the rows themselves are not sorted."""
+    rows = [(i, None if i % 9 == 0 else f"k{i}", None if i % 5 == 0 else float(i), dt.date(2020, 1, 1 + i % 28)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "o0 long, key string, _bucket double, day date")
+    moved = IM.permuted(df, ["o0", "key"], ["_bucket", "day"])
+    assert moved.columns == ["o0", "key", "_bucket", "day", "_bucket_permuted", "day_permuted"]
+    plan = moved._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Window" not in plan
+
+    def digest(r, salt):
+        return hashlib.md5("|".join([str(r[0]), *([r[1]] if r[1] else []), salt]).encode()).hexdigest()
+
+    want = {r[0]: list(r) for r in rows}
+    for column, name in ((2, "_bucket"), (3, "day")):
+        buckets = {}
+        for r in rows:
+            buckets.setdefault(digest(r, "")[:2], []).append(r)
+        for own in buckets.values():
+            own.sort(key=lambda r: digest(r, name))
+            for before, r in zip([own[-1], *own], own):
+                want[r[0]].append(before[column])
+    assert {r[0]: list(r) for r in moved.collect()} == want
+
+
+def test_permutation_breaks_equal_halves_of_hashes():
+    import numpy as np
+    order = np.array([[7, 3], [7, 1], [7, 2], [5, 9], [1, 1]], "uint64")
+    assert IM._source(order, np.array([0, 0, 0, 0, 1])).tolist() == [2, 3, 1, 0, 4]
+
+
 def test_as_of_join_takes_the_last_row_before_each_anchor(spark):
     day = lambda n: None if n is None else dt.date(2020, 1, 1) + dt.timedelta(days=n)
     history = [("a", 1, 1.0, "p"), ("a", 5, None, "q"), ("a", 9, 3.0, None), ("b", 2, 4.0, "r"), (None, 1, 9.0, "s"), ("a", None, 8.0, "t")]
