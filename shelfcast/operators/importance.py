@@ -31,18 +31,21 @@ def _hash(keys: list[str], salt: str) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(f"`{k}`").cast("string") for k in keys], F.lit(salt)))
 
 
-def _source(order, bucket):
+def _source(high, low, bucket):
     """Number of the row whose value each row takes: the one before it in the
-    order of the hashes (pairs of numbers) among its bucket's, or the last."""
+    order of the hashes (two halves) among its bucket's, or the last."""
     import numpy as np
-    source = np.empty(len(order), "int64")
-    for b in np.unique(bucket):
-        own = np.flatnonzero(bucket == b)
-        high, low = order[own, 0], order[own, 1]
-        at = np.argsort(high)
-        if (high[at[1:]] == high[at[:-1]]).any():
-            at = np.lexsort((low, high))
-        source[own[at]] = own[np.roll(at, 1)]
+    source = np.empty(len(bucket), "int64")
+    whole = bucket.min() == bucket.max()
+    for b in bucket[:1] if whole else np.unique(bucket):
+        own = slice(None) if whole else np.flatnonzero(bucket == b)
+        first = high[own]
+        at = np.argsort(first)
+        ordered = first[at]
+        if (ordered[1:] == ordered[:-1]).any():
+            at = np.lexsort((low[own], first))
+        before = np.roll(at, 1)
+        source[at if whole else own[at]] = before if whole else own[before]
     return source
 
 
@@ -58,13 +61,14 @@ def _paired(n: int, changed: list[int]):
             held.append(pa.RecordBatch.from_arrays(batch.columns[1:n + 1], names=[f"c{i}" for i in range(n)]))
             for i, o in enumerate(orders):
                 pairs = batch.column(n + 1 + i).cast(pa.binary(16))
-                o.append(np.frombuffer(pairs.buffers()[1], ">u8", 2 * len(pairs), pairs.offset * 16).reshape(-1, 2).astype("uint64"))
+                halves = np.frombuffer(pairs.buffers()[1], ">u8", 2 * len(pairs), pairs.offset * 16)
+                o.append([halves[k::2].astype("uint64") for k in (0, 1)])
         if not held:
             return
         bucket, rows = np.concatenate(buckets), pa.Table.from_batches(held).combine_chunks()
         del held, buckets
         for i, c in enumerate(changed):
-            source = _source(np.concatenate(orders[i]), bucket)
+            source = _source(*map(np.concatenate, zip(*orders[i])), bucket)
             orders[i] = None
             rows = rows.append_column(f"p{i}", rows.column(c).take(pa.array(source)))
         yield from rows.to_batches(max_chunksize=BATCH)

@@ -85,8 +85,9 @@ def test_permutation_follows_the_hashes_and_sorts_no_rows(spark):
 
 def test_permutation_breaks_equal_halves_of_hashes():
     import numpy as np
-    order = np.array([[7, 3], [7, 1], [7, 2], [5, 9], [1, 1]], "uint64")
-    assert IM._source(order, np.array([0, 0, 0, 0, 1])).tolist() == [2, 3, 1, 0, 4]
+    high, low = np.array([[7, 7, 7, 5, 1], [3, 1, 2, 9, 1]], "uint64")
+    assert IM._source(high, low, np.array([0, 0, 0, 0, 1])).tolist() == [2, 3, 1, 0, 4]
+    assert IM._source(high, low, np.zeros(5, int)).tolist() == [2, 3, 1, 4, 0]
 
 
 def test_as_of_join_takes_the_last_row_before_each_anchor(spark):
