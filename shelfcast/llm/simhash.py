@@ -106,12 +106,14 @@ def links(fps: DataFrame) -> DataFrame:
     """Pairs ``a``, ``b`` of distinct fingerprints (column ``fp``, without
     repeats) at most two bits apart. A pair may come more than once."""
     keyed = _signatures(fps)
+    # Spark sizes the keys by the fingerprints' file, as if none were exploded,
+    # so it would broadcast both hundred times what it counts on: never here.
     left = keyed.where("side != 1").select("key", "side", F.col("fp").alias("a"))
     right = keyed.where("side != 0").select("key", F.col("side").alias("side_b"), F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
     kinds = ((F.col("side") == 0) & (F.col("side_b") == 1)) | \
             ((F.col("side") == 2) & (F.col("side_b") == 2) & (F.col("a") < F.col("b")))
-    return left.join(right, "key").where(kinds & near).select("a", "b")
+    return left.join(right.hint("merge"), "key").where(kinds & near).select("a", "b")
 
 
 def components(fps: DataFrame) -> DataFrame:

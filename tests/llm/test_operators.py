@@ -99,6 +99,13 @@ def test_simhash_matches_brute_force(spark, docs, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_first(empty).count() == 0
 
 
+def test_simhash_keys_are_never_broadcast(spark, tmp_path):
+    """Spark sizes the exploded keys by the file of the fingerprints, far too low."""
+    spark.range(300).selectExpr("xxhash64(id) AS fp").write.parquet(f"{tmp_path}/fps")
+    plan = simhash.links(spark.read.parquet(f"{tmp_path}/fps"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_simhash_links_are_complete(spark):
     rng = random.Random(1)
     centres = [rng.getrandbits(64) for _ in range(6)]
