@@ -122,3 +122,19 @@ def test_tree_growing_passes_stay_small_and_exact(spark, monkeypatch):
             assert model.start[0, q] == pytest.approx(low + (high - low) * (at - int(at)), rel=1e-12)
     import inspect
     assert "percentile(" not in inspect.getsource(QB.fit)
+
+
+def test_rows_are_numbered_and_scored_in_batches(spark, toy, monkeypatch):
+    """No expression of a row compares every feature with every edge: such a
+    method is too long for Java's compiler. Null, NaN and values on an edge
+    get the bins of the comparisons."""
+    import math
+    plans = []
+    monkeypatch.setattr(QB, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or df.localCheckpoint())
+    model = QB.fit(toy, "fold", "y", ["x", "z"], rounds=1)
+    plans.append(model.predict(toy, "fold", ["lo", "mid", "hi"])._jdf.queryExecution().toString())
+    assert len(plans) == 2 and all("MapInArrow" in p and "aggregate(" not in p for p in plans)
+    import pyarrow as pa
+    values = [None, -1.0, 0.0, -0.0, 0.5, 1.0, 1.5, math.inf, math.nan]
+    got = QB._numbers({"x": [0.0, 1.0], "z": []}, [pa.array(values, from_pandas=False)] * 2)
+    assert got[0].tolist() == [0, 1, 1, 1, 2, 2, 3, 3, 3] and got[1].tolist() == [0, *[1] * 8]
