@@ -112,10 +112,10 @@ def q_csv_load(t):
     return reduce(DataFrame.unionByName, frames)
 
 
-def _exported(t, df, name):
+def _exported(t, df, name, **options):
     """Written as JSON records and read back with the same schema."""
     path = _dir(t, name)
-    write_table(df, path, fmt="json")
+    write_table(df, path, fmt="json", **options)
     return t.spark.read.schema(df.schema).json(path)
 
 
@@ -134,15 +134,21 @@ def q_export_skus(t):
         (F.col("rank") - 1).alias("rank_order")), "skus")
 
 
+#: A compressed file is read by one task.
+HISTORY_FILE_ROWS = 2_000_000
+
+
 @query("C11_export_inventory_history", "sku_id:s recorded_date:d opening_stock:i units_sold:i units_received:i closing_stock:i",
        cte(**BT.bt_ctes()) + """
 SELECT CAST(seller_id AS VARCHAR) AS sku_id, day AS recorded_date, 0 AS opening_stock, n_items AS units_sold,
   0 AS units_received, 0 AS closing_stock FROM dense WHERE n_items >= 0""", ops=("C11",))
 def q_export_history(t):
+    # A record for every seller and day, most of it field names and zeros.
     zero = F.lit(0).cast("long")
     return _exported(t, BT.demand(t).where("n_items >= 0").select(
         F.col(KEY).cast("string").alias("sku_id"), F.col("day").alias("recorded_date"), zero.alias("opening_stock"),
-        F.col("n_items").cast("long").alias("units_sold"), zero.alias("units_received"), zero.alias("closing_stock")), "history")
+        F.col("n_items").cast("long").alias("units_sold"), zero.alias("units_received"), zero.alias("closing_stock")), "history",
+        compression="gzip", maxRecordsPerFile=HISTORY_FILE_ROWS)
 
 
 @query("C11_export_daily_forecasts", "sku_id:s target_date:d p10_demand:f p50_demand:f p90_demand:f stockout_risk_score:f "

@@ -110,11 +110,11 @@ def load_csv_dir(spark: SparkSession, raw_dir: str, files: dict[str, str],
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                partition_by=None) -> str:
+                partition_by=None, **options) -> str:
     """Artifact sink (C6/U5): parquet/csv/json with overwrite, append or
     errorifexists. ``partition_by`` (e.g. a month column) enables partition
-    pruning for readers."""
-    w = df.write.mode(mode)
+    pruning for readers; ``options`` are the writer's."""
+    w = df.write.mode(mode).options(**options)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":

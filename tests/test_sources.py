@@ -68,3 +68,19 @@ def test_bulk_load_refuses_a_filled_target_unless_reset(spark):
     with pytest.raises(Exception, match="exists"):
         load(False)
     assert load(True) == 5
+
+
+def test_inventory_history_is_stored_compressed(spark, tmp_path, monkeypatch):
+    """A record for every seller and day, in compressed files of bounded length."""
+    from shelfcast.plans import q_io
+    from shelfcast.plans.registry import REGISTRY
+    monkeypatch.setattr(q_io, "HISTORY_FILE_ROWS", 4)
+    spark.sql("""SELECT k AS o_orderkey, 'F' AS o_orderstatus, make_timestamp_ntz(2001, 6, 20 + CAST(k AS INT), 0, 0, 0) AS o_orderdate
+                 FROM (SELECT explode(array(1L, 3L, 3L)) AS k)""").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("""SELECT k AS l_orderkey, 1 AS l_linenumber, 5L AS l_suppkey, 1L AS l_partkey, 2.0D AS l_quantity, 4.0D AS l_extendedprice,
+                 0.1D AS l_tax, make_timestamp_ntz(2001, 6, 25, 0, 0, 0) AS l_shipdate
+                 FROM (SELECT explode(array(1L, 1L, 3L)) AS k)""").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = REGISTRY["C11_export_inventory_history"].run(spark, str(tmp_path))
+    assert len(got.inputFiles()) >= 3 and all(f.endswith(".json.gz") for f in got.inputFiles())
+    assert {(r.sku_id, r.recorded_date.day, r.units_sold) for r in got.collect()} == {
+        ("5", d, {21: 2, 23: 2}.get(d, 0)) for d in range(21, 31)} and got.count() == 10
